@@ -16,8 +16,8 @@ def local_session(cores: int | str = 8, app_name: str = "pairloom") -> SparkSess
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.streaming.stateStore.stateSchemaCheck", "true")
         .getOrCreate()
     )
 
