@@ -5,28 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairloom.functions.screening import (
-    _all,
-    _words,
-    is_well_formed,
-    referenced_columns,
-    referenced_tables,
-)
-from pairloom.functions.text import collapse, mask_literals, strip, strip_fences, words
+from pairloom.functions.numbers import round_half_up
+from pairloom.functions.screening import _all
+from pairloom.functions.text import collapse, strip
 
 JOIN_WORD = r"\b(?:(?:natural|left|right|full|inner|cross|outer) )*join\b"
-CLAUSE_END = r"\b(?:where|group by|having|order by|limit|union|intersect|except)\b.*\z"
+CLAUSE_TAIL = r"(?m)\b(?:where|group by|having|order by|limit|union|intersect|except)\b.*$"
 WHERE_CLAUSE = r"\bwhere\b(.*?)(?:\b(?:group by|having|order by|limit|union|intersect|except)\b|\z)"
 GROUP_CLAUSE = r"\bgroup by\b(.*?)(?:\b(?:having|order by|limit|union|intersect|except)\b|\z)"
 ORDER_CLAUSE = r"\border by\b(.*?)(?:\b(?:limit|union|intersect|except)\b|\z)"
 LIMIT_CLAUSE = r"\blimit\b(.*)\z"
 
 # Words that may stand before a bracket without being a function.
-NOT_FUNCTIONS = [
-    "all", "and", "any", "as", "between", "by", "case", "else", "except", "exists", "from", "having",
-    "in", "intersect", "join", "like", "limit", "not", "on", "or", "over", "select", "some", "then",
-    "union", "using", "values", "when", "where", "with",
-]
+BEFORE_BRACKET = (
+    r"\b(?:all|and|any|as|between|by|case|else|except|exists|from|having|in|intersect|join|like|limit|not|on|or"
+    r"|over|select|some|then|union|using|values|when|where|with)\("
+)
 
 # Labels of a wrong answer, first difference wins.
 SYNTAX_ERROR = "syntax error"
@@ -47,44 +41,28 @@ FAILURE_CATEGORIES = [
 ]
 
 
-def normalize_sql(sql: Column) -> Column:
-    """Comparable form: no fences, lower case, one blank between words, none around punctuation.
+def normalize_masked(masked: Column) -> Column:
+    """Comparable form of a lower-case text whose literals are masked.
 
-    Literals become digests, so blanks inside them still count.
+    One blank between words, none around punctuation, no final semicolon.
     """
-    text = collapse(mask_literals(F.lower(strip_fences(F.coalesce(sql, F.lit(""))))))
-    text = F.regexp_replace(text, r"[; ]+\z", "")
+    text = F.regexp_replace(collapse(masked), r"[; ]+\z", "")
     return F.regexp_replace(text, r" ?([(),=<>]) ?", "$1")
 
 
-def exact_match(gold: Column, generated: Column) -> Column:
-    return normalize_sql(gold) == normalize_sql(generated)
+def join_clauses(normalized: Column) -> Column:
+    """Text of each joined table with its condition, in order."""
+    lines = F.regexp_replace(F.regexp_replace(normalized, JOIN_WORD, "\n"), CLAUSE_TAIL, "")
+    return F.slice(F.split(strip(F.regexp_replace(lines, r" *\n *", "\n")), "\n"), 2, 2**30)
 
 
-def features(normalized: Column) -> Column:
-    """Struct of clause features of a text that went through ``normalize_sql``."""
-    after = F.split(normalized, JOIN_WORD)
-    joins = F.transform(
-        F.slice(after, 2, F.greatest(F.size(after), F.lit(1))),
-        lambda part: strip(F.regexp_replace(part, CLAUSE_END, "")),
-    )
-    functions = F.array_sort(
-        F.filter(_all(normalized, r"\b([a-z_]\w*)\("), lambda name: ~name.isin(NOT_FUNCTIONS))
-    )
+def function_names(bare: Column) -> Column:
+    """Names before a bracket, sorted, repeated as often as they are used."""
+    return F.array_sort(_all(F.regexp_replace(bare, BEFORE_BRACKET, " ("), r"\b([a-z_]\w*)\("))
 
-    def clause(pattern: str) -> Column:
-        return strip(F.regexp_extract(normalized, pattern, 1))
-
-    return F.struct(
-        joins.alias("joins"),
-        F.array_sort(referenced_tables(normalized)).alias("tables"),
-        referenced_columns(normalized).alias("columns"),
-        functions.alias("functions"),
-        clause(WHERE_CLAUSE).alias("where_text"),
-        clause(GROUP_CLAUSE).alias("group_text"),
-        clause(ORDER_CLAUSE).alias("order_text"),
-        clause(LIMIT_CLAUSE).alias("limit_text"),
-    )
+
+def clause_text(normalized: Column, pattern: str) -> Column:
+    return strip(F.regexp_extract(normalized, pattern, 1))
 
 
 def error_type(message: Column) -> Column:
@@ -139,13 +117,11 @@ def failure_from_features(
     )
 
 
-def well_formed(normalized: Column) -> Column:
-    return is_well_formed(normalized)
-
+def unigram_bleu(ref: Column, cand: Column) -> Column:
+    """Clipped unigram precision of two word arrays with brevity penalty, four decimals.
 
-def unigram_bleu(reference: Column, candidate: Column) -> Column:
-    """Clipped unigram precision with brevity penalty, four decimals."""
-    ref, cand = words(F.lower(reference)), words(F.lower(candidate))
+    Both should be columns, not expressions: they are read once per distinct word.
+    """
 
     def count(tokens: Column, token: Column) -> Column:
         return F.size(F.filter(tokens, lambda other: other == token))
@@ -157,4 +133,6 @@ def unigram_bleu(reference: Column, candidate: Column) -> Column:
     )
     precision = matches / F.size(cand)
     penalty = F.when(F.size(cand) < F.size(ref), F.exp(1 - F.size(ref) / F.size(cand))).otherwise(F.lit(1.0))
-    return F.when((F.size(ref) == 0) | (F.size(cand) == 0), F.lit(0.0)).otherwise(F.round(precision * penalty, 4))
+    return F.when((F.size(ref) == 0) | (F.size(cand) == 0), F.lit(0.0)).otherwise(
+        round_half_up(precision * penalty, 4)
+    )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import blank_literals, statements, strip, strip_fences
+from pairloom.functions.text import blank_literals, strip
 
 # Words that make a statement destructive.
 DESTRUCTIVE_WORDS = [
@@ -74,10 +74,16 @@ TABLE_ALIAS = r"(?i)\b(?:from|join)\s+(?:\w+\.)?[a-z_]\w*\s+(?:as\s+)?([a-z_]\w*
 DDL_TABLE = r"create\s+table\s+([a-zA-Z0-9_]+)"
 DDL_COLUMN = r"([a-zA-Z0-9_]+)\s+(?:int|text|decimal|date|timestamp|boolean|varchar)"
 
+# Statement patterns read text with a semicolon before each statement.
 STATEMENT_START = (
-    r"(?i)\A[\s(]*(?:select|with|values|insert|update|delete|drop|create|alter|pragma|attach|detach|truncate"
+    r"(?i);[\s(]*(?:select|with|values|insert|update|delete|drop|create|alter|pragma|attach|detach|truncate"
     r"|vacuum|reindex|grant|revoke|exec|execute|call|explain|replace|merge)\b"
 )
+STATEMENT_WORD = r";[\s(]*([A-Z]+)"
+BEHIND_WITH = r";\s*WITH\b[^;]*\)\s*(INSERT|UPDATE|DELETE)\b"
+NOT_COLUMN = r"\bas\s+[a-z_]\w*|\b[a-z_]\w*\s*[.(]"
+FENCED = r"(?is)```(?:sql)?\s*(.*?)\s*```"
+SELECT_WORD = r"(?i)\b(?:select|with)\b"
 HOLLOW_CLAUSE = (
     r"(?i)\bselect\s+from\b"
     r"|\b(?:from|where|by|having|limit)\s*(?:;|\z|\b(?:from|where|group|having|order|limit)\b)"
@@ -93,73 +99,69 @@ def _words(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def is_empty(sql: Column) -> Column:
-    return F.coalesce(strip_fences(sql), F.lit("")) == ""
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
 
 
-def statement_count(sql: Column) -> Column:
-    return F.size(statements(strip_fences(sql))).cast("long")
+def _if(condition: Column, message: Column) -> Column:
+    """Array of the message, or an empty one."""
+    return F.when(condition, F.array(message)).otherwise(_nothing())
 
 
-def destructive_words(sql: Column, literals: bool = False) -> Column:
-    """Destructive words in the text, sorted; ``literals`` also looks inside quotes."""
-    text = sql if literals else blank_literals(sql)
+def bare_text(clean: Column) -> Column:
+    """Lower-case text with empty literals and unquoted identifiers: what the patterns look at."""
+    return blank_literals(F.lower(clean))
+
+
+def statement_count(bare: Column) -> Column:
+    return F.regexp_count(bare, F.lit(r"[^;\s][^;]*")).cast("long")
+
+
+def destructive_words(text: Column) -> Column:
+    """Destructive words in the text, sorted."""
     return F.array_sort(F.array_intersect(_all(F.upper(text), r"\b[A-Z_]+\b", 0), _words(DESTRUCTIVE_WORDS)))
 
 
-def has_read_only_root(sql: Column) -> Column:
-    return strip_fences(sql).rlike(READ_ONLY_ROOT)
+def has_read_only_root(clean: Column) -> Column:
+    return clean.rlike(READ_ONLY_ROOT)
 
 
-def extract_sql(output: Column) -> Column:
-    """SQL out of a model's answer: the fenced block, else from the first SELECT or WITH on."""
+def fenced_or_whole(output: Column) -> Column:
+    """Inside of the first fenced block, else the whole text."""
     text = strip(output)
-    fenced = r"(?is)```(?:sql)?\s*(.*?)\s*```"
-    body = F.when(text.rlike(fenced), strip(F.regexp_extract(text, fenced, 1))).otherwise(text)
-    started = strip(F.regexp_extract(body, r"(?is)\b(?:select|with)\b.*", 0))
-    return F.when(started != "", started).otherwise(body)
+    return F.when(text.rlike(FENCED), strip(F.regexp_extract(text, FENCED, 1))).otherwise(text)
 
 
-def first_statement(sql: Column) -> Column:
-    """Text up to the first semicolon outside literals; empty if there is none."""
-    return F.coalesce(F.try_element_at(statements(sql), F.lit(1)), F.lit(""))
+def from_select(body: Column) -> Column:
+    """Text from the first SELECT or WITH on, if there is one."""
+    return F.when(body.rlike(SELECT_WORD), strip(F.regexp_extract(body, f"(?s){SELECT_WORD}.*", 0))).otherwise(body)
 
 
-def referenced_tables(sql: Column) -> Column:
-    """Distinct lower-case names after FROM (comma lists too) and JOIN."""
-    text = blank_literals(F.lower(sql))
-    listed = F.flatten(F.transform(_all(text, FROM_LIST), lambda item: F.split(item, ",")))
-    names = F.transform(listed, lambda item: F.regexp_extract(item, r"\A\s*(?:\w+\.)?(\w+)", 1))
-    return F.array_distinct(F.concat(names, _all(text, JOIN_TABLE)))
+def referenced_tables(bare: Column) -> Column:
+    """Distinct names after FROM (comma lists too) and JOIN."""
+    listed = F.concat(F.lit(","), F.array_join(_all(bare, FROM_LIST), ","))
+    return F.array_distinct(F.concat(_all(listed, r",\s*(?:\w+\.)?([a-z_]\w*)"), _all(bare, JOIN_TABLE)))
 
 
-def cte_names(sql: Column) -> Column:
-    return F.array_distinct(_all(blank_literals(F.lower(sql)), CTE_NAME))
+def cte_names(bare: Column) -> Column:
+    return F.array_distinct(_all(bare, CTE_NAME))
 
 
-def unknown_tables(sql: Column, known: Column) -> Column:
-    """Referenced tables that are neither known, nor defined by WITH, nor system tables."""
-    allowed = F.concat(known, cte_names(sql), _words(SYSTEM_TABLES))
-    return F.array_sort(F.array_except(referenced_tables(sql), allowed))
+def unknown_tables(tables: Column, ctes: Column, known: Column) -> Column:
+    """Referenced tables that are neither known, nor defined by WITH, nor system tables; sorted."""
+    return F.array_sort(F.array_except(tables, F.concat(known, ctes, _words(SYSTEM_TABLES))))
 
 
-def referenced_columns(sql: Column) -> Column:
-    """Distinct lower-case names used as a column, sorted."""
-    text = blank_literals(F.lower(sql))
-    aliases = F.concat(_all(text, TABLE_ALIAS), referenced_tables(sql), cte_names(sql))
-    bare = F.regexp_replace(text, r"\bas\s+[a-z_]\w*", " ")
-    bare = F.regexp_replace(bare, r"\b[a-z_]\w*\.", "")
-    bare = F.regexp_replace(bare, r"\b[a-z_]\w*\s*\(", "(")
-    names = _all(bare, r"\b[a-z_]\w*\b", 0)
-    return F.array_sort(F.array_except(names, F.concat(_words(RESERVED_WORDS), aliases)))
+def referenced_columns(bare: Column, tables: Column, ctes: Column) -> Column:
+    """Distinct names used as a column, sorted."""
+    names = _all(F.regexp_replace(bare, NOT_COLUMN, " "), r"\b[a-z_]\w*\b", 0)
+    others = F.concat(_words(RESERVED_WORDS), tables, ctes, _all(bare, TABLE_ALIAS))
+    return F.array_sort(F.array_except(names, others))
 
 
-def unknown_columns(sql: Column, known: Column) -> Column:
+def unknown_columns(columns: Column, known: Column) -> Column:
     """Column names of three letters or more, not starting with t, that are not known."""
-    return F.filter(
-        F.array_except(referenced_columns(sql), known),
-        lambda name: (F.length(name) > 2) & ~name.startswith("t"),
-    )
+    return F.array_except(_all(F.array_join(columns, " "), r"\b[a-su-z_]\w{2,}\b", 0), known)
 
 
 def ddl_tables(ddl: Column) -> Column:
@@ -170,134 +172,39 @@ def ddl_columns(ddl: Column) -> Column:
     return F.array_sort(F.array_distinct(_all(F.lower(ddl), DDL_COLUMN)))
 
 
-def has_pragma(sql: Column) -> Column:
-    return F.lower(strip_fences(sql)).contains("pragma")
+def has_pragma(clean: Column) -> Column:
+    return F.lower(clean).contains("pragma")
 
 
-def has_attach(sql: Column) -> Column:
-    lowered = F.lower(strip_fences(sql))
-    return lowered.contains("attach ") | lowered.contains("detach ")
+def has_attach(clean: Column) -> Column:
+    return F.lower(clean).contains("attach ") | F.lower(clean).contains("detach ")
 
 
-def mutating_operations(sql: Column, first_only: bool = False) -> Column:
-    """Labels of mutating statements in report order; COMMAND stands for opaque ones."""
-    parts = statements(strip_fences(sql))
-    if first_only:
-        parts = F.slice(parts, 1, 1)
-    leading = F.transform(parts, lambda part: F.upper(F.regexp_extract(part, r"\A[\s(]*([A-Za-z]+)", 1)))
-    # A WITH clause may lead into a mutating statement: look behind the closing parenthesis.
-    behind = F.flatten(
-        F.transform(
-            parts,
-            lambda part: F.when(
-                F.lower(part).startswith("with"),
-                _all(F.upper(blank_literals(part)), r"\)\s*(INSERT|UPDATE|DELETE)\b", 1),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    found = F.concat(leading, behind)
-    labels = F.array_intersect(_words(MUTATING_WORDS), found)
-    command = F.when(F.arrays_overlap(found, _words(COMMAND_WORDS)), _words(["COMMAND"])).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.concat(labels, command)
-
-
-def is_well_formed(sql: Column) -> Column:
-    """Textual stand-in for a parse: a statement word leads, clauses are filled, brackets and quotes match."""
-    bare = blank_literals(sql)
-    led = bare.rlike(STATEMENT_START)
-    hollow = bare.rlike(HOLLOW_CLAUSE)
-    balanced = F.length(F.translate(bare, "(", "")) == F.length(F.translate(bare, ")", ""))
-    quotes = F.length(sql) - F.length(F.translate(sql, "'", ""))
-    return led & ~hollow & balanced & (quotes % 2 == 0)
+def first_bare(bare: Column) -> Column:
+    """First statement of a bare text."""
+    return F.regexp_extract(bare, r"\A[\s;]*([^;]*)", 1)
 
 
-def all_well_formed(sql: Column) -> Column:
-    return F.forall(statements(strip_fences(sql)), is_well_formed)
+def mutating_operations(bare: Column) -> Column:
+    """Labels of mutating statements in report order; COMMAND stands for opaque ones."""
+    text = F.concat(F.lit(";"), F.upper(bare))
+    found = F.concat(_all(text, STATEMENT_WORD), _all(text, BEHIND_WITH))
+    return F.concat(
+        F.array_intersect(_words(MUTATING_WORDS), found),
+        _if(F.arrays_overlap(found, _words(COMMAND_WORDS)), F.lit("COMMAND")),
+    )
 
 
-def verdict(sql: Column, tables: Column, columns: Column, db: str = "target") -> Column:
-    """Struct (allowed, reason, violations) of one statement text against a schema.
+def is_well_formed(clean: Column, bare: Column) -> Column:
+    """Textual stand-in for a parse.
 
-    ``tables`` and ``columns`` are arrays of the names the schema knows.
+    Every statement starts with a statement word, no clause is empty, brackets and quotes match.
     """
-    cleaned = strip_fences(sql)
-    count = statement_count(sql)
-    missing = unknown_tables(cleaned, tables)
-    strange = unknown_columns(cleaned, columns)
-    quoted = F.array_join(F.transform(missing, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", ")
-    single = F.filter(
-        F.array(
-            F.when(
-                count > 1,
-                F.concat(
-                    F.lit("Multiple SQL statements detected ("), count.cast("string"),
-                    F.lit(" statements). Multi-statement stacked execution is prohibited."),
-                ),
-            )
-        ),
-        lambda v: v.isNotNull(),
-    )
-    operations = F.transform(
-        mutating_operations(sql, first_only=True),
-        lambda label: F.concat(F.lit("Prohibited AST operation detected: "), label),
-    )
-    rest = F.filter(
-        F.array(
-            F.when(has_pragma(sql), F.lit(PRAGMA_VIOLATION)),
-            F.when(has_attach(sql), F.lit(ATTACH_VIOLATION)),
-            F.when(
-                F.size(missing) > 0,
-                F.concat(
-                    F.lit("Referenced table(s) "), quoted,
-                    F.lit(f" do not exist in database schema '{db}'."),
-                ),
-            ),
-            F.when(
-                F.size(strange) > 3,
-                F.concat(
-                    F.lit("Referenced multiple unrecognized columns: "),
-                    F.array_join(F.slice(strange, 1, 3), ", "),
-                ),
-            ),
-        ),
-        lambda v: v.isNotNull(),
-    )
-    violations = (
-        F.when(is_empty(sql), _words([EMPTY_VIOLATION]))
-        .when(count == 0, _words([NO_STATEMENT_VIOLATION]))
-        .when(~all_well_formed(sql), _words([PARSE_VIOLATION]))
-        .otherwise(F.concat(single, operations, rest))
-    )
-    reason = (
-        F.when(is_empty(sql), F.lit(EMPTY_REASON))
-        .when(count == 0, F.lit(NO_STATEMENT_REASON))
-        .when(~all_well_formed(sql), F.lit(PARSE_REASON))
-        .when(F.size(violations) == 0, F.lit(PASSED))
-        .otherwise(
-            F.concat(
-                F.lit("SQL execution blocked due to "), F.size(violations).cast("string"),
-                F.lit(" safety violation(s)"),
-            )
-        )
-    )
-    return F.struct(
-        (F.size(violations) == 0).alias("allowed"), reason.alias("reason"), violations.alias("violations")
-    )
-
-
-def validation(sql: Column) -> Column:
-    """Struct (valid, formatted_sql, tables_referenced, syntax_error) of a model's answer."""
-    text = first_statement(extract_sql(sql))
-    valid = is_well_formed(text)
-    return F.struct(
-        valid.alias("valid"),
-        F.when(valid, text).otherwise(strip(sql)).alias("formatted_sql"),
-        F.when(valid, referenced_tables(text))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("tables_referenced"),
-        F.when(~valid, F.lit(NO_SQL_ERROR)).alias("syntax_error"),
+    started = F.regexp_count(F.concat(F.lit(";"), bare), F.lit(STATEMENT_START))
+    balanced = F.length(F.translate(bare, "(", "")) == F.length(F.translate(bare, ")", ""))
+    quotes = F.length(clean) - F.length(F.translate(clean, "'", ""))
+    return (
+        (started > 0) & (started == statement_count(bare)) & ~bare.rlike(HOLLOW_CLAUSE) & balanced & (quotes % 2 == 0)
     )
 
 

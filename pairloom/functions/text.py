@@ -69,11 +69,13 @@ def mask_literals(text: Column) -> Column:
 
 def blank_literals(text: Column) -> Column:
     """Empty each literal and unquote identifiers."""
-    return F.translate(_literals(text, lambda piece: F.lit("")), '"`[]', "")
+    return F.translate(F.regexp_replace(text, r"'[^']*(?:'|\z)", "''"), '"`[]', "")
 
 
-def statements(text: Column) -> Column:
-    """Non-blank statements between semicolons that are outside literals."""
-    hidden = _literals(text, lambda piece: F.translate(piece, ";", "\x01"))
-    parts = F.transform(F.split(hidden, ";"), lambda part: strip(F.translate(part, "\x01", ";")))
-    return F.filter(parts, lambda part: part != "")
+def first_statement(text: Column) -> Column:
+    """First non-blank text between semicolons that are outside literals."""
+    hidden = F.when(
+        (F.instr(text, ";") > 0) & (F.instr(text, "'") > 0),
+        _literals(text, lambda piece: F.translate(piece, ";", "\x01")),
+    ).otherwise(text)
+    return strip(F.translate(F.regexp_extract(hidden, r"\A[\s;]*([^;]*)", 1), "\x01", ";"))

@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pairloom.functions.clauses import (
-    FAILURE_CATEGORIES,
-    failure_from_features,
-    features,
-    normalize_sql,
-    outcome,
-    unigram_bleu,
-    well_formed,
-)
+from pairloom.functions.clauses import FAILURE_CATEGORIES, failure_from_features, outcome, unigram_bleu
+from pairloom.functions.numbers import round_half_up
+from pairloom.functions.text import words
 from pairloom.operators.ranking import interpolated_percentiles
+from pairloom.operators.screen import with_features, with_normalized
 
 # The latency percentiles of a run.
 LATENCY_POINTS = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
@@ -23,46 +18,50 @@ LATENCY_POINTS = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms
 
 def clause_features(df: DataFrame, sql: str) -> DataFrame:
     """Clause features of a SQL text column, as flat columns."""
-    return df.withColumn("_f", features(normalize_sql(F.col(sql)))).select(*df.columns, "_f.*")
+    parsed = with_features(with_normalized(df, sql, "_n"), "_n", "_f")
+    return parsed.select(*df.columns, "_f.*")
+
+
+def compare_texts(df: DataFrame, gold: str, generated: str) -> DataFrame:
+    """Add both normalised texts (``_gold``, ``_own``)."""
+    return with_normalized(with_normalized(df, gold, "_gold"), generated, "_own")
+
+
+def parse_texts(df: DataFrame) -> DataFrame:
+    """Add features and well-formed flags of the normalised texts."""
+    return with_features(with_features(df, "_gold", "_gf"), "_own", "_of")
+
+
+def failure_category(error: Column) -> Column:
+    """Cause of a wrong answer, over a frame that went through ``parse_texts``."""
+    return failure_from_features(
+        F.col("generated_sql"), error, F.col("_gf_ok"), F.col("_of_ok"), F.col("_gf"), F.col("_of")
+    )
 
 
 def score_cases(cases: DataFrame) -> DataFrame:
     """Per case and model: exact match, execution verdict, success flag, failure category.
 
-    A row-wise projection: the two texts are normalised once, everything else is
+    Row-wise projections only: the texts are normalised once, everything else is
     derived from the normalised texts.
     """
-    texts = cases.withColumns(
-        {"_gold": normalize_sql(F.col("gold_sql")), "_own": normalize_sql(F.col("generated_sql"))}
-    )
-    parsed = texts.withColumns(
-        {
-            "_gf": features(F.col("_gold")),
-            "_of": features(F.col("_own")),
-            "_gold_ok": well_formed(F.col("_gold")),
-            "_own_ok": well_formed(F.col("_own")),
-        }
-    )
+    parsed = parse_texts(compare_texts(cases, "gold_sql", "generated_sql"))
     verdict = outcome(
         F.col("generated"), F.col("actual_error"), F.col("gold_error"), F.col("rows_match")
     )
-    category = failure_from_features(
-        F.col("generated_sql"), F.col("actual_error"), F.col("_gold_ok"), F.col("_own_ok"),
-        F.col("_gf"), F.col("_of"),
-    )
     return parsed.select(
         "case_id", "model",
         (F.col("_gold") == F.col("_own")).alias("em"),
         verdict.isNull().alias("ex"),
         (F.col("generated") & F.col("actual_error").isNull()).alias("ok"),
         verdict.alias("error_type"),
-        F.when(verdict.isNotNull(), category).alias("failure_category"),
+        F.when(verdict.isNotNull(), failure_category(F.col("actual_error"))).alias("failure_category"),
         "latency_ms",
     )
 
 
 def _rate(flag: Column) -> Column:
-    return F.round(F.count_if(flag) / F.count("*"), 4)
+    return round_half_up(F.count_if(flag) / F.count("*"), 4)
 
 
 def accuracy(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,7 +82,7 @@ def average(value: str) -> Column:
 
 def latency_stats(items: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
     """Average and P50/P95/P99 latency, two decimals."""
-    means = items.groupBy(*keys).agg(F.round(average(value), 2).alias("avg_latency_ms"))
+    means = items.groupBy(*keys).agg(round_half_up(average(value), 2).alias("avg_latency_ms"))
     return means.join(interpolated_percentiles(items, keys, value, LATENCY_POINTS), keys)
 
 
@@ -96,7 +95,7 @@ def failure_counts(items: DataFrame, keys: list[str]) -> DataFrame:
     )
     # The window runs over a dozen categories, not over the cases.
     total = F.sum("failures").over(W.partitionBy(*keys))
-    return counted.withColumn("share_pct", F.round(F.col("failures") * 100 / total, 1))
+    return counted.withColumn("share_pct", round_half_up(F.col("failures") * 100 / total, 1))
 
 
 def _category_counts() -> Column:
@@ -139,9 +138,9 @@ def lift(items: DataFrame) -> DataFrame:
 
     n = F.count_if(F.col("model") == "base")
     return items.agg(
-        F.round((side("tuned", "em") - side("base", "em")) * 100 / n, 1).alias("exact_match_lift"),
-        F.round((side("tuned", "ex") - side("base", "ex")) * 100 / n, 1).alias("execution_acc_lift"),
-        F.round((1 - latency("tuned") / latency("base")) * 100, 1).alias("latency_reduction_pct"),
+        round_half_up((side("tuned", "em") - side("base", "em")) * 100 / n, 1).alias("exact_match_lift"),
+        round_half_up((side("tuned", "ex") - side("base", "ex")) * 100 / n, 1).alias("execution_acc_lift"),
+        round_half_up((1 - latency("tuned") / latency("base")) * 100, 1).alias("latency_reduction_pct"),
     )
 
 
@@ -158,7 +157,9 @@ def side_by_side(items: DataFrame) -> DataFrame:
 
 
 def bleu_scores(df: DataFrame, reference: str, candidate: str) -> DataFrame:
-    return df.withColumn("bleu", unigram_bleu(F.col(reference), F.col(candidate)))
+    """Add ``bleu``; both texts are split into words once."""
+    split = df.withColumns({"_ref": words(F.lower(F.col(reference))), "_cand": words(F.lower(F.col(candidate)))})
+    return split.withColumn("bleu", unigram_bleu(F.col("_ref"), F.col("_cand"))).drop("_ref", "_cand")
 
 
 def append_history(run: DataFrame, path: str) -> DataFrame:

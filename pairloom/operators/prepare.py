@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.numbers import round_half_up
 from pairloom.functions import prompts as P
 from pairloom.functions.text import clean_sql, collapse, strip
 from pairloom.operators.ranking import assign_split, split_cuts, with_position
@@ -143,7 +144,7 @@ def expand_epochs(items: DataFrame, order: list[str], n_items: int, epochs: int)
         *items.columns,
         F.col("epoch_index").cast("long").alias("epoch_index"),
         (F.col("epoch_index") * F.lit(n_items) + F.col("position") + 1).cast("long").alias("step"),
-        F.round(F.col("epoch_index") + done, 2).alias("epoch"),
+        round_half_up(F.col("epoch_index") + done, 2).alias("epoch"),
         F.lit(max(epochs * n_items, epochs * 5)).cast("long").alias("total_steps"),
     )
 

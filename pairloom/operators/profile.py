@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.screening import is_well_formed, referenced_tables
+from pairloom.functions.numbers import round_half_up
+from pairloom.functions.screening import bare_text, is_well_formed, referenced_tables
 from pairloom.operators.ranking import floor_index_percentiles
+from pairloom.operators.screen import with_well_formed
 
 # The percentile points of the length report.
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -16,7 +18,7 @@ def length_distribution(df: DataFrame, tokens: str, max_len: int = 2048) -> Data
     return df.agg(
         F.min(tokens).alias("min_tokens"),
         F.max(tokens).alias("max_tokens"),
-        F.round(F.avg(tokens), 1).alias("mean_tokens"),
+        round_half_up(F.avg(tokens), 1).alias("mean_tokens"),
         F.count_if(F.col(tokens) > max_len).alias("exceeding_max_len"),
     )
 
@@ -27,11 +29,11 @@ def length_percentiles(df: DataFrame, tokens: str) -> DataFrame:
 
 def validity_report(df: DataFrame, sql: str) -> DataFrame:
     """Total, valid, invalid and valid share in percent (0 for an empty table)."""
-    counted = df.agg(
-        F.count("*").alias("total_records"), F.count_if(is_well_formed(F.col(sql))).alias("valid_sql")
+    counted = with_well_formed(df.select(sql), sql, "_ok").agg(
+        F.count("*").alias("total_records"), F.count_if("_ok").alias("valid_sql")
     )
     share = F.when(F.col("total_records") == 0, F.lit(0.0)).otherwise(
-        F.round(F.col("valid_sql") * 100 / F.col("total_records"), 2)
+        round_half_up(F.col("valid_sql") * 100 / F.col("total_records"), 2)
     )
     return counted.select(
         "total_records", "valid_sql", (F.col("total_records") - F.col("valid_sql")).alias("invalid_sql"),
@@ -41,8 +43,9 @@ def validity_report(df: DataFrame, sql: str) -> DataFrame:
 
 def unique_tables(df: DataFrame, sql: str) -> DataFrame:
     """Distinct tables referenced by the well-formed texts."""
-    valid = df.filter(is_well_formed(F.col(sql)))
-    return valid.select(F.explode(referenced_tables(F.col(sql))).alias("table_name")).distinct()
+    bared = df.select(sql).withColumn("_bare", bare_text(F.col(sql)))
+    valid = bared.filter(is_well_formed(F.col(sql), F.col("_bare")))
+    return valid.select(F.explode(referenced_tables(F.col("_bare"))).alias("table_name")).distinct()
 
 
 def catalog_listing(df: DataFrame, dataset: str, domain: str) -> DataFrame:

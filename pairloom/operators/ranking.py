@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.functions.numbers import round_half_up
 from pairloom.session import parallelism, write_once
 
 # monotonically_increasing_id keeps the partition number above bit 33.
@@ -186,5 +187,5 @@ def interpolated_percentiles(df: DataFrame, keys: Sequence[str], value: str, poi
         at = (F.col("_n") - 1) * F.lit(p)
         low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
         between = low * (F.ceil(at) - at) + high * (at - F.floor(at))
-        columns.append(F.round(F.when(F.floor(at) == F.ceil(at), low).otherwise(between), 2).alias(name))
+        columns.append(round_half_up(F.when(F.floor(at) == F.ceil(at), low).otherwise(between), 2).alias(name))
     return picked.select(*keys, *columns)

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.numbers import round_half_up
 from pairloom.operators.ranking import range_blocks
-from pairloom.operators.timeline import fill_forward, previous_value
+from pairloom.operators.timeline import border_groups, fill_forward, previous_value
 
 # The checkpoint that always exists, and the ratings a user may give.
 BASE_CHECKPOINT = "base-model"
@@ -43,7 +44,7 @@ def compare_experiments(experiments: DataFrame, first: int | str, second: int |
         F.count_if(F.col("experiment_id") == first).alias("_n1"),
         F.count_if(F.col("experiment_id") == second).alias("_n2"),
         *[
-            F.round(of(second, metric) - of(first, metric), digits).alias(f"diff_{metric}")
+            round_half_up(of(second, metric) - of(first, metric), digits).alias(f"diff_{metric}")
             for metric, digits in COMPARED_METRICS.items()
         ],
     )

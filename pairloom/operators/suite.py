@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.screening import verdict
+from pairloom.operators.screen import judge
 
 CAPTURED_ROWS = 50
 
@@ -28,8 +28,8 @@ def screen_texts(spark: SparkSession, texts: Mapping[str, str], tables: list[str
     known_tables = F.array(*[F.lit(t) for t in tables])
     known_columns = F.array(*[F.lit(c) for c in columns])
     frame = spark.createDataFrame(list(texts.items()), "name string, text string")
-    rows = frame.select("name", verdict(F.col("text"), known_tables, known_columns)["allowed"].alias("ok")).collect()
-    return {row["name"]: row["ok"] for row in rows}
+    rows = judge(frame, "text", known_tables, known_columns).select("name", "allowed").collect()
+    return {row["name"]: row["allowed"] for row in rows}
 
 
 def _analyse(spark: SparkSession, text: str) -> tuple[DataFrame | None, str | None]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.functions.numbers import round_half_up
 from pairloom.operators.evaluate import LATENCY_POINTS, average
 from pairloom.operators.ranking import interpolated_percentiles
 from pairloom.operators.timeline import running_sum
@@ -45,8 +46,8 @@ def request_rate(requests: DataFrame) -> DataFrame:
     totals = requests.agg(F.count("*").alias("total_requests"), _seconds().alias("up"))
     return totals.select(
         "total_requests",
-        F.round("up", 1).alias("uptime_seconds"),
-        F.round(F.col("total_requests") / F.when(F.col("up") > 0, F.col("up")).otherwise(1.0), 6).alias(
+        round_half_up(F.col("up"), 1).alias("uptime_seconds"),
+        round_half_up(F.col("total_requests") / F.when(F.col("up") > 0, F.col("up")).otherwise(1.0), 6).alias(
             "requests_per_sec"
         ),
     )
@@ -61,8 +62,8 @@ def rolling_latency(requests: DataFrame, n: int = 100) -> DataFrame:
     # The percentile sees n values.
     points = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
     return newest(requests, n).agg(
-        F.count("*").alias("points"), F.round(average("latency_ms"), 2).alias("avg_latency_ms"),
-        F.round(points[0], 2).alias("p50_latency_ms"), F.round(points[1], 2).alias("p95_latency_ms"),
+        F.count("*").alias("points"), round_half_up(average("latency_ms"), 2).alias("avg_latency_ms"),
+        round_half_up(points[0], 2).alias("p50_latency_ms"), round_half_up(points[1], 2).alias("p95_latency_ms"),
     )
 
 
@@ -91,10 +92,10 @@ def load_metrics(requests: DataFrame) -> DataFrame:
         F.count("*").alias("total_requests"),
         F.count_if(~F.col("failed")).alias("successful_requests"),
         F.count_if("failed").alias("failed_requests"),
-        F.round(F.count("*") / elapsed, 6).alias("throughput_req_sec"),
-        F.round(average("latency_ms"), 2).alias("avg_latency_ms"),
-        F.round(F.count_if(~F.col("failed")) / F.count("*"), 4).alias("success_rate"),
-        F.round(F.count_if("failed") / F.count("*"), 4).alias("error_rate"),
+        round_half_up(F.count("*") / elapsed, 6).alias("throughput_req_sec"),
+        round_half_up(average("latency_ms"), 2).alias("avg_latency_ms"),
+        round_half_up(F.count_if(~F.col("failed")) / F.count("*"), 4).alias("success_rate"),
+        round_half_up(F.count_if("failed") / F.count("*"), 4).alias("error_rate"),
     )
     return totals.join(interpolated_percentiles(requests, ["model"], "latency_ms", LATENCY_POINTS), "model")
 
@@ -106,7 +107,7 @@ def throughput_ratio(requests: DataFrame) -> DataFrame:
         at = F.when(F.col("model") == side, micros(F.col("ts")))
         return F.count(at) / F.greatest((F.max(at) - F.min(at)) / 1e6, F.lit(0.001))
 
-    return requests.agg(F.round(rate("tuned") / rate("base"), 4).alias("speedup"))
+    return requests.agg(round_half_up(rate("tuned") / rate("base"), 4).alias("speedup"))
 
 
 def labelled_counters(requests: DataFrame) -> DataFrame:
@@ -151,9 +152,9 @@ def derived_metrics(steps: DataFrame) -> DataFrame:
     """Train loss, validation loss and perplexity from the smoothed loss."""
     return smoothed_loss(steps).select(
         "job", "step",
-        F.round("ema", 4).alias("train_loss"),
-        F.round(F.col("ema") * VALIDATION_FACTOR, 4).alias("val_loss"),
-        F.round(F.exp(F.least(F.col("ema"), F.lit(20.0))), 2).alias("perplexity"),
+        round_half_up(F.col("ema"), 4).alias("train_loss"),
+        round_half_up(F.col("ema") * VALIDATION_FACTOR, 4).alias("val_loss"),
+        round_half_up(F.exp(F.least(F.col("ema"), F.lit(20.0))), 2).alias("perplexity"),
     )
 
 
@@ -167,11 +168,11 @@ def progress(steps: DataFrame, tokens_per_step: int = 256) -> DataFrame:
     elapsed = (micros(F.col("ts")) - F.col("_start")) / 1e6
     return steps.join(jobs, "job").withColumn("_elapsed", elapsed).select(
         "job", "step", "total_steps",
-        F.round("_elapsed", 4).alias("elapsed_seconds"),
-        F.round(
+        round_half_up(F.col("_elapsed"), 4).alias("elapsed_seconds"),
+        round_half_up(
             F.col("step") * tokens_per_step / F.when(F.col("_elapsed") > 0, F.col("_elapsed")).otherwise(1.0), 4
         ).alias("tokens_per_second"),
-        F.round(F.col("_elapsed") / F.col("step") * (F.col("total_steps") - F.col("step")), 4).alias("eta_seconds"),
+        round_half_up(F.col("_elapsed") / F.col("step") * (F.col("total_steps") - F.col("step")), 4).alias("eta_seconds"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.numbers import round_half_up
 from pairloom.functions import clauses as C
 from pairloom.operators import evaluate, results
 from pairloom.operators.ranking import interpolated_percentiles
@@ -27,9 +28,9 @@ _REQUESTS = views.with_views("requests")
 )
 def exact_match(t: Tables) -> DataFrame:
     """Equality of normalised texts."""
-    return views.sql_pairs(t).select(
-        "case_id", C.normalize_sql(F.col("generated_sql")).alias("normalized"),
-        C.exact_match(F.col("gold_sql"), F.col("generated_sql")).alias("exact_match"),
+    compared = evaluate.compare_texts(views.sql_pairs(t), "gold_sql", "generated_sql")
+    return compared.select(
+        "case_id", F.col("_own").alias("normalized"), (F.col("_gold") == F.col("_own")).alias("exact_match")
     )
 
 
@@ -142,16 +143,9 @@ def _classified(source: str, keep: str) -> str:
 )
 def failure_category(t: Tables) -> DataFrame:
     """First clause in which a wrong text differs from the gold text."""
-    texts = views.sql_pairs(t).select(
-        "case_id", "generated_sql", C.normalize_sql(F.col("gold_sql")).alias("g"),
-        C.normalize_sql(F.col("generated_sql")).alias("o"),
-    )
-    wrong = texts.filter(F.col("g") != F.col("o"))
-    category = C.failure_from_features(
-        F.col("generated_sql"), F.lit(None).cast("string"), C.well_formed(F.col("g")), C.well_formed(F.col("o")),
-        F.col("gf"), F.col("of"),
-    )
-    parsed = wrong.withColumns({"gf": C.features(F.col("g")), "of": C.features(F.col("o"))})
+    compared = evaluate.compare_texts(views.sql_pairs(t), "gold_sql", "generated_sql")
+    parsed = evaluate.parse_texts(compared.filter(F.col("_gold") != F.col("_own")))
+    category = evaluate.failure_category(F.lit(None).cast("string"))
     return parsed.select("case_id", category.alias("failure_category"))
 
 
@@ -217,7 +211,7 @@ def latency_percentiles(t: Tables) -> DataFrame:
 )
 def average_latency(t: Tables) -> DataFrame:
     """Mean latency per model."""
-    mean = F.round(evaluate.average("latency_ms"), 2).alias("avg_latency_ms")
+    mean = round_half_up(evaluate.average("latency_ms"), 2).alias("avg_latency_ms")
     return views.requests(t).groupBy("model").agg(mean)
 
 
@@ -361,5 +355,5 @@ def bleu_summary(t: Tables) -> DataFrame:
     """Mean word overlap per model."""
     scored = evaluate.bleu_scores(views.eval_cases(t), "gold_sql", "generated_sql")
     return scored.groupBy("model").agg(
-        F.count("*").alias("total_samples"), F.round(evaluate.average("bleu"), 4).alias("avg_bleu_score")
+        F.count("*").alias("total_samples"), round_half_up(evaluate.average("bleu"), 4).alias("avg_bleu_score")
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.numbers import round_half_up
 from pairloom.functions import prompts as P
 from pairloom.functions.text import clean_sql, estimated_tokens, word_tokens
-from pairloom.functions.screening import is_well_formed
 from pairloom.operators import prepare, profile
+from pairloom.operators.screen import with_well_formed
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
 from pairloom.session import scratch_path
@@ -298,10 +299,9 @@ def end_to_end_prepare(t: Tables) -> DataFrame:
         t.spark.read.schema("prompt string, completion string, split string").json(path)
         .groupBy("split").agg(F.count("*").alias("exported"))
     )
-    valid = placed.groupBy("split").agg(
-        F.count_if(is_well_formed(F.col("output"))).alias("valid_sql")
-    )
-    share = F.round(F.col("valid_sql") * 100 / F.col("exported"), 2)
+    flagged = with_well_formed(placed.select("split", "output"), "output", "ok")
+    valid = flagged.groupBy("split").agg(F.count_if("ok").alias("valid_sql"))
+    share = round_half_up(F.col("valid_sql") * 100 / F.col("exported"), 2)
     return exported.join(valid, "split").withColumn("validity_percentage", share)
 
 

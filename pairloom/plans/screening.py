@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import screening as S
+from pairloom.functions import text
+from pairloom.operators import screen
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
 from pairloom.sources import views
@@ -14,16 +16,20 @@ from pairloom.sources.tables import COLUMN_NAMES, TABLE_NAMES, Tables
 _WITH = views.with_views("sql_pairs")
 
 
-def sql() -> Column:
-    return F.col("generated_sql")
-
-
 def known(names: list[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
 
 
-def _texts(t: Tables, **columns: Column) -> DataFrame:
-    return views.sql_pairs(t).select("case_id", *[c.alias(name) for name, c in columns.items()])
+def _texts(t: Tables) -> DataFrame:
+    return views.sql_pairs(t).select("case_id", "generated_sql")
+
+
+def _bare(t: Tables) -> DataFrame:
+    return screen.with_bare(_texts(t), "generated_sql")
+
+
+def _names(t: Tables) -> DataFrame:
+    return screen.with_names(_texts(t), "generated_sql")
 
 
 def _select(columns: str, where: str = "") -> str:
@@ -37,13 +43,14 @@ def _joined(expression: str) -> str:
 @query("s01_extract_sql", _select(f"{Q.extract('generated_sql')} AS sql_text"))
 def extract_sql(t: Tables) -> DataFrame:
     """SQL out of a model's answer."""
-    return _texts(t, sql_text=S.extract_sql(sql()))
+    return screen.with_extracted(_texts(t), "generated_sql", "sql_text").drop("generated_sql")
 
 
 @query("s02_first_statement", _select(f"{Q.first_statement(Q.extract('generated_sql'))} AS statement"))
 def first_statement(t: Tables) -> DataFrame:
     """Text before the first semicolon outside literals."""
-    return _texts(t, statement=S.first_statement(S.extract_sql(sql())))
+    extracted = screen.with_extracted(_texts(t), "generated_sql", "sql_text")
+    return extracted.select("case_id", text.first_statement(F.col("sql_text")).alias("statement"))
 
 
 @query(
@@ -54,7 +61,7 @@ def first_statement(t: Tables) -> DataFrame:
 )
 def empty_check(t: Tables) -> DataFrame:
     """Blank texts, which are blocked."""
-    return views.sql_pairs(t).filter(S.is_empty(sql())).select("case_id", F.lit(S.EMPTY_REASON).alias("reason"))
+    return _bare(t).filter(F.col("_clean") == "").select("case_id", F.lit(S.EMPTY_REASON).alias("reason"))
 
 
 @query(
@@ -66,7 +73,8 @@ def empty_check(t: Tables) -> DataFrame:
 )
 def stacked_statements(t: Tables) -> DataFrame:
     """Texts with more than one statement."""
-    return _texts(t, n_statements=S.statement_count(sql())).filter(F.col("n_statements") > 1)
+    counted = _bare(t).select("case_id", S.statement_count(F.col("_bare")).alias("n_statements"))
+    return counted.filter(F.col("n_statements") > 1)
 
 
 _FOUND = f"regexp_extract_all(upper({Q.blank('generated_sql')}), '\\b[A-Z_]+\\b')"
@@ -84,12 +92,12 @@ _BAD = Q.array(S.DESTRUCTIVE_WORDS)
 )
 def destructive_words(t: Tables) -> DataFrame:
     """Destructive words of each text, outside literals and anywhere."""
-    found = _texts(
-        t,
-        found=F.array_join(S.destructive_words(sql()), ", "),
-        found_anywhere=F.array_join(S.destructive_words(sql(), literals=True), ", "),
+    anywhere = _bare(t).withColumn("_anywhere", S.destructive_words(F.col("generated_sql")))
+    return anywhere.filter(F.size("_anywhere") > 0).select(
+        "case_id",
+        F.array_join(S.destructive_words(F.col("_bare")), ", ").alias("found"),
+        F.array_join("_anywhere", ", ").alias("found_anywhere"),
     )
-    return found.filter(F.col("found_anywhere") != "")
 
 
 @query(
@@ -98,13 +106,14 @@ def destructive_words(t: Tables) -> DataFrame:
 )
 def read_only_root(t: Tables) -> DataFrame:
     """Does the text start with SELECT or WITH?"""
-    return _texts(t, read_only=S.has_read_only_root(sql()))
+    return _bare(t).select("case_id", S.has_read_only_root(F.col("_clean")).alias("read_only"))
 
 
 @query("s07_referenced_tables", _select(f"{_joined(Q.tables('generated_sql'))} AS tables_referenced"))
 def referenced_tables(t: Tables) -> DataFrame:
     """Tables after FROM and JOIN."""
-    return _texts(t, tables_referenced=F.array_join(F.array_sort(S.referenced_tables(sql())), ","))
+    found = F.array_join(F.array_sort(S.referenced_tables(F.col("_bare"))), ",")
+    return _bare(t).select("case_id", found.alias("tables_referenced"))
 
 
 @query(
@@ -114,8 +123,9 @@ def referenced_tables(t: Tables) -> DataFrame:
 )
 def unknown_tables(t: Tables) -> DataFrame:
     """Referenced tables that the catalogue lacks; WITH names count as known."""
-    missing = F.array_join(S.unknown_tables(sql(), known(TABLE_NAMES)), ",")
-    return _texts(t, unknown_tables=missing).filter(F.col("unknown_tables") != "")
+    missing = S.unknown_tables(F.col("_tables"), F.col("_ctes"), known(TABLE_NAMES))
+    found = _names(t).select("case_id", missing.alias("names")).filter(F.size("names") > 0)
+    return found.select("case_id", F.array_join("names", ",").alias("unknown_tables"))
 
 
 @query(
@@ -125,7 +135,8 @@ def unknown_tables(t: Tables) -> DataFrame:
 )
 def unknown_columns(t: Tables) -> DataFrame:
     """Texts with more than three column names that the catalogue lacks."""
-    found = _texts(t, names=S.unknown_columns(sql(), known(COLUMN_NAMES))).filter(F.size("names") > 3)
+    strange = S.unknown_columns(F.col("_columns"), known(COLUMN_NAMES))
+    found = _names(t).select("case_id", strange.alias("names")).filter(F.size("names") > 3)
     return found.select(
         "case_id", F.size("names").cast("long").alias("n_unknown"),
         F.array_join(F.slice("names", 1, 3), ", ").alias("first_three"),
@@ -172,7 +183,8 @@ def ddl_catalog(t: Tables) -> DataFrame:
 )
 def pragma_attach(t: Tables) -> DataFrame:
     """Texts with PRAGMA, ATTACH or DETACH."""
-    found = _texts(t, has_pragma=S.has_pragma(sql()), has_attach=S.has_attach(sql()))
+    clean = F.col("_clean")
+    found = _bare(t).select("case_id", S.has_pragma(clean).alias("has_pragma"), S.has_attach(clean).alias("has_attach"))
     return found.filter(F.col("has_pragma") | F.col("has_attach"))
 
 
@@ -187,18 +199,21 @@ _PARTS = Q.statements(Q.fences("generated_sql"))
 )
 def mutating_operations(t: Tables) -> DataFrame:
     """Mutating operations anywhere in the text, and in its first statement."""
-    found = _texts(
-        t,
-        operations=F.array_join(S.mutating_operations(sql()), ","),
-        first_operations=F.array_join(S.mutating_operations(sql(), first_only=True), ","),
+    found = _bare(t).select(
+        "case_id",
+        S.mutating_operations(F.col("_bare")).alias("all_found"),
+        S.mutating_operations(S.first_bare(F.col("_bare"))).alias("first_found"),
+    )
+    return found.filter(F.size("all_found") > 0).select(
+        "case_id", F.array_join("all_found", ",").alias("operations"),
+        F.array_join("first_found", ",").alias("first_operations"),
     )
-    return found.filter(F.col("operations") != "")
 
 
 _VERDICT_SQL = f"""{_WITH}, parts AS (SELECT case_id, {Q.fences('generated_sql')} AS f, {_PARTS} AS parts FROM sql_pairs),
   facts AS (SELECT case_id, f, parts, len(parts) AS n, {Q.mutations('parts[1:1]')} AS ops,
     {Q.unknown_tables('f', TABLE_NAMES)} AS missing, {Q.unknown_columns('f', COLUMN_NAMES)} AS strange,
-    len(list_filter(parts, lambda w: NOT {Q.well_formed('w')})) > 0 AS broken FROM parts),
+    NOT {Q.well_formed('f')} AS broken FROM parts),
   listed AS (SELECT case_id, f, n, broken, list_filter(list_concat(list_concat(
     [CASE WHEN n > 1 THEN 'Multiple SQL statements detected (' || n
       || ' statements). Multi-statement stacked execution is prohibited.' END],
@@ -224,10 +239,8 @@ _VERDICT_SQL = f"""{_WITH}, parts AS (SELECT case_id, {Q.fences('generated_sql')
 )
 def verdict(t: Tables) -> DataFrame:
     """Allowed or blocked, with the reason and every violation."""
-    judged = _texts(t, v=S.verdict(sql(), known(TABLE_NAMES), known(COLUMN_NAMES)))
-    return judged.select(
-        "case_id", "v.allowed", "v.reason", F.array_join("v.violations", " | ").alias("violations")
-    )
+    judged = screen.judge(_texts(t), "generated_sql", known(TABLE_NAMES), known(COLUMN_NAMES))
+    return judged.select("case_id", "allowed", "reason", F.array_join("violations", " | ").alias("violations"))
 
 
 @query(
@@ -240,9 +253,9 @@ def verdict(t: Tables) -> DataFrame:
 )
 def validation_row(t: Tables) -> DataFrame:
     """Valid flag, cleaned sql(), tables and error of each text."""
-    return _texts(t, v=S.validation(sql())).select(
-        "case_id", "v.valid", "v.formatted_sql",
-        F.array_join(F.array_sort("v.tables_referenced"), ",").alias("tables_referenced"), "v.syntax_error",
+    return screen.validate(_texts(t), "generated_sql").select(
+        "case_id", "valid", "formatted_sql",
+        F.array_join(F.array_sort("tables_referenced"), ",").alias("tables_referenced"), "syntax_error",
     )
 
 

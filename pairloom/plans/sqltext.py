@@ -17,7 +17,7 @@ def array(values) -> str:
 
 def rnd(x: str, digits: int) -> str:
     """Round half up on the decimal form of a double."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 9)), {digits}) AS DOUBLE)"
 
 
 def money(x: str) -> str:
@@ -114,9 +114,11 @@ def unknown_columns(x: str, known) -> str:
 
 
 def well_formed(x: str) -> str:
-    bare = blank(x)
+    bare = f"lower({blank(x)})"
     return (
-        f"(regexp_matches({bare}, {lit(S.STATEMENT_START)}) AND NOT regexp_matches({bare}, {lit(S.HOLLOW_CLAUSE)}) "
+        f"(len(regexp_extract_all(';' || {bare}, {lit(S.STATEMENT_START)})) > 0 "
+        f"AND len(regexp_extract_all(';' || {bare}, {lit(S.STATEMENT_START)})) = len({statements(bare)}) "
+        f"AND NOT regexp_matches({bare}, {lit(S.HOLLOW_CLAUSE)}) "
         f"AND length(replace({bare}, '(', '')) = length(replace({bare}, ')', '')) "
         f"AND (length({x}) - length(replace({x}, '''', ''))) % 2 = 0)"
     )
@@ -158,17 +160,16 @@ def normalize(x: str) -> str:
 
 
 def joins(n: str) -> str:
+    tail = lit(C.CLAUSE_TAIL.replace("(?m)", "").replace("$", r"\z"))
     return (
         f"list_transform(regexp_split_to_array({n}, {lit(C.JOIN_WORD)})[2:], "
-        f"lambda j: {strip(f'regexp_replace(j, {lit(C.CLAUSE_END)}, {lit(str())})')})"
+        f"lambda j: {strip(f'regexp_replace(j, {tail}, {lit(str())})')})"
     )
 
 
 def functions(n: str) -> str:
-    return (
-        f"list_sort(list_filter(regexp_extract_all({n}, '\\b([a-z_]\\w*)\\(', 1), "
-        f"lambda f: NOT list_contains({array(C.NOT_FUNCTIONS)}, f)))"
-    )
+    bare = f"regexp_replace({blank(n)}, {lit(C.BEFORE_BRACKET)}, ' (', 'g')"
+    return f"list_sort(regexp_extract_all({bare}, '\\b([a-z_]\\w*)\\(', 1))"
 
 
 def clause(n: str, pattern: str) -> str:

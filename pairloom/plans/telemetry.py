@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.numbers import round_half_up
 from pairloom.operators import telemetry
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
@@ -127,7 +128,7 @@ _EMA = f"""{_STEPS.replace("WITH ", "WITH RECURSIVE ", 1)}, ema AS (SELECT job,
 def smoothed_loss(t: Tables) -> DataFrame:
     """Exponential average of the loss of each job."""
     smoothed = telemetry.smoothed_loss(views.train_steps(t))
-    return smoothed.select("job", "step", F.round("ema", 4).alias("train_loss"))
+    return smoothed.select("job", "step", round_half_up(F.col("ema"), 4).alias("train_loss"))
 
 
 @query(

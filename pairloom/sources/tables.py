@@ -44,6 +44,16 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table for work that is heavy per row (text patterns).
+
+        A table of fewer partitions than cores - one small file - is dealt out to all of
+        them; a large one is left as it is scanned.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def register_views(self) -> None:
         """Register every table as a temp view, for queries given as text."""
         for name in TABLE_NAMES:

@@ -177,7 +177,7 @@ PAIRS_SQL = """SELECT conv_id, turn, conv_id || '-' || turn AS id, text AS instr
 
 
 def sql_pairs(tables: Tables) -> DataFrame:
-    return _view(tables, "sql_pairs", "orders")
+    return tables.spark.sql(VIEW_SQL["sql_pairs"], orders=tables.spread("orders"))
 
 
 def prompts(tables: Tables) -> DataFrame:
@@ -217,7 +217,7 @@ def result_rows(tables: Tables) -> DataFrame:
 def eval_cases(tables: Tables) -> DataFrame:
     """One row per case and model side, with captured execution status."""
     sides = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("shift")) for m, s in _SIDES])
-    gold = tables.orders.withColumn("gold_sql", F.expr(_GOLD)).select("*", F.inline(sides))
+    gold = tables.spread("orders").withColumn("gold_sql", F.expr(_GOLD)).select("*", F.inline(sides))
     return gold.selectExpr(*_EVAL_COLUMNS)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pairloom.functions.screening import verdict
+from pairloom.functions.numbers import round_half_up
+from pairloom.operators.screen import judge
 from pairloom.session import scratch_path
 
 
@@ -81,7 +82,7 @@ def tumbling_rates(events: DataFrame, width: str = "1 hour", delay: str = "1 hou
     closed = append_to_table(counted, "windows")
     return closed.select(
         F.col("window.start").cast("timestamp_ntz").alias("window_start"), "requests",
-        F.round(F.col("total_ms").cast("double") / F.col("requests"), 2).alias("mean_latency_ms"),
+        round_half_up(F.col("total_ms").cast("double") / F.col("requests"), 2).alias("mean_latency_ms"),
     )
 
 
@@ -99,7 +100,7 @@ def sliding_client_rates(
 
 def screened_split(texts: DataFrame, key: str, sql: str, tables, columns) -> tuple[DataFrame, DataFrame]:
     """Screen texts as they arrive; accepted and rejected rows go to two tables."""
-    judged = texts.select(key, sql, verdict(F.col(sql), tables, columns).alias("v")).select(key, sql, "v.*")
+    judged = judge(texts.select(key, sql), sql, tables, columns)
     # One sink, partitioned by the verdict: each text is screened once.
     whole = append_to_table(judged, "screened", ["allowed"])
     shown = [key, sql, "reason", "violations"]
