@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pairloom.functions.clauses import FAILURE_CATEGORIES, failure_from_features, outcome, unigram_bleu
 from pairloom.functions.numbers import round_half_up
@@ -86,33 +85,33 @@ def latency_stats(items: DataFrame, keys: list[str], value: str = "latency_ms")
     return means.join(interpolated_percentiles(items, keys, value, LATENCY_POINTS), keys)
 
 
-def failure_counts(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Failures per category and their share of all failures in percent."""
-    counted = (
-        items.filter(F.col("failure_category").isNotNull())
-        .groupBy(*keys, "failure_category")
-        .agg(F.count("*").alias("failures"))
-    )
-    # The window runs over a dozen categories, not over the cases.
-    total = F.sum("failures").over(W.partitionBy(*keys))
-    return counted.withColumn("share_pct", round_half_up(F.col("failures") * 100 / total, 1))
-
-
 def _category_counts() -> Column:
-    """Map from failure category to its count; categories that never occur are left out."""
-    entries = F.array(
+    """Count of every failure category, as an array of (failure_category, failures)."""
+    label = F.col("failure_category")
+    return F.array(
         *[
-            F.struct(F.lit(c).alias("key"), F.count_if(F.col("failure_category") == c).alias("value"))
+            F.struct(F.lit(c).alias("failure_category"), F.count_if(label == c).alias("failures"))
             for c in FAILURE_CATEGORIES
         ]
     )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+
+
+def failure_counts(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Failures per category and their share of all failures in percent.
+
+    The dozen categories are counted side by side in one aggregate.
+    """
+    counted = items.groupBy(*keys).agg(_category_counts().alias("_counts"), F.count("failure_category").alias("_all"))
+    listed = counted.select(*keys, "_all", F.inline("_counts")).filter(F.col("failures") > 0)
+    return listed.withColumn("share_pct", round_half_up(F.col("failures") * 100 / F.col("_all"), 1)).drop("_all")
 
 
 def run_row(items: DataFrame) -> DataFrame:
     """One row for a benchmark run: every rate and latency of both sides, and failure counts."""
     rates = accuracy(items, ["model"]).join(latency_stats(items, ["model"]), "model")
-    failures = items.groupBy("model").agg(_category_counts().alias("failure_counts"))
+    failures = items.groupBy("model").agg(
+        F.map_from_entries(F.filter(_category_counts(), lambda e: e["failures"] > 0)).alias("failure_counts")
+    )
     per_model = rates.join(failures, "model")
     measures = [c for c in rates.columns if c not in ("model", "total_samples")]
     return per_model.agg(

@@ -44,8 +44,8 @@ def validity_report(df: DataFrame, sql: str) -> DataFrame:
 def unique_tables(df: DataFrame, sql: str) -> DataFrame:
     """Distinct tables referenced by the well-formed texts."""
     bared = df.select(sql).withColumn("_bare", bare_text(F.col(sql)))
-    valid = bared.filter(is_well_formed(F.col(sql), F.col("_bare")))
-    return valid.select(F.explode(referenced_tables(F.col("_bare"))).alias("table_name")).distinct()
+    tables = F.when(is_well_formed(F.col(sql), F.col("_bare")), referenced_tables(F.col("_bare")))
+    return bared.select(F.explode(tables).alias("table_name")).distinct()
 
 
 def catalog_listing(df: DataFrame, dataset: str, domain: str) -> DataFrame:

@@ -16,6 +16,15 @@ from pairloom.functions.screening import _if, _words
 from pairloom.functions.text import first_statement, mask_literals, strip, strip_fences
 
 
+def keep_where(df: DataFrame, condition: Column, *columns: Column | str) -> DataFrame:
+    """``columns`` of the rows that pass.
+
+    A filter would be pushed below the projections that compute the condition, where the
+    optimizer repeats their text patterns once per use. An array of one row or none is
+    generated where it stands.
+    """
+    return df.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
+
 
 def with_bare(df: DataFrame, sql: str) -> DataFrame:
     """Add ``_clean`` (no fences) and ``_bare`` (lower case, literals empty)."""

@@ -9,6 +9,7 @@ from pairloom.functions.numbers import round_half_up
 from pairloom.functions import clauses as C
 from pairloom.operators import evaluate, results
 from pairloom.operators.ranking import interpolated_percentiles
+from pairloom.operators.screen import keep_where
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
 from pairloom.session import scratch_path, write_once
@@ -144,7 +145,8 @@ def _classified(source: str, keep: str) -> str:
 def failure_category(t: Tables) -> DataFrame:
     """First clause in which a wrong text differs from the gold text."""
     compared = evaluate.compare_texts(views.sql_pairs(t), "gold_sql", "generated_sql")
-    parsed = evaluate.parse_texts(compared.filter(F.col("_gold") != F.col("_own")))
+    wrong = keep_where(compared, F.col("_gold") != F.col("_own"), "case_id", "generated_sql", "_gold", "_own")
+    parsed = evaluate.parse_texts(wrong)
     category = evaluate.failure_category(F.lit(None).cast("string"))
     return parsed.select("case_id", category.alias("failure_category"))
 

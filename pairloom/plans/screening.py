@@ -61,7 +61,9 @@ def first_statement(t: Tables) -> DataFrame:
 )
 def empty_check(t: Tables) -> DataFrame:
     """Blank texts, which are blocked."""
-    return _bare(t).filter(F.col("_clean") == "").select("case_id", F.lit(S.EMPTY_REASON).alias("reason"))
+    return screen.keep_where(
+        _bare(t), F.col("_clean") == "", "case_id", F.lit(S.EMPTY_REASON).alias("reason")
+    )
 
 
 @query(
@@ -73,8 +75,8 @@ def empty_check(t: Tables) -> DataFrame:
 )
 def stacked_statements(t: Tables) -> DataFrame:
     """Texts with more than one statement."""
-    counted = _bare(t).select("case_id", S.statement_count(F.col("_bare")).alias("n_statements"))
-    return counted.filter(F.col("n_statements") > 1)
+    counted = _bare(t).withColumn("n_statements", S.statement_count(F.col("_bare")))
+    return screen.keep_where(counted, F.col("n_statements") > 1, "case_id", "n_statements")
 
 
 _FOUND = f"regexp_extract_all(upper({Q.blank('generated_sql')}), '\\b[A-Z_]+\\b')"
@@ -93,8 +95,8 @@ _BAD = Q.array(S.DESTRUCTIVE_WORDS)
 def destructive_words(t: Tables) -> DataFrame:
     """Destructive words of each text, outside literals and anywhere."""
     anywhere = _bare(t).withColumn("_anywhere", S.destructive_words(F.col("generated_sql")))
-    return anywhere.filter(F.size("_anywhere") > 0).select(
-        "case_id",
+    return screen.keep_where(
+        anywhere, F.size("_anywhere") > 0, "case_id",
         F.array_join(S.destructive_words(F.col("_bare")), ", ").alias("found"),
         F.array_join("_anywhere", ", ").alias("found_anywhere"),
     )
@@ -124,8 +126,10 @@ def referenced_tables(t: Tables) -> DataFrame:
 def unknown_tables(t: Tables) -> DataFrame:
     """Referenced tables that the catalogue lacks; WITH names count as known."""
     missing = S.unknown_tables(F.col("_tables"), F.col("_ctes"), known(TABLE_NAMES))
-    found = _names(t).select("case_id", missing.alias("names")).filter(F.size("names") > 0)
-    return found.select("case_id", F.array_join("names", ",").alias("unknown_tables"))
+    found = _names(t).withColumn("names", missing)
+    return screen.keep_where(
+        found, F.size("names") > 0, "case_id", F.array_join("names", ",").alias("unknown_tables")
+    )
 
 
 @query(
@@ -136,9 +140,9 @@ def unknown_tables(t: Tables) -> DataFrame:
 def unknown_columns(t: Tables) -> DataFrame:
     """Texts with more than three column names that the catalogue lacks."""
     strange = S.unknown_columns(F.col("_columns"), known(COLUMN_NAMES))
-    found = _names(t).select("case_id", strange.alias("names")).filter(F.size("names") > 3)
-    return found.select(
-        "case_id", F.size("names").cast("long").alias("n_unknown"),
+    found = _names(t).withColumn("names", strange)
+    return screen.keep_where(
+        found, F.size("names") > 3, "case_id", F.size("names").cast("long").alias("n_unknown"),
         F.array_join(F.slice("names", 1, 3), ", ").alias("first_three"),
     )
 
@@ -184,8 +188,9 @@ def ddl_catalog(t: Tables) -> DataFrame:
 def pragma_attach(t: Tables) -> DataFrame:
     """Texts with PRAGMA, ATTACH or DETACH."""
     clean = F.col("_clean")
-    found = _bare(t).select("case_id", S.has_pragma(clean).alias("has_pragma"), S.has_attach(clean).alias("has_attach"))
-    return found.filter(F.col("has_pragma") | F.col("has_attach"))
+    found = _bare(t).withColumns({"has_pragma": S.has_pragma(clean), "has_attach": S.has_attach(clean)})
+    either = F.col("has_pragma") | F.col("has_attach")
+    return screen.keep_where(found, either, "case_id", "has_pragma", "has_attach")
 
 
 _PARTS = Q.statements(Q.fences("generated_sql"))
@@ -204,8 +209,8 @@ def mutating_operations(t: Tables) -> DataFrame:
         S.mutating_operations(F.col("_bare")).alias("all_found"),
         S.mutating_operations(S.first_bare(F.col("_bare"))).alias("first_found"),
     )
-    return found.filter(F.size("all_found") > 0).select(
-        "case_id", F.array_join("all_found", ",").alias("operations"),
+    return screen.keep_where(
+        found, F.size("all_found") > 0, "case_id", F.array_join("all_found", ",").alias("operations"),
         F.array_join("first_found", ",").alias("first_operations"),
     )
 
@@ -282,8 +287,8 @@ _PROMPTS = views.with_views("prompts")
 )
 def prompt_injection(t: Tables) -> DataFrame:
     """First injection pattern of each prompt that has one."""
-    found = views.prompts(t).select("doc_id", S.injection_pattern(F.col("prompt")).alias("pattern"))
-    return found.filter(F.col("pattern").isNotNull())
+    found = views.prompts(t).withColumn("pattern", S.injection_pattern(F.col("prompt")))
+    return screen.keep_where(found, F.col("pattern").isNotNull(), "doc_id", "pattern")
 
 
 _CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
