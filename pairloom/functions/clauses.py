@@ -17,10 +17,11 @@ ORDER_CLAUSE = r"\border by\b(.*?)(?:\b(?:limit|union|intersect|except)\b|\z)"
 LIMIT_CLAUSE = r"\blimit\b(.*)\z"
 
 # Words that may stand before a bracket without being a function.
-BEFORE_BRACKET = (
-    r"\b(?:all|and|any|as|between|by|case|else|except|exists|from|having|in|intersect|join|like|limit|not|on|or"
-    r"|over|select|some|then|union|using|values|when|where|with)\("
-)
+BEFORE_BRACKET = [
+    "all", "and", "any", "as", "between", "by", "case", "else", "except", "exists", "from", "having", "in",
+    "intersect", "join", "like", "limit", "not", "on", "or", "over", "select", "some", "then", "union", "using",
+    "values", "when", "where", "with",
+]
 
 # Labels of a wrong answer, first difference wins.
 SYNTAX_ERROR = "syntax error"
@@ -53,12 +54,14 @@ def normalize_masked(masked: Column) -> Column:
 def join_clauses(normalized: Column) -> Column:
     """Text of each joined table with its condition, in order."""
     lines = F.regexp_replace(F.regexp_replace(normalized, JOIN_WORD, "\n"), CLAUSE_TAIL, "")
-    return F.slice(F.split(strip(F.regexp_replace(lines, r" *\n *", "\n")), "\n"), 2, 2**30)
+    joins = F.slice(F.split(strip(F.regexp_replace(lines, r" *\n *", "\n")), "\n"), 2, 2**30)
+    return F.when(F.instr(normalized, "join") > 0, joins).otherwise(F.array().cast("array<string>"))
 
 
 def function_names(bare: Column) -> Column:
     """Names before a bracket, sorted, repeated as often as they are used."""
-    return F.array_sort(_all(F.regexp_replace(bare, BEFORE_BRACKET, " ("), r"\b([a-z_]\w*)\("))
+    named = _all(bare, r"\b([a-z_]\w*)\(")
+    return F.array_sort(F.filter(named, lambda name: ~name.isin(BEFORE_BRACKET)))
 
 
 def clause_text(normalized: Column, pattern: str) -> Column:
@@ -117,19 +120,26 @@ def failure_from_features(
     )
 
 
-def unigram_bleu(ref: Column, cand: Column) -> Column:
+def repeated_words(tokens: Column) -> Column:
+    """Words that occur more than once; ``tokens`` is a sorted array column."""
+    again = F.filter(tokens, lambda token, i: (i > 0) & (token == F.get(tokens, i - 1)))
+    return F.array_distinct(again)
+
+
+def unigram_bleu(ref: Column, cand: Column, repeated: Column) -> Column:
     """Clipped unigram precision of two word arrays with brevity penalty, four decimals.
 
-    Both should be columns, not expressions: they are read once per distinct word.
+    A word that the candidate has once matches once if the reference has it; only the
+    ``repeated`` words of the candidate need counting. All three should be columns.
     """
 
     def count(tokens: Column, token: Column) -> Column:
         return F.size(F.filter(tokens, lambda other: other == token))
 
     matches = F.aggregate(
-        F.array_intersect(cand, ref),
-        F.lit(0),
-        lambda total, token: total + F.least(count(cand, token), count(ref, token)),
+        F.array_intersect(repeated, ref),
+        F.size(F.array_intersect(cand, ref)),
+        lambda total, token: total + F.least(count(cand, token), count(ref, token)) - 1,
     )
     precision = matches / F.size(cand)
     penalty = F.when(F.size(cand) < F.size(ref), F.exp(1 - F.size(ref) / F.size(cand))).otherwise(F.lit(1.0))

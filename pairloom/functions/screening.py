@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import blank_literals, strip
+from pairloom.functions.text import blank_literals, drop_all, strip
 
 # Words that make a statement destructive.
 DESTRUCTIVE_WORDS = [
@@ -64,19 +64,19 @@ RESERVED_WORDS = [
 
 # Patterns over lower-case text whose literals are empty.
 FROM_LIST = (
-    r"(?i)\bfrom\s+((?:\w+\.)?[a-z_]\w*(?:\s+(?:as\s+)?[a-z_]\w*)?"
+    r"\bfrom\s+((?:\w+\.)?[a-z_]\w*(?:\s+(?:as\s+)?[a-z_]\w*)?"
     r"(?:\s*,\s*(?:\w+\.)?[a-z_]\w*(?:\s+(?:as\s+)?[a-z_]\w*)?)*)"
 )
-JOIN_TABLE = r"(?i)\bjoin\s+(?:\w+\.)?([a-z_]\w*)"
-CTE_NAME = r"(?i)(?:\bwith|,)\s*(?:recursive\s+)?([a-z_]\w*)\s+as\s*\("
-TABLE_ALIAS = r"(?i)\b(?:from|join)\s+(?:\w+\.)?[a-z_]\w*\s+(?:as\s+)?([a-z_]\w*)"
+JOIN_TABLE = r"\bjoin\s+(?:\w+\.)?([a-z_]\w*)"
+CTE_NAME = r"(?:\bwith|,)\s*(?:recursive\s+)?([a-z_]\w*)\s+as\s*\("
+TABLE_ALIAS = r"\b(?:from|join)\s+(?:\w+\.)?[a-z_]\w*\s+(?:as\s+)?([a-z_]\w*)"
 # How tables and columns are found in DDL text.
 DDL_TABLE = r"create\s+table\s+([a-zA-Z0-9_]+)"
 DDL_COLUMN = r"([a-zA-Z0-9_]+)\s+(?:int|text|decimal|date|timestamp|boolean|varchar)"
 
 # Statement patterns read text with a semicolon before each statement.
 STATEMENT_START = (
-    r"(?i);[\s(]*(?:select|with|values|insert|update|delete|drop|create|alter|pragma|attach|detach|truncate"
+    r";[\s(]*(?:select|with|values|insert|update|delete|drop|create|alter|pragma|attach|detach|truncate"
     r"|vacuum|reindex|grant|revoke|exec|execute|call|explain|replace|merge)\b"
 )
 STATEMENT_WORD = r";[\s(]*([A-Z]+)"
@@ -85,7 +85,7 @@ NOT_COLUMN = r"\bas\s+[a-z_]\w*|\b[a-z_]\w*\s*[.(]"
 FENCED = r"(?is)```(?:sql)?\s*(.*?)\s*```"
 SELECT_WORD = r"(?i)\b(?:select|with)\b"
 HOLLOW_CLAUSE = (
-    r"(?i)\bselect\s+from\b"
+    r"\bselect\s+from\b"
     r"|\b(?:from|where|by|having|limit)\s*(?:;|\z|\b(?:from|where|group|having|order|limit)\b)"
 )
 READ_ONLY_ROOT = r"(?i)\A[\s(]*(?:select|with)\b"
@@ -154,9 +154,9 @@ def unknown_tables(tables: Column, ctes: Column, known: Column) -> Column:
 
 def referenced_columns(bare: Column, tables: Column, ctes: Column) -> Column:
     """Distinct names used as a column, sorted."""
-    names = _all(F.regexp_replace(bare, NOT_COLUMN, " "), r"\b[a-z_]\w*\b", 0)
-    others = F.concat(_words(RESERVED_WORDS), tables, ctes, _all(bare, TABLE_ALIAS))
-    return F.array_sort(F.array_except(names, others))
+    names = _all(F.regexp_replace(bare, NOT_COLUMN, " "), r"\b[a-z_]\w*", 0)
+    open_words = F.filter(names, lambda name: ~name.isin(RESERVED_WORDS))
+    return F.array_sort(F.array_except(open_words, F.concat(tables, ctes, _all(bare, TABLE_ALIAS))))
 
 
 def unknown_columns(columns: Column, known: Column) -> Column:
@@ -201,8 +201,8 @@ def is_well_formed(clean: Column, bare: Column) -> Column:
     Every statement starts with a statement word, no clause is empty, brackets and quotes match.
     """
     started = F.regexp_count(F.concat(F.lit(";"), bare), F.lit(STATEMENT_START))
-    balanced = F.length(F.translate(bare, "(", "")) == F.length(F.translate(bare, ")", ""))
-    quotes = F.length(clean) - F.length(F.translate(clean, "'", ""))
+    balanced = F.length(drop_all(bare, "(")) == F.length(drop_all(bare, ")"))
+    quotes = F.length(clean) - F.length(drop_all(clean, "'"))
     return (
         (started > 0) & (started == statement_count(bare)) & ~bare.rlike(HOLLOW_CLAUSE) & balanced & (quotes % 2 == 0)
     )

@@ -11,7 +11,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_CLASS = f"[{WHITESPACE}]"
+_NOT_BLANK = WHITESPACE.replace(" ", "")
 
 
 def strip(text: Column) -> Column:
@@ -21,22 +21,20 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Strip, and turn each run of whitespace into one blank."""
-    return F.regexp_replace(strip(text), f"{WHITESPACE_CLASS}+", " ")
+    blanks = F.translate(strip(text), _NOT_BLANK, " " * len(_NOT_BLANK))
+    return F.regexp_replace(blanks, " {2,}", " ")
 
 
 def words(text: Column) -> Column:
     """Array of whitespace-separated words; empty for blank text."""
-    stripped = strip(text)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, f"{WHITESPACE_CLASS}+")
-    )
+    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(F.split(collapse(text), " "))
 
 
 def strip_fences(text: Column) -> Column:
     """Drop a leading code fence (with or without a language tag) and a trailing one."""
-    opened = F.regexp_replace(strip(text), r"\A```sql", "")
-    opened = F.regexp_replace(opened, r"\A```", "")
-    return strip(F.regexp_replace(opened, r"```\z", ""))
+    stripped = strip(text)
+    opened = F.regexp_replace(F.regexp_replace(stripped, r"\A```sql", ""), r"\A```", "")
+    return F.when(F.instr(text, "```") > 0, strip(F.regexp_replace(opened, r"```\z", ""))).otherwise(stripped)
 
 
 def clean_sql(text: Column) -> Column:
@@ -67,9 +65,16 @@ def mask_literals(text: Column) -> Column:
     return _literals(text, lambda piece: F.md5(F.lower(piece)))
 
 
+def drop_all(text: Column, characters: str) -> Column:
+    """Take every one of ``characters`` out of the text."""
+    for character in characters:
+        text = F.replace(text, F.lit(character), F.lit(""))
+    return text
+
+
 def blank_literals(text: Column) -> Column:
     """Empty each literal and unquote identifiers."""
-    return F.translate(F.regexp_replace(text, r"'[^']*(?:'|\z)", "''"), '"`[]', "")
+    return drop_all(F.regexp_replace(text, r"'[^']*(?:'|\z)", "''"), '"`[]')
 
 
 def first_statement(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.clauses import FAILURE_CATEGORIES, failure_from_features, outcome, unigram_bleu
+from pairloom.functions.clauses import FAILURE_CATEGORIES, failure_from_features, outcome, repeated_words, unigram_bleu
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions.text import words
 from pairloom.operators.ranking import interpolated_percentiles
@@ -26,9 +26,9 @@ def compare_texts(df: DataFrame, gold: str, generated: str) -> DataFrame:
     return with_normalized(with_normalized(df, gold, "_gold"), generated, "_own")
 
 
-def parse_texts(df: DataFrame) -> DataFrame:
-    """Add features and well-formed flags of the normalised texts."""
-    return with_features(with_features(df, "_gold", "_gf"), "_own", "_of")
+def parse_texts(df: DataFrame, needed: Column | None = None) -> DataFrame:
+    """Add features and well-formed flags of the normalised texts, where they are needed."""
+    return with_features(with_features(df, "_gold", "_gf", needed), "_own", "_of", needed)
 
 
 def failure_category(error: Column) -> Column:
@@ -44,10 +44,13 @@ def score_cases(cases: DataFrame) -> DataFrame:
     Row-wise projections only: the texts are normalised once, everything else is
     derived from the normalised texts.
     """
-    parsed = parse_texts(compare_texts(cases, "gold_sql", "generated_sql"))
     verdict = outcome(
         F.col("generated"), F.col("actual_error"), F.col("gold_error"), F.col("rows_match")
     )
+    compared = compare_texts(cases, "gold_sql", "generated_sql").withColumn("_verdict", verdict)
+    verdict = F.col("_verdict")
+    # A right answer has no category, and a runtime error decides it without the clauses.
+    parsed = parse_texts(compared, verdict.isNotNull() & F.col("actual_error").isNull())
     return parsed.select(
         "case_id", "model",
         (F.col("_gold") == F.col("_own")).alias("em"),
@@ -157,8 +160,11 @@ def side_by_side(items: DataFrame) -> DataFrame:
 
 def bleu_scores(df: DataFrame, reference: str, candidate: str) -> DataFrame:
     """Add ``bleu``; both texts are split into words once."""
-    split = df.withColumns({"_ref": words(F.lower(F.col(reference))), "_cand": words(F.lower(F.col(candidate)))})
-    return split.withColumn("bleu", unigram_bleu(F.col("_ref"), F.col("_cand"))).drop("_ref", "_cand")
+    split = df.withColumns(
+        {"_ref": words(F.lower(F.col(reference))), "_cand": F.array_sort(words(F.lower(F.col(candidate))))}
+    ).withColumn("_repeated", repeated_words(F.col("_cand")))
+    score = unigram_bleu(F.col("_ref"), F.col("_cand"), F.col("_repeated"))
+    return split.withColumn("bleu", score).drop("_ref", "_cand", "_repeated")
 
 
 def append_history(run: DataFrame, path: str) -> DataFrame:

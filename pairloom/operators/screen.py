@@ -139,17 +139,22 @@ def validate(df: DataFrame, output: str) -> DataFrame:
     )
 
 
-def with_features(df: DataFrame, normalized: str, name: str) -> DataFrame:
-    """Add a struct of clause features of a normalised text, and ``<name>_ok``."""
+def with_features(df: DataFrame, normalized: str, name: str, needed: Column | None = None) -> DataFrame:
+    """Add a struct of clause features of a normalised text, and ``<name>_ok``.
 
-
-    text = F.col(normalized)
+    Rows for which ``needed`` does not hold get nulls, without any pattern work.
+    """
+    text = F.col("_text")
     named = (
-        df.withColumn("_bare", S.bare_text(text))
+        df.withColumn("_text", F.col(normalized) if needed is None else F.when(needed, F.col(normalized)))
+        .withColumn("_bare", S.bare_text(text))
         .withColumns({"_tables": S.referenced_tables(F.col("_bare")), "_ctes": S.cte_names(F.col("_bare"))})
     )
+    # Joins and tables are read several times by later rules, so they get columns of their
+    # own; the other fields are read once, and only if no earlier clause decides.
+    named = named.withColumn("_joins", C.join_clauses(text))
     parsed = F.struct(
-        C.join_clauses(text).alias("joins"),
+        F.col("_joins").alias("joins"),
         F.array_sort("_tables").alias("tables"),
         S.referenced_columns(F.col("_bare"), F.col("_tables"), F.col("_ctes")).alias("columns"),
         C.function_names(F.col("_bare")).alias("functions"),
@@ -159,5 +164,5 @@ def with_features(df: DataFrame, normalized: str, name: str) -> DataFrame:
         C.clause_text(text, C.LIMIT_CLAUSE).alias("limit_text"),
     )
     return named.withColumns({name: parsed, f"{name}_ok": S.is_well_formed(text, F.col("_bare"))}).drop(
-        "_bare", "_tables", "_ctes"
+        "_text", "_bare", "_tables", "_ctes", "_joins"
     )

@@ -168,8 +168,10 @@ def joins(n: str) -> str:
 
 
 def functions(n: str) -> str:
-    bare = f"regexp_replace({blank(n)}, {lit(C.BEFORE_BRACKET)}, ' (', 'g')"
-    return f"list_sort(regexp_extract_all({bare}, '\\b([a-z_]\\w*)\\(', 1))"
+    return (
+        f"list_sort(list_filter(regexp_extract_all({blank(n)}, '\\b([a-z_]\\w*)\\(', 1), "
+        f"lambda f: NOT list_contains({array(C.BEFORE_BRACKET)}, f)))"
+    )
 
 
 def clause(n: str, pattern: str) -> str:

@@ -153,6 +153,12 @@ def _view(tables: Tables, name: str, source: str) -> DataFrame:
     return tables.spark.sql(VIEW_SQL[name], **{source: getattr(tables, source)})
 
 
+def _generated_once(df: DataFrame) -> DataFrame:
+    """Emit the rows through a generator: a later filter on a derived text then reads the
+    text instead of building it again below."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
 def pairs(tables: Tables) -> DataFrame:
     """Question/answer pairs out of conversations, with optional fields."""
     return pair_turns(tables.conversations).selectExpr(
@@ -177,7 +183,7 @@ PAIRS_SQL = """SELECT conv_id, turn, conv_id || '-' || turn AS id, text AS instr
 
 
 def sql_pairs(tables: Tables) -> DataFrame:
-    return tables.spark.sql(VIEW_SQL["sql_pairs"], orders=tables.spread("orders"))
+    return _generated_once(tables.spark.sql(VIEW_SQL["sql_pairs"], orders=tables.spread("orders")))
 
 
 def prompts(tables: Tables) -> DataFrame:
@@ -218,7 +224,7 @@ def eval_cases(tables: Tables) -> DataFrame:
     """One row per case and model side, with captured execution status."""
     sides = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("shift")) for m, s in _SIDES])
     gold = tables.spread("orders").withColumn("gold_sql", F.expr(_GOLD)).select("*", F.inline(sides))
-    return gold.selectExpr(*_EVAL_COLUMNS)
+    return _generated_once(gold.selectExpr(*_EVAL_COLUMNS))
 
 
 def with_views(*names: str) -> str:
