@@ -89,33 +89,32 @@ def outcome(generated: Column, actual_error: Column, gold_error: Column, rows_ma
     )
 
 
-def failure_from_features(
-    generated_sql: Column,
-    actual_error: Column,
-    gold_ok: Column,
-    generated_ok: Column,
-    gold: Column,
-    generated: Column,
-) -> Column:
-    """Cause of a wrong answer: runtime error first, then the first clause that differs."""
+def failure_cause(generated_sql: Column, actual_error: Column, gold: str, own: str) -> Column:
+    """Cause of a wrong answer: runtime error first, then the first clause that differs.
+
+    ``gold`` and ``own`` are the prefixes of the columns with the clause features.
+    """
     error = F.lower(actual_error)
-    gold_joins, own_joins = F.size(gold["joins"]), F.size(generated["joins"])
+
+    def differ(feature: str) -> Column:
+        return F.col(f"{gold}_{feature}") != F.col(f"{own}_{feature}")
+
     return (
         F.when(F.coalesce(strip(generated_sql), F.lit("")) == "", SYNTAX_ERROR)
         .when(error.contains("syntax") | error.contains("near"), SYNTAX_ERROR)
         .when(error.contains("no such table"), WRONG_TABLE)
         .when(error.contains("no such column"), WRONG_COLUMN)
         .when(error != "", EXECUTION_ERROR)
-        .when(~gold_ok | ~generated_ok, SYNTAX_ERROR)
-        .when((gold_joins > 0) & (own_joins == 0), MISSING_JOIN)
-        .when(gold["joins"] != generated["joins"], INCORRECT_JOIN)
-        .when(gold["tables"] != generated["tables"], WRONG_TABLE)
-        .when(gold["columns"] != generated["columns"], WRONG_COLUMN)
-        .when(gold["functions"] != generated["functions"], INCORRECT_AGGREGATION)
-        .when(gold["where_text"] != generated["where_text"], INCORRECT_WHERE)
-        .when(gold["group_text"] != generated["group_text"], INCORRECT_GROUP_BY)
-        .when(gold["order_text"] != generated["order_text"], INCORRECT_ORDER_BY)
-        .when(gold["limit_text"] != generated["limit_text"], INCORRECT_LIMIT)
+        .when(~F.col(f"{gold}_ok") | ~F.col(f"{own}_ok"), SYNTAX_ERROR)
+        .when((F.size(f"{gold}_joins") > 0) & (F.size(f"{own}_joins") == 0), MISSING_JOIN)
+        .when(differ("joins"), INCORRECT_JOIN)
+        .when(differ("tables"), WRONG_TABLE)
+        .when(differ("columns"), WRONG_COLUMN)
+        .when(differ("functions"), INCORRECT_AGGREGATION)
+        .when(differ("where_text"), INCORRECT_WHERE)
+        .when(differ("group_text"), INCORRECT_GROUP_BY)
+        .when(differ("order_text"), INCORRECT_ORDER_BY)
+        .when(differ("limit_text"), INCORRECT_LIMIT)
         .otherwise(WRONG_RESULT)
     )
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.clauses import FAILURE_CATEGORIES, failure_from_features, outcome, repeated_words, unigram_bleu
+from pairloom.functions.clauses import FAILURE_CATEGORIES, failure_cause, outcome, repeated_words, unigram_bleu
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions.text import words
 from pairloom.operators.ranking import interpolated_percentiles
-from pairloom.operators.screen import with_features, with_normalized
+from pairloom.operators.screen import with_clauses, with_normalized, with_shape
 
 # The latency percentiles of a run.
 LATENCY_POINTS = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
@@ -17,8 +17,9 @@ LATENCY_POINTS = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms
 
 def clause_features(df: DataFrame, sql: str) -> DataFrame:
     """Clause features of a SQL text column, as flat columns."""
-    parsed = with_features(with_normalized(df, sql, "_n"), "_n", "_f")
-    return parsed.select(*df.columns, "_f.*")
+    parsed = with_clauses(with_shape(with_normalized(df, sql, "_n"), "_n", "_f"), "_f")
+    names = ("joins", "tables", "columns", "functions", "where_text", "group_text", "order_text", "limit_text")
+    return parsed.select(*df.columns, *[F.col(f"_f_{n}").alias(n) for n in names])
 
 
 def compare_texts(df: DataFrame, gold: str, generated: str) -> DataFrame:
@@ -27,15 +28,23 @@ def compare_texts(df: DataFrame, gold: str, generated: str) -> DataFrame:
 
 
 def parse_texts(df: DataFrame, needed: Column | None = None) -> DataFrame:
-    """Add features and well-formed flags of the normalised texts, where they are needed."""
-    return with_features(with_features(df, "_gold", "_gf", needed), "_own", "_of", needed)
+    """Add the features of both normalised texts, as far as they are needed.
+
+    Joins and tables come first. The other clauses are only looked at where these agree
+    and the texts still differ; elsewhere the cause of failure is already known.
+    """
+    shaped = with_shape(with_shape(df, "_gold", "_g", needed), "_own", "_o", needed)
+    undecided = (
+        F.col("_g_ok") & F.col("_o_ok") & (F.col("_gold") != F.col("_own"))
+        & (F.col("_g_joins") == F.col("_o_joins")) & (F.col("_g_tables") == F.col("_o_tables"))
+    )
+    marked = shaped.withColumn("_undecided", undecided)
+    return with_clauses(with_clauses(marked, "_g", F.col("_undecided")), "_o", F.col("_undecided"))
 
 
 def failure_category(error: Column) -> Column:
     """Cause of a wrong answer, over a frame that went through ``parse_texts``."""
-    return failure_from_features(
-        F.col("generated_sql"), error, F.col("_gf_ok"), F.col("_of_ok"), F.col("_gf"), F.col("_of")
-    )
+    return failure_cause(F.col("generated_sql"), error, "_g", "_o")
 
 
 def score_cases(cases: DataFrame) -> DataFrame:

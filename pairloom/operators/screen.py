@@ -139,30 +139,40 @@ def validate(df: DataFrame, output: str) -> DataFrame:
     )
 
 
-def with_features(df: DataFrame, normalized: str, name: str, needed: Column | None = None) -> DataFrame:
-    """Add a struct of clause features of a normalised text, and ``<name>_ok``.
+def with_shape(df: DataFrame, normalized: str, name: str, needed: Column | None = None) -> DataFrame:
+    """Add joins, tables and well-formed flag of a normalised text, as ``<name>_joins`` and so on.
 
     Rows for which ``needed`` does not hold get nulls, without any pattern work.
     """
-    text = F.col("_text")
-    named = (
-        df.withColumn("_text", F.col(normalized) if needed is None else F.when(needed, F.col(normalized)))
-        .withColumn("_bare", S.bare_text(text))
-        .withColumns({"_tables": S.referenced_tables(F.col("_bare")), "_ctes": S.cte_names(F.col("_bare"))})
+    text, bare = F.col(f"{name}_text"), F.col(f"{name}_bare")
+    return (
+        df.withColumn(f"{name}_text", F.col(normalized) if needed is None else F.when(needed, F.col(normalized)))
+        .withColumn(f"{name}_bare", S.bare_text(text))
+        .withColumns(
+            {
+                f"{name}_ok": S.is_well_formed(text, bare),
+                f"{name}_joins": C.join_clauses(text),
+                f"{name}_tables": F.array_sort(S.referenced_tables(bare)),
+                f"{name}_ctes": S.cte_names(bare),
+            }
+        )
     )
-    # Joins and tables are read several times by later rules, so they get columns of their
-    # own; the other fields are read once, and only if no earlier clause decides.
-    named = named.withColumn("_joins", C.join_clauses(text))
-    parsed = F.struct(
-        F.col("_joins").alias("joins"),
-        F.array_sort("_tables").alias("tables"),
-        S.referenced_columns(F.col("_bare"), F.col("_tables"), F.col("_ctes")).alias("columns"),
-        C.function_names(F.col("_bare")).alias("functions"),
-        C.clause_text(text, C.WHERE_CLAUSE).alias("where_text"),
-        C.clause_text(text, C.GROUP_CLAUSE).alias("group_text"),
-        C.clause_text(text, C.ORDER_CLAUSE).alias("order_text"),
-        C.clause_text(text, C.LIMIT_CLAUSE).alias("limit_text"),
-    )
-    return named.withColumns({name: parsed, f"{name}_ok": S.is_well_formed(text, F.col("_bare"))}).drop(
-        "_text", "_bare", "_tables", "_ctes", "_joins"
+
+
+def with_clauses(df: DataFrame, name: str, needed: Column | None = None) -> DataFrame:
+    """Add columns, functions and clause texts to a frame that went through ``with_shape``."""
+    text, bare = F.col(f"{name}_text"), F.col(f"{name}_bare")
+    if needed is not None:
+        text, bare = F.when(needed, text), F.when(needed, bare)
+    placed = df.withColumns({f"{name}_text": text, f"{name}_bare": bare})
+    text, bare = F.col(f"{name}_text"), F.col(f"{name}_bare")
+    return placed.withColumns(
+        {
+            f"{name}_columns": S.referenced_columns(bare, F.col(f"{name}_tables"), F.col(f"{name}_ctes")),
+            f"{name}_functions": C.function_names(bare),
+            f"{name}_where_text": C.clause_text(text, C.WHERE_CLAUSE),
+            f"{name}_group_text": C.clause_text(text, C.GROUP_CLAUSE),
+            f"{name}_order_text": C.clause_text(text, C.ORDER_CLAUSE),
+            f"{name}_limit_text": C.clause_text(text, C.LIMIT_CLAUSE),
+        }
     )
