@@ -147,8 +147,14 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[st
         *keys, "_b", "n", (F.col("_upto") - F.col("_bn")).alias("_before"), "_wanted"
     )
     bucket = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    # Null-safe equality keeps a group whose key is null, and leaves the histogram without
+    # an extra null filter, so that both of its uses share one shuffle.
+    renamed = targets.withColumnsRenamed({c: f"_t_{c}" for c in [*keys, "_b"]})
+    same = F.col("_b").eqNullSafe(F.col("_t__b"))
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_t_{key}"))
     values = (
-        histogram.join(targets, [*keys, "_b"])
+        histogram.join(renamed, same)
         .withColumn("_last", F.col("_before") + F.sum("_n").over(bucket))
         .select(*keys, "n", value, (F.col("_last") - F.col("_n")).alias("_first"), "_last", F.inline("_wanted"))
     )

@@ -47,12 +47,12 @@ class Tables:
     def spread(self, name: str) -> DataFrame:
         """The table for work that is heavy per row (text patterns).
 
-        A table of fewer partitions than cores - one small file - is dealt out to all of
-        them; a large one is left as it is scanned.
+        A table scanned in a handful of partitions - one small file - is dealt out to all
+        cores; anything larger is left as it is scanned, without a shuffle.
         """
         df = getattr(self, name)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
 
     def register_views(self) -> None:
         """Register every table as a temp view, for queries given as text."""
