@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # The columns of each input table, as DDL.
 TABLE_DDL = {
@@ -58,7 +57,3 @@ class Tables:
         """Register every table as a temp view, for queries given as text."""
         for name in TABLE_NAMES:
             getattr(self, name).createOrReplaceTempView(name)
-
-
-def table_schema(name: str) -> T.StructType:
-    return T._parse_datatype_string(TABLE_DDL[name])  # type: ignore[return-value]
