@@ -12,7 +12,7 @@ from pairloom.operators import prepare, profile
 from pairloom.operators.screen import with_well_formed
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
-from pairloom.session import scratch_path
+from pairloom.session import scratch_path, write_once
 from pairloom.sources import views
 from pairloom.sources.tables import Tables
 
@@ -144,8 +144,11 @@ _SPLIT_CASE = """CASE WHEN rn <= floor(n * 0.8) THEN 'train'
   row_number() OVER (ORDER BY md5('42|' || id), id) AS rn FROM pairs) r""",
 )
 def split(t: Tables) -> DataFrame:
-    """Reproducible split of exact sizes."""
-    return prepare.split(views.pairs(t).select("id"))
+    """Reproducible split of exact sizes.
+
+    The ids are written once, so that counting hash prefixes does not repeat the pairing.
+    """
+    return prepare.split(write_once(views.pairs(t).select("id"), "ids"))
 
 
 def _context(q: str = "schema", d: str = "db_id") -> str:
@@ -279,7 +282,7 @@ def model_prompts(t: Tables) -> DataFrame:
 def jsonl_export(t: Tables) -> DataFrame:
     """JSON lines per split, read back."""
     path = scratch_path(t.spark, "jsonl")
-    prepare.export_jsonl(prepare.split(views.pairs(t)), "llama3", path)
+    prepare.export_jsonl(prepare.split(write_once(views.pairs(t), "pairs")), "llama3", path)
     return t.spark.read.schema("prompt string, completion string, split string").json(path).select("split", "completion")
 
 
