@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows_of
+from pairloom.plans.all_queries import ORACLES, QUERIES
 from pairloom.sources.tables import TABLE_NAMES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,15 +20,17 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = entry.queries()[name](spark, FOLDER)
-    cursor = db.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    cursor = db.execute(ORACLES[name])
     assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cursor.description], cursor.fetchall())
