@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pairloom.llm.columns import byte_count, text_crc32, word_count
 from pairloom.llm.counting import digest_cached_counts
 from pairloom.llm.mixing import mix_to_targets
+from pairloom.llm.packing import pack_mixture
 from pairloom.llm.sharding import feistel_shards
+from pairloom.llm.tokenfiles import read_documents, write_token_files
+from pairloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into windows of 2048 tokens, mixed by source."""
+    pieces = pack_mixture(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "byte_bpe_50k.json", end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
+    )
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' ids as directly addressable codes, and read the files back."""
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", 2, path)
+    return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffle all documents into 40 shards of equal row counts."""
