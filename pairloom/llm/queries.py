@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.columns import byte_count, text_crc32, word_count
 from pairloom.llm.counting import digest_cached_counts
+from pairloom.llm.jaccard import jaccard_groups
 from pairloom.llm.mixing import mix_to_targets
 from pairloom.llm.packing import pack_mixture
 from pairloom.llm.sharding import feistel_shards
@@ -61,6 +62,12 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 90 % of their three-word shingles."""
+    return jaccard_groups(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=90)
+
+
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the sources' targets, in words."""
