@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pairloom.llm.columns import byte_count, text_crc32, word_count
 from pairloom.llm.counting import digest_cached_counts
 from pairloom.llm.jaccard import jaccard_groups
+from pairloom.llm.maxproduct import largest_products
 from pairloom.llm.mixing import mix_to_targets
+from pairloom.llm.nearest import nearest
 from pairloom.llm.packing import pack_mixture
 from pairloom.llm.sharding import feistel_shards
 from pairloom.llm.tokenfiles import read_documents, write_token_files
@@ -46,6 +48,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op3_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors of every twentieth, by inner product."""
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffle all documents into 40 shards of equal row counts."""
@@ -84,6 +92,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op9_largest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest products of every fiftieth vector, over integer components."""
+    return largest_products(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op9_largest_products"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS f FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.f, c.f) AS BIGINT) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.f, c.f) DESC, c.vec_id) AS rank
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.f) = len(c.f) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 ORACLES["op7_mix_sources"] = r"""
 WITH docs AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
