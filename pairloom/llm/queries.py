@@ -16,6 +16,7 @@ from pairloom.llm.nearest import nearest
 from pairloom.llm.packing import pack_mixture
 from pairloom.llm.sharding import feistel_shards
 from pairloom.llm.tokenfiles import read_documents, write_token_files
+from pairloom.llm.toxicity import toxicity_scores
 from pairloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,14 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share 90 % of their three-word shingles."""
