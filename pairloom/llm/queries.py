@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.columns import byte_count, text_crc32, word_count
+from pairloom.llm.content import extract_main_text
 from pairloom.llm.counting import digest_cached_counts
 from pairloom.llm.jaccard import jaccard_groups
 from pairloom.llm.maxproduct import largest_products
@@ -107,6 +108,12 @@ def op9_largest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return largest_products(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 ORACLES["op9_largest_products"] = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS f FROM embeddings
