@@ -1,8 +1,76 @@
-"""Placeholder of the corpus pipeline; the stages follow."""
+"""From raw documents to packed training sequences, one operator a stage.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``, works on every row its predecessor kept, and returns
+a DataFrame; all but the last return the columns of documents. Results are written between
+stages, so that a lost executor costs tasks of one stage only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairloom.llm.columns import word_count
+from pairloom.llm.jaccard import jaccard_groups
+from pairloom.llm.mixing import mix_to_targets
+from pairloom.llm.packing import pack_mixture
+from pairloom.llm.toxicity import toxicity_scores
+from pairloom.session import write_once
+
+TOKENIZER, END_ID = "byte_bpe_50k.json", 1
+
+# A network, a similarity join and arithmetic over the whole corpus: no SQL text.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the detector does not call toxic; texts without words stay."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity_scores(docs, labels).filter(F.col("predicted") == 0).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 80 % of their five-word shingles, the one with the smallest id.
+
+    Ids tell documents apart: of rows with one id one stays. Rows without an id stay all.
+    """
+    groups = jaccard_groups(docs, "doc_id", "text", width=5, percent=80)
+    others = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("other")).distinct()
+    others = write_once(others, "others")
+    kept = docs.join(others, F.col("doc_id") == F.col("other"), "left_anti")
+    repeated = write_once(docs.groupBy("doc_id").count().filter(F.col("doc_id").isNotNull() & (F.col("count") > 1)), "repeated")
+    if repeated.isEmpty():
+        return kept
+    twice = repeated.select(F.col("doc_id").alias("again"))
+    once = kept.join(twice, F.col("doc_id") == F.col("again"), "left_anti")
+    first = kept.join(twice, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(first)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to the sources' target weights takes them."""
+    sized = docs.select(F.struct("*").alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mix_to_targets(sized, "source", "size", "doc_id", seed=7)
+    copies = mixed.filter(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full windows of 2048 tokens, in each of which sources have their share."""
+    return pack_mixture(docs, "doc_id", "text", "source", TOKENIZER, END_ID)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_each_group),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = write_once(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
