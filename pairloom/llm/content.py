@@ -133,8 +133,6 @@ def page_tokens(html: str) -> Iterator[tuple[int, str, bool]]:
 
 def token_counts(html: str) -> tuple[Counter, Counter] | None:
     """Tags and words inside and outside the article of a page that marks just one, else None."""
-    if len(re.findall(r"<article\b", html, re.I)) != 1:
-        return None
     inside, outside = Counter(), Counter()
     for kind, value, within in page_tokens(html):
         side = inside if within else outside
@@ -142,7 +140,7 @@ def token_counts(html: str) -> tuple[Counter, Counter] | None:
             side["words"] += len(value.split())
         elif kind == TAG:
             side[value if value.lstrip("/") in _BLOCKS else "inline"] += 1
-    return inside, outside
+    return (inside, outside) if inside["article"] + outside["article"] == 1 else None
 
 
 def weights_from(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
