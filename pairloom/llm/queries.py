@@ -116,9 +116,9 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op9_largest_products"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS f FROM embeddings
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS f FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 ranked AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.f, c.f) AS BIGINT) AS score,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.f, c.f) DESC, c.vec_id) AS rank
