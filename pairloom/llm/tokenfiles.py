@@ -86,11 +86,12 @@ def write_token_files(
 ) -> None:
     """Encode every text, append ``end_id``, and write the ids in ascending ``doc_id`` order.
 
-    Null ids come first, rows with one id are ordered by their text; a null text is empty and
+    Null ids come first, rows with one id are ordered by a hash of their text; a null text is empty and
     leaves its end id. An empty table writes a folder without segments.
     """
-    docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    ordered = docs.repartitionByRange(parallelism(df.sparkSession), "doc", "text").sortWithinPartitions("doc", "text")
+    # The hash breaks ties: range bounds are sampled on the driver, where whole texts would weigh.
+    docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    ordered = docs.repartitionByRange(parallelism(df.sparkSession), "doc", "tie").sortWithinPartitions("doc", "tie")
     segments = ordered.mapInArrow(_segments(tokenizer, end_id, segment_tokens), SEGMENT_DDL)
     segments.write.option("compression", "none").parquet(path)
 

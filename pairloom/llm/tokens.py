@@ -9,13 +9,19 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
+import struct
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 # Words kept per worker process, and the longest word that is kept.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH = 800_000, 64
+
+# Letters whose kind no version of Unicode has changed.
+_LAST_LATIN = "\u024f"
+_LATIN_LETTERS = [c for c in range(ord(_LAST_LATIN) + 1) if chr(c).isalpha()]
 
 _SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
@@ -68,12 +74,14 @@ def count_tokens(name: str, texts: list[str]) -> list[int]:
 
 
 class WordEncoder:
-    """Ids of texts from a byte-level tokenizer whose words begin at a space.
+    """Ids of texts from a tokenizer, with the parts that come up again kept.
 
-    Such a tokenizer splits a text before a space between two visible characters and
+    A byte-level tokenizer splits a text before a space between two visible characters and
     encodes the parts by themselves, so a part met before needs no second call of the
-    library. Texts with white space in front of a space, where a part could reach over it,
-    are encoded whole. Ids come as little-endian unsigned integers of ``width`` bytes.
+    library. A part of plain letters, with or without punctuation behind, goes straight to
+    the library's merge model; others go through the whole library. Texts with white space in front
+    of a space, where a part could reach over it, are encoded whole, and so is every text
+    of any other kind of tokenizer. Ids come as little-endian unsigned integers of ``width`` bytes.
     """
 
     def __init__(self, name: str):
@@ -81,6 +89,27 @@ class WordEncoder:
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.parts: dict[str, bytes] = {}
+        # First words of texts and punctuation behind words, which have no space in front.
+        self.unspaced: dict[str, bytes] = {}
+        self.by_words = self._splits_at_spaces()
+        if self.by_words:
+            # How the library writes the bytes of each Latin character for its merge model.
+            split = self.library.pre_tokenizer
+            self.written = {c: split.pre_tokenize_str(chr(c))[0][0] for c in (32, *_LATIN_LETTERS)}
+
+    def _splits_at_spaces(self) -> bool:
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        split, model = self.library.pre_tokenizer, self.library.model
+        return (
+            isinstance(split, ByteLevel)
+            and split.use_regex
+            and not split.add_prefix_space
+            and self.library.normalizer is None
+            and isinstance(model, BPE)
+            and not model.dropout
+        )
 
     def _call(self, parts: list[str]) -> list[bytes]:
         # In slices: one call holds offsets and strings of all its tokens.
@@ -90,24 +119,54 @@ class WordEncoder:
             coded += [np.array(e.ids, self.dtype).tobytes() for e in batch]
         return coded
 
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a space and the word if that is Latin letters and then punctuation, else None."""
+        stem = word.rstrip(string.punctuation)
+        if not (stem.isalpha() and max(stem) <= _LAST_LATIN):
+            return None
+        ids = self.parts.get(stem)
+        if ids is None:
+            tokens = self.library.model.tokenize((" " + stem).translate(self.written))
+            ids = struct.pack(f"<{len(tokens)}{'H' if self.width == 2 else 'I'}", *[t.id for t in tokens])
+            self.parts[stem] = ids
+        if stem == word:
+            return ids
+        return ids + self._unspaced(word[len(stem) :])
+
+    def _unspaced(self, part: str) -> bytes:
+        ids = self.unspaced.get(part)
+        if ids is None:
+            ids = self._call([part])[0]
+            if len(part) <= CACHED_LENGTH:
+                if len(self.unspaced) >= CACHED_WORDS // 8:
+                    self.unspaced.clear()
+                self.unspaced[part] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self._encode(text) for text in texts]
 
     def _encode(self, text: str) -> bytes:
-        if _SPACE_BEFORE_SPACE.search(text):
+        if not self.by_words or _SPACE_BEFORE_SPACE.search(text):
             return self._call([text])[0]
         # Every part but the first carries its space, which is left out of the key.
         first, *rest = text.split(" ")
-        known = self.parts
-        missing = list({word for word in rest if word not in known})
-        extra = {}
+        known, extra = self.parts, {}
+        missing = {word for word in rest if word not in known}
         if missing:
             if len(known) + len(missing) > CACHED_WORDS:
                 known.clear()
-                missing = list(set(rest))
-            for word, ids in zip(missing, self._call([" " + word for word in missing])):
+                missing = set(rest)
+            others = []
+            for word in missing:
+                ids = self._letters(word) if len(word) <= CACHED_LENGTH else None
+                if ids is None:
+                    others.append(word)
+                else:
+                    known[word] = ids
+            for word, ids in zip(others, self._call([" " + word for word in others])):
                 (known if len(word) <= CACHED_LENGTH else extra)[word] = ids
-        head = self._call([first])[0] if first else b""
+        head = self._unspaced(first) if first else b""
         if extra:
             return head + b"".join([known[w] if w in known else extra[w] for w in rest])
         return head + b"".join(map(known.__getitem__, rest))
