@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import blank_literals, drop_all, strip
+from pairloom.functions.text import blank_literals, drop_all, drop_comments, strip
 
 # Words that make a statement destructive.
 DESTRUCTIVE_WORDS = [
@@ -49,10 +49,14 @@ NO_STATEMENT_REASON = "No valid SQL statements found"
 NO_STATEMENT_VIOLATION = "Invalid SQL statement structure"
 PARSE_REASON = "Failed to parse SQL AST"
 PARSE_VIOLATION = "SQL Syntax Parsing Error"
+NOT_READ_ONLY_VIOLATION = "Only a single read-only SELECT statement may run."
 PRAGMA_VIOLATION = "PRAGMA statement execution is prohibited for safety."
 ATTACH_VIOLATION = "ATTACH/DETACH database command is prohibited."
 NO_SQL_ERROR = "Unable to extract or parse valid SQL AST statement from model generation output"
 
+# Names shorter than this, or starting so, are not reported as unknown columns.
+SHORTEST_COLUMN, ALIAS_LETTER = 3, "t"
+
 # Words that are never a column name.
 RESERVED_WORDS = [
     "all", "and", "any", "as", "asc", "between", "by", "case", "cast", "collate", "cross", "desc",
@@ -81,14 +85,19 @@ STATEMENT_START = (
 )
 STATEMENT_WORD = r";[\s(]*([A-Z]+)"
 BEHIND_WITH = r";\s*WITH\b[^;]*\)\s*(INSERT|UPDATE|DELETE)\b"
+# FROM that names no table: inside these functions, and in a comparison.
+FUNCTION_FROM = r"(\b(?:extract|trim|substring|overlay|position)\s*\([^()]*?)\bfrom\b|\bdistinct\s+from\b"
 NOT_COLUMN = r"\bas\s+[a-z_]\w*|\b[a-z_]\w*\s*[.(]"
+# Fixed value: the first fenced block of an answer.
 FENCED = r"(?is)```(?:sql)?\s*(.*?)\s*```"
 SELECT_WORD = r"(?i)\b(?:select|with)\b"
 HOLLOW_CLAUSE = (
     r"\bselect\s+from\b"
     r"|\b(?:from|where|by|having|limit)\s*(?:;|\z|\b(?:from|where|group|having|order|limit)\b)"
 )
-READ_ONLY_ROOT = r"(?i)\A[\s(]*(?:select|with)\b"
+READ_ONLY_ROOT = r"(?i)\A[\s(;]*(?:select|with)\b"
+# What follows the last WITH query of a statement when that is not a SELECT.
+WRITE_BEHIND_WITH = r"(?i)\A[\s(;]*with\b[^;]*\)\s*(?:insert|update|delete|merge|replace|truncate|drop|create|alter)\b"
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -109,8 +118,8 @@ def _if(condition: Column, message: Column) -> Column:
 
 
 def bare_text(clean: Column) -> Column:
-    """Lower-case text with empty literals and unquoted identifiers: what the patterns look at."""
-    return blank_literals(F.lower(clean))
+    """Lower-case text with empty literals, without comments and quotes around names: what the patterns look at."""
+    return F.regexp_replace(blank_literals(F.lower(clean)), FUNCTION_FROM, "$1,")
 
 
 def statement_count(bare: Column) -> Column:
@@ -122,8 +131,9 @@ def destructive_words(text: Column) -> Column:
     return F.array_sort(F.array_intersect(_all(F.upper(text), r"\b[A-Z_]+\b", 0), _words(DESTRUCTIVE_WORDS)))
 
 
-def has_read_only_root(clean: Column) -> Column:
-    return clean.rlike(READ_ONLY_ROOT)
+def has_read_only_root(bare: Column) -> Column:
+    """Is the first statement a SELECT, or a WITH that ends in one?"""
+    return bare.rlike(READ_ONLY_ROOT) & ~bare.rlike(WRITE_BEHIND_WITH)
 
 
 def fenced_or_whole(output: Column) -> Column:
@@ -160,8 +170,9 @@ def referenced_columns(bare: Column, tables: Column, ctes: Column) -> Column:
 
 
 def unknown_columns(columns: Column, known: Column) -> Column:
-    """Column names of three letters or more, not starting with t, that are not known."""
-    return F.array_except(_all(F.array_join(columns, " "), r"\b[a-su-z_]\w{2,}\b", 0), known)
+    """Column names that are not known, but for short ones and those that look like a table alias."""
+    odd = F.filter(columns, lambda c: (F.length(c) >= SHORTEST_COLUMN) & ~F.startswith(c, F.lit(ALIAS_LETTER)))
+    return F.array_except(odd, known)
 
 
 def ddl_tables(ddl: Column) -> Column:
@@ -202,7 +213,8 @@ def is_well_formed(clean: Column, bare: Column) -> Column:
     """
     started = F.regexp_count(F.concat(F.lit(";"), bare), F.lit(STATEMENT_START))
     balanced = F.length(drop_all(bare, "(")) == F.length(drop_all(bare, ")"))
-    quotes = F.length(clean) - F.length(drop_all(clean, "'"))
+    written = drop_comments(clean)
+    quotes = F.length(written) - F.length(drop_all(written, "'"))
     return (
         (started > 0) & (started == statement_count(bare)) & ~bare.rlike(HOLLOW_CLAUSE) & balanced & (quotes % 2 == 0)
     )

@@ -72,9 +72,30 @@ def drop_all(text: Column, characters: str) -> Column:
     return text
 
 
+# What is read as one piece, whichever starts first: literals, quoted names, comments.
+_LITERAL, _QUOTED, _COMMENT = r"'[^']*(?:'|\z)", r'"[^"]*"', r"--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
+
+
+def _commented(text: Column) -> Column:
+    return (F.instr(text, "--") > 0) | (F.instr(text, "/*") > 0)
+
+
+def drop_comments(text: Column) -> Column:
+    """Put a blank for each comment outside literals and quoted names."""
+    return F.when(_commented(text), F.regexp_replace(text, f"({_LITERAL}|{_QUOTED})|{_COMMENT}", "$1 ")).otherwise(text)
+
+
 def blank_literals(text: Column) -> Column:
-    """Empty each literal and unquote identifiers."""
-    return drop_all(F.regexp_replace(text, r"'[^']*(?:'|\z)", "''"), '"`[]')
+    """Empty each literal, drop comments, and unquote names.
+
+    Of a quoted name with other characters than those of words, its first word character stays.
+    """
+    quoted = r'"(\w+)"|"[^"\w]*(\w?)[^"]*"'
+    emptied = F.when(
+        _commented(text) | (F.instr(text, '"') > 0),
+        F.regexp_replace(text, rf"(')[^']*(?:'|\z)|{quoted}|{_COMMENT}", "$1$1$2$3 "),
+    ).otherwise(F.regexp_replace(text, _LITERAL, "''"))
+    return drop_all(emptied, '"`[]')
 
 
 def first_statement(text: Column) -> Column:

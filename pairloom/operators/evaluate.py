@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.clauses import FAILURE_CATEGORIES, failure_cause, outcome, repeated_words, unigram_bleu
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions.text import words
-from pairloom.operators.ranking import interpolated_percentiles
+from pairloom.operators.percentiles import interpolated_percentiles
 from pairloom.operators.screen import with_clauses, with_normalized, with_shape
 
 # The latency percentiles of a run.

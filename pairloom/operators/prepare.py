@@ -9,6 +9,7 @@ from pairloom.functions.numbers import round_half_up
 from pairloom.functions import prompts as P
 from pairloom.functions.text import clean_sql, collapse, strip
 from pairloom.operators.ranking import assign_split, split_cuts, with_position
+from pairloom.operators.timeline import previous_value
 from pairloom.session import scratch_path, write_once
 
 PAIR_SCHEMA = (
@@ -17,23 +18,19 @@ PAIR_SCHEMA = (
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """A user turn and the assistant turn that follows it, as (instruction, output).
+    """A user turn and the assistant turn that comes next, as (conv_id, turn, instruction, output).
 
-    Both turns get the number of the user turn as key, so one grouped aggregate
-    brings them together: no window over a conversation, which may be huge, and
-    no self-join, which would multiply repeated turns.
+    Rows of a conversation are ordered by turn, role and text; turn numbers may have gaps,
+    and repeated rows stay rows. An assistant row whose row before is a user's makes a pair
+    with the number of the user's turn. The order is taken over range-sorted blocks, since
+    a conversation may be huge.
     """
-    is_user = F.col("role") == "user"
-    keyed = turns.filter(F.col("role").isin("user", "assistant")).select(
-        "conv_id",
-        F.when(is_user, F.col("turn")).otherwise(F.col("turn") - 1).alias("turn"),
-        F.when(is_user, F.col("text")).alias("user_text"),
-        F.when(~is_user, F.col("text")).alias("reply_text"),
-    )
-    return (
-        keyed.groupBy("conv_id", "turn")
-        .agg(F.min("user_text").alias("instruction"), F.min("reply_text").alias("output"))
-        .filter(F.col("instruction").isNotNull() & F.col("output").isNotNull())
+    spoken = turns.select("conv_id", "turn", "role", "text", F.struct("role", "turn", "text").alias("said"))
+    nobody = F.lit(None).cast(spoken.schema["said"].dataType)
+    placed = previous_value(spoken, ["conv_id"], ["turn", "role", "text"], "said", "before", nobody)
+    replied = (F.col("role") == "assistant") & (F.col("before.role") == "user")
+    return placed.filter(replied & F.col("before.text").isNotNull() & F.col("text").isNotNull()).select(
+        "conv_id", F.col("before.turn").alias("turn"), F.col("before.text").alias("instruction"), F.col("text").alias("output")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions.screening import bare_text, is_well_formed, referenced_tables
-from pairloom.operators.ranking import floor_index_percentiles
+from pairloom.operators.percentiles import floor_index_percentiles
 from pairloom.operators.screen import with_well_formed
 
 # The percentile points of the length report.

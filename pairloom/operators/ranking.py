@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.functions.numbers import round_half_up
 from pairloom.session import parallelism, write_once
 
 # monotonically_increasing_id keeps the partition number above bit 33.
@@ -112,86 +111,3 @@ def assign_split(df: DataFrame, key: str, cuts: SplitCuts, seed: int) -> DataFra
     return df.withColumn(
         "split", F.when(h <= cuts.train, "train").when(h <= cuts.val, "val").otherwise("test")
     )
-
-
-def value_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per distinct value of each group; repeated values shrink before the shuffle."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-
-
-def _coarse(value: Column) -> Column:
-    """Order-preserving bucket of a number: fixed resolution, bounded count of buckets."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 256)).cast("long")
-
-
-def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Values at exact zero-based ranks: one row (keys, n, name, value) per wanted rank.
-
-    ``ranks`` maps a name to an expression over ``n``, the rows of the group. Equal
-    values are counted first. A coarse histogram (a few thousand buckets per group at
-    most) tells which bucket holds each rank; only the values in those buckets are put
-    in order, each bucket by itself.
-    """
-    keys = list(keys)
-    histogram = value_histogram(df, keys, value).withColumn("_b", _coarse(F.col(value)))
-    buckets = histogram.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    group = W.partitionBy(*keys)
-    spread = buckets.withColumn(
-        "_upto", F.sum("_bn").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
-    ).withColumn("n", F.sum("_bn").over(group))
-    wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])
-    inside = F.filter(
-        wanted, lambda w: (w["rank"] >= F.col("_upto") - F.col("_bn")) & (w["rank"] < F.col("_upto"))
-    )
-    targets = spread.withColumn("_wanted", inside).filter(F.size("_wanted") > 0).select(
-        *keys, "_b", "n", (F.col("_upto") - F.col("_bn")).alias("_before"), "_wanted"
-    )
-    bucket = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    # Null-safe equality keeps a group whose key is null, and leaves the histogram without
-    # an extra null filter, so that both of its uses share one shuffle.
-    renamed = targets.withColumnsRenamed({c: f"_t_{c}" for c in [*keys, "_b"]})
-    same = F.col("_b").eqNullSafe(F.col("_t__b"))
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_t_{key}"))
-    values = (
-        histogram.join(renamed, same)
-        .withColumn("_last", F.col("_before") + F.sum("_n").over(bucket))
-        .select(*keys, "n", value, (F.col("_last") - F.col("_n")).alias("_first"), "_last", F.inline("_wanted"))
-    )
-    return values.filter((F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_last"))).select(
-        *keys, "n", "name", value
-    )
-
-
-def floor_index_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Element ``int(n * p)`` of the sorted values, one column per point."""
-    ranks = {name: F.floor(F.col("n") * F.lit(p)) for name, p in points.items()}
-    rows = ranked_values(df, keys, value, ranks)
-    return rows.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in points]
-    )
-
-
-def interpolated_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Value at rank ``(n - 1) * p``, linear between neighbours, two decimals."""
-    ranks = {}
-    for name, p in points.items():
-        at = (F.col("n") - 1) * F.lit(p)
-        ranks[f"{name}:low"] = F.floor(at)
-        ranks[f"{name}:high"] = F.ceil(at)
-    rows = ranked_values(df, keys, value, ranks)
-
-    def pick(label: str) -> Column:
-        return F.max(F.when(F.col("name") == label, F.col(value)))
-
-    picked = rows.groupBy(*keys).agg(
-        F.max("n").alias("_n"),
-        *[pick(f"{name}:{side}").alias(f"_{name}_{side}") for name in points for side in ("low", "high")],
-    )
-    columns = []
-    for name, p in points.items():
-        at = (F.col("_n") - 1) * F.lit(p)
-        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
-        between = low * (F.ceil(at) - at) + high * (at - F.floor(at))
-        columns.append(round_half_up(F.when(F.floor(at) == F.ceil(at), low).otherwise(between), 2).alias(name))
-    return picked.select(*keys, *columns)

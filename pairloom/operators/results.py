@@ -26,26 +26,38 @@ def normalize_cells(values: Column) -> Column:
     return F.transform(values, normalize_value)
 
 
-def compare_results(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
+def compare_results(rows: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """One row per case: do both sides hold the same rows?
 
-    ``rows`` has (case_id, side, pos, ordered, values). Both sides are counted against
+    ``rows`` has (case_id, side, pos, ordered, values). ``cases`` (case_id, ordered) lists the cases; one whose
+    results are both empty has no rows, and matches. Both sides are counted against
     each other per (position when order matters, normalised row): equal sequences and
     equal bags both mean that every count is zero. One aggregation, no join, and a
     case with very many rows spreads over its distinct rows.
     """
-    kept = rows if max_rows is None else rows.filter(F.col("pos") < max_rows)
     sign = F.when(F.col("side") == "gold", 1).otherwise(-1)
     balance = (
-        kept.select(
+        rows.select(
             "case_id", "ordered", F.when(F.col("ordered"), F.col("pos")).alias("at"),
             normalize_cells(F.col("values")).alias("row"), sign.alias("sign"),
         )
         .groupBy("case_id", "ordered", "at", "row")
         .agg(F.sum("sign").alias("surplus"), F.count("*").alias("n"))
     )
-    return balance.groupBy("case_id", "ordered").agg(
+    compared = balance.groupBy("case_id", "ordered").agg(
         (F.max(F.abs("surplus")) == 0).alias("rows_match"),
         F.sum(F.abs("surplus")).alias("differing_rows"),
         F.sum("n").alias("rows_compared"),
     )
+    if cases is None:
+        return compared
+    none = F.lit(0).cast("long")
+    return cases.select("case_id", "ordered").join(compared.drop("ordered"), "case_id", "left").select(
+        "case_id", "ordered", F.coalesce("rows_match", F.lit(True)).alias("rows_match"),
+        F.coalesce("differing_rows", none).alias("differing_rows"), F.coalesce("rows_compared", none).alias("rows_compared"),
+    )
+
+
+def asks_for_order(gold_sql: Column) -> Column:
+    """Does the gold text order its result? Then positions count in the comparison."""
+    return F.lower(gold_sql).contains("order by")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.numbers import round_half_up
 from pairloom.operators.ranking import range_blocks
-from pairloom.operators.timeline import border_groups, fill_forward, previous_value
+from pairloom.operators.timeline import border_groups, fill_forward
+from pairloom.session import write_once
 
 # The checkpoint that always exists, and the ratings a user may give.
 BASE_CHECKPOINT = "base-model"
@@ -57,27 +58,33 @@ def deploys(log: DataFrame) -> DataFrame:
     return log.filter(F.col("action") == "deploy")
 
 
+def resolved(log: DataFrame) -> DataFrame:
+    """Every deploy and rollback with the checkpoint it made active and the one it replaced.
+
+    One row per event: (event_id, service, ts, action, checkpoint_id, previous_checkpoint_id, last_different).
+    """
+    return _replayed(log)
+
+
 def active_checkpoints(log: DataFrame) -> DataFrame:
-    """Checkpoint of the newest deploy of each service."""
-    return deploys(log).groupBy("service").agg(
+    """Checkpoint that each service runs after its last deploy or rollback."""
+    return resolved(log).groupBy("service").agg(
         F.max_by("checkpoint_id", F.struct("ts", "event_id")).alias("active_checkpoint")
     )
 
 
 def previous_checkpoints(log: DataFrame) -> DataFrame:
-    """Each deploy with the checkpoint it replaced."""
-    return previous_value(
-        deploys(log), ["service"], ["ts", "event_id"], "checkpoint_id", "previous_checkpoint_id",
-        F.lit(BASE_CHECKPOINT),
-    )
+    """Each deploy or rollback with the checkpoint it replaced."""
+    return resolved(log).drop("last_different")
 
 
 def checkpoint_status(log: DataFrame) -> DataFrame:
-    """ACTIVE for the checkpoint a service runs, READY for its others."""
-    used = deploys(log).select("service", "checkpoint_id").distinct()
-    return used.join(active_checkpoints(log), "service").select(
-        "service", "checkpoint_id",
-        F.when(F.col("checkpoint_id") == F.col("active_checkpoint"), "ACTIVE").otherwise("READY").alias("status"),
+    """ACTIVE for the checkpoint a service runs, READY for its others; one aggregate per service and checkpoint."""
+    events = resolved(log)
+    used = events.groupBy("service", "checkpoint_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
+    newest = events.groupBy("service").agg(F.max(F.struct("ts", "event_id")).alias("newest"))
+    return used.join(newest, "service").select(
+        "service", "checkpoint_id", F.when(F.col("last") == F.col("newest"), "ACTIVE").otherwise("READY").alias("status")
     )
 
 
@@ -85,18 +92,22 @@ def rollback_targets(log: DataFrame, registered: DataFrame) -> DataFrame:
     """Where a rollback of each service would go.
 
     The newest replaced checkpoint that differs from the active one and is registered,
-    else the base checkpoint, or null when that is the active one.
+    else the base checkpoint, or null when that is the active one. The log is reduced to one
+    row per service and replaced checkpoint before anything is joined.
     """
     known = registered.select(F.col("checkpoint_id").alias("previous_checkpoint_id")).distinct()
     known = known.union(known.sparkSession.range(1).select(F.lit(BASE_CHECKPOINT))).distinct()
-    active = active_checkpoints(log)
+    events = resolved(log)
+    active = events.groupBy("service").agg(
+        F.max_by("checkpoint_id", F.struct("ts", "event_id")).alias("active_checkpoint")
+    )
+    replaced = events.groupBy("service", "previous_checkpoint_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
     candidates = (
-        previous_checkpoints(log)
-        .join(active, "service")
+        replaced.join(active, "service")
         .filter(F.col("previous_checkpoint_id") != F.col("active_checkpoint"))
         .join(known, "previous_checkpoint_id", "left_semi")
         .groupBy("service")
-        .agg(F.max_by("previous_checkpoint_id", F.struct("ts", "event_id")).alias("candidate"))
+        .agg(F.max_by("previous_checkpoint_id", "last").alias("candidate"))
     )
     fallback = F.when(F.col("active_checkpoint") != BASE_CHECKPOINT, F.lit(BASE_CHECKPOINT))
     return active.join(candidates, "service", "left").select(
@@ -189,19 +200,27 @@ def _replay_block(events: pd.DataFrame) -> pd.DataFrame:
     ordered = events.sort_values("_slot")
     first = ordered.iloc[0]
     state = INITIAL_STATE if pd.isna(first["active_in"]) else (first["active_in"], first["previous_in"])
-    states = []
+    before, states = [], []
     for checkpoint in ordered["checkpoint_id"]:
+        before.append(state[0])
         state = step(state, checkpoint)
         states.append(state)
-    return ordered[["event_id", "service", "action"]].assign(
-        active_checkpoint=[s[0] for s in states], last_different=[s[1] for s in states]
+    return ordered[["event_id", "service", "ts", "action"]].assign(
+        checkpoint_id=[s[0] for s in states], previous_checkpoint_id=before, last_different=[s[1] for s in states]
     )
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """Active checkpoint after every event of the deploy/rollback log, per service.
+    """Active checkpoint after every event of the deploy/rollback log, per service."""
+    return resolved(log).select(
+        "event_id", "service", "action", F.col("checkpoint_id").alias("active_checkpoint"), "last_different"
+    )
+
 
-    The fold is sequential, so it runs on range-sorted blocks: blocks that share a
+def _replayed(log: DataFrame) -> DataFrame:
+    """The fold behind ``resolved``.
+
+    It is sequential, so it runs on range-sorted blocks: blocks that share a
     service are summarised first (``Effect``), the summaries - at most two per block -
     give each block its incoming state, and then all blocks replay at once.
     """
@@ -222,10 +241,12 @@ def replay(log: DataFrame) -> DataFrame:
     )
     # At most two rows per block.
     placed = blocks.join(F.broadcast(incoming), ["service", "_block"], "left")
-    return placed.groupBy("service", "_block").applyInPandas(
+    states = placed.groupBy("service", "_block").applyInPandas(
         _replay_block,
-        "event_id long, service long, action string, active_checkpoint string, last_different string",
+        f"event_id long, service long, ts {log.schema['ts'].dataType.simpleString()}, action string, checkpoint_id string, "
+        "previous_checkpoint_id string, last_different string",
     )
+    return write_once(states, "resolved")
 
 
 def deletable_checkpoints(registered: DataFrame, log: DataFrame) -> DataFrame:
@@ -250,12 +271,12 @@ def latest_feedback(feedback: DataFrame, n: int = 50) -> DataFrame:
 
 
 def active_at(requests: DataFrame, log: DataFrame) -> DataFrame:
-    """Checkpoint that served each request: the service's newest deploy at or before it."""
+    """Checkpoint that served each request: what the service's last deploy or rollback at or before it made active."""
     probes = requests.select(
         "service", "ts", F.lit(1).alias("_kind"), F.col("request_id").alias("_id"),
         F.lit(None).cast("string").alias("checkpoint_id"),
     )
-    changes = deploys(log).select("service", "ts", F.lit(0).alias("_kind"), F.col("event_id").alias("_id"), "checkpoint_id")
+    changes = resolved(log).select("service", "ts", F.lit(0).alias("_kind"), F.col("event_id").alias("_id"), "checkpoint_id")
     timeline = probes.unionByName(changes)
     filled = fill_forward(timeline, ["service"], ["ts", "_kind", "_id"], "checkpoint_id", "serving")
     return filled.filter(F.col("_kind") == 1).select(
@@ -265,10 +286,16 @@ def active_at(requests: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def select_model(requests: DataFrame, log: DataFrame, registered: DataFrame) -> DataFrame:
-    """Checkpoint for a requested version: base, active, or a known id; unknown ids get the active one."""
+    """Checkpoint for a requested version: base, active, or a known id; unknown ids get the active one.
+
+    ``base`` and ``active`` are most requests and no ids; they join on a key of their own each,
+    so that they do not meet in one task.
+    """
     known = registered.select(F.col("checkpoint_id").alias("known_id")).distinct()
-    chosen = requests.join(active_checkpoints(log), "service", "left").join(
-        known, F.col("requested") == F.col("known_id"), "left"
+    named = ~F.coalesce(F.col("requested").isin("base", "active"), F.lit(True))
+    key = F.when(named, F.col("requested")).otherwise(F.concat(F.lit("\0"), F.col("request_id").cast("string")))
+    chosen = requests.withColumn("_key", key).join(active_checkpoints(log), "service", "left").join(
+        known, F.col("_key") == F.col("known_id"), "left"
     )
     active = F.coalesce("active_checkpoint", F.lit(BASE_CHECKPOINT))
     selected = F.when(F.col("requested") == "base", F.lit(BASE_CHECKPOINT)).otherwise(F.coalesce("known_id", active))

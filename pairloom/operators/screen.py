@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import clauses as C
 from pairloom.functions import screening as S
 from pairloom.functions.screening import _if, _words
-from pairloom.functions.text import first_statement, mask_literals, strip, strip_fences
+from pairloom.functions.text import drop_comments, first_statement, mask_literals, strip, strip_fences
 
 
 def keep_where(df: DataFrame, condition: Column, *columns: Column | str) -> DataFrame:
@@ -42,7 +42,7 @@ def with_names(df: DataFrame, sql: str) -> DataFrame:
 
 def with_normalized(df: DataFrame, sql: str, name: str) -> DataFrame:
     """Add the comparable form of a text column."""
-    lowered = df.withColumn("_lower", F.lower(strip_fences(F.coalesce(F.col(sql), F.lit("")))))
+    lowered = df.withColumn("_lower", F.lower(drop_comments(strip_fences(F.coalesce(F.col(sql), F.lit(""))))))
     masked = lowered.withColumn("_lower", mask_literals(F.col("_lower")))
     return masked.withColumn(name, C.normalize_masked(F.col("_lower"))).drop("_lower")
 
@@ -63,6 +63,7 @@ def with_extracted(df: DataFrame, output: str, name: str) -> DataFrame:
 def judge(df: DataFrame, sql: str, tables: Column, columns: Column, db: str = "target") -> DataFrame:
     """Add ``allowed``, ``reason`` and ``violations`` for each text.
 
+    Allowed is a single statement that reads: a SELECT, or WITH queries and a SELECT.
     ``tables`` and ``columns`` are arrays of the names the schema knows: literals for
     one schema, or columns joined in by database.
     """
@@ -89,6 +90,7 @@ def judge(df: DataFrame, sql: str, tables: Column, columns: Column, db: str = "t
             F.size(operations) > 0,
             F.split(F.concat(F.lit(label), F.array_join(operations, "\n" + label)), "\n"),
         ).otherwise(F.array().cast("array<string>")),
+        _if(~S.has_read_only_root(F.col("_bare")), F.lit(S.NOT_READ_ONLY_VIOLATION)),
         _if(S.has_pragma(F.col("_clean")), F.lit(S.PRAGMA_VIOLATION)),
         _if(S.has_attach(F.col("_clean")), F.lit(S.ATTACH_VIOLATION)),
         _if(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.screen import judge
+from pairloom.session import write_once
 
 CAPTURED_ROWS = 50
 
@@ -32,23 +33,37 @@ def screen_texts(spark: SparkSession, texts: Mapping[str, str], tables: list[str
     return {row["name"]: row["allowed"] for row in rows}
 
 
-def _analyse(spark: SparkSession, text: str) -> tuple[DataFrame | None, str | None]:
-    """Plan a text; the second value is the error type when it cannot run."""
-    try:
-        return spark.sql(text), None
-    except AnalysisException as error:  # a ParseException is one too
-        condition = (error.getCondition() or "").split(".")[0]
-        return None, ERROR_TYPES.get(condition, "ExecutionError")
+def _failure(error: PySparkException) -> str:
+    """Type of what Spark reports about a text."""
+    condition = (error.getCondition() or "").split(".")[0]
+    return ERROR_TYPES.get(condition, "ExecutionError")
 
 
-def capture_status(spark: SparkSession, texts: Mapping[str, str], allowed: Mapping[str, bool]) -> DataFrame:
-    """One row per text: executed, columns, full row count, error type.
+def _run(spark: SparkSession, text: str, allowed: bool) -> tuple[DataFrame | None, str | None]:
+    """The written result of a text, or why there is none.
 
-    Counting is left to Spark: the frames of all runnable texts are one union.
+    The text runs by itself, once: an error while it runs is an error of this text. What is not
+    known to be allowed is not even parsed, since parsing runs commands.
     """
+    if not allowed:
+        return None, "SafetyViolation"
+    try:
+        df = spark.sql(text)
+        # Names may repeat in a result, but not in a written table.
+        return write_once(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), "captured"), None
+    except PySparkException as error:  # analysis, parse and run-time errors
+        return None, _failure(error)
+
+
+def _columns(spark: SparkSession, text: str) -> str:
+    return ",".join(spark.sql(text).columns)
+
+
+def capture_status(spark: SparkSession, texts: Mapping[str, str], allowed: Mapping[str, bool]) -> DataFrame:
+    """One row per text: executed, columns, full row count, error type."""
     parts = []
     for name, text in texts.items():
-        df, error = (None, "SafetyViolation") if not allowed.get(name, True) else _analyse(spark, text)
+        df, error = _run(spark, text, allowed.get(name, False))
         if df is None:
             failed = spark.createDataFrame([(name, False, "", error)], _STATUS)
             parts.append(failed.withColumn("row_count", F.lit(0).cast("long")))
@@ -56,7 +71,7 @@ def capture_status(spark: SparkSession, texts: Mapping[str, str], allowed: Mappi
             parts.append(
                 df.agg(
                     F.lit(name).alias("name"), F.lit(True).alias("executed"),
-                    F.lit(",".join(df.columns)).alias("columns"),
+                    F.lit(_columns(spark, text)).alias("columns"),
                     F.lit(None).cast("string").alias("error_type"), F.count("*").alias("row_count"),
                 )
             )
@@ -64,13 +79,19 @@ def capture_status(spark: SparkSession, texts: Mapping[str, str], allowed: Mappi
 
 
 def capture_rows(spark: SparkSession, texts: Mapping[str, str], allowed: Mapping[str, bool]) -> DataFrame:
-    """The first 50 rows of each runnable text, as a JSON array of its values."""
-    parts = []
+    """The first 50 rows of each text that runs, as a JSON array of its values."""
+    parts = [spark.createDataFrame([], "name string, cells string")]
     for name, text in texts.items():
-        df, _ = (None, None) if not allowed.get(name, True) else _analyse(spark, text)
-        if df is not None:
-            cells = F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]))
-            parts.append(df.limit(CAPTURED_ROWS).select(F.lit(name).alias("name"), cells.alias("cells")))
+        if not allowed.get(name, False):
+            continue
+        try:
+            df = spark.sql(text)
+            placed = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).limit(CAPTURED_ROWS)
+            cells = F.to_json(F.array(*[F.col(c).cast("string") for c in placed.columns]))
+            # Fifty rows at most, run now so that an error stays with its text.
+            parts.append(write_once(placed.select(F.lit(name).alias("name"), cells.alias("cells")), "captured"))
+        except PySparkException:
+            continue
     return reduce(DataFrame.unionByName, parts)
 
 

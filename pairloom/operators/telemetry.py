@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.numbers import round_half_up
 from pairloom.operators.evaluate import LATENCY_POINTS, average
-from pairloom.operators.ranking import interpolated_percentiles
+from pairloom.operators.percentiles import interpolated_percentiles
 from pairloom.operators.timeline import running_sum
 
 # Upper bounds of the latency histogram in seconds.
@@ -22,6 +22,8 @@ LOG_EVERY = 5
 # Steps per chunk of the smoothed loss. 0.7 ** 256 is below 1e-39: what reaches a chunk
 # through more than one whole earlier chunk is far below double precision.
 CHUNK = 256
+# 0.7^(256 * 9) is zero in double precision.
+CHUNKS_BACK = 9
 
 
 def micros(ts: Column) -> Column:
@@ -126,26 +128,31 @@ def latency_histogram(requests: DataFrame) -> DataFrame:
 def smoothed_loss(steps: DataFrame) -> DataFrame:
     """Exponential average of the loss: the first loss, then 0.7 of the last value plus 0.3 of the new loss.
 
-    Steps are numbered 1, 2, ... within a job. Each chunk of steps is summed with the
-    weights 0.3 * 0.7^age in one window over (job, chunk), so a long job spreads over many
-    tasks; the end of the chunk before comes in with weight 0.7^(steps since).
+    Rows of a job count in the order of their steps, which may start anywhere and have gaps.
+    Each chunk of rows is summed with the weights 0.3 * 0.7^age in one window over (job,
+    chunk), so a long job spreads over many tasks; the ends of earlier chunks come in with
+    weight 0.7^(rows since), as far back as that weight is not zero in double precision.
     """
-    placed = steps.withColumns(
+    counted = running_sum(steps.withColumn("_one", F.lit(1)), ["job"], ["step", "loss"], "_one", "_n")
+    placed = counted.withColumns(
         {
-            "_chunk": F.floor((F.col("step") - 1) / CHUNK),
-            "_at": (F.col("step") - 1) % CHUNK,
-            "_x": F.col("loss") * F.when(F.col("step") == 1, 1.0).otherwise(NEW),
+            "_chunk": F.floor((F.col("_n") - 1) / CHUNK),
+            "_at": (F.col("_n") - 1) % CHUNK,
+            "_x": F.col("loss") * F.when(F.col("_n") == 1, 1.0).otherwise(NEW),
         }
     )
-    upto = W.partitionBy("job", "_chunk").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy("job", "_chunk").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
     # Dividing by 0.7^position turns the recurrence into a plain running sum; at most 0.7^-255.
     own = F.sum(F.col("_x") / F.pow(F.lit(KEEP), F.col("_at"))).over(upto) * F.pow(F.lit(KEEP), F.col("_at"))
     summed = placed.withColumn("_own", own)
-    ends = summed.groupBy("job", "_chunk").agg(F.max_by("_own", "step").alias("_in")).select(
-        "job", (F.col("_chunk") + 1).alias("_chunk"), "_in"
+    ends = summed.groupBy("job", "_chunk").agg(F.max_by("_own", "_n").alias("_end"))
+    later = ends.select("job", "_chunk", "_end", F.explode(F.sequence(F.lit(1), F.lit(CHUNKS_BACK))).alias("_back"))
+    carried = later.groupBy(F.col("job").alias("_job"), (F.col("_chunk") + F.col("_back")).alias("_into")).agg(
+        F.sum(F.col("_end") * F.pow(F.lit(KEEP), (F.col("_back") - 1) * CHUNK)).alias("_in")
     )
+    same = F.col("job").eqNullSafe(F.col("_job")) & (F.col("_chunk") == F.col("_into"))
     ema = F.col("_own") + F.coalesce("_in", F.lit(0.0)) * F.pow(F.lit(KEEP), F.col("_at") + 1)
-    return summed.join(ends, ["job", "_chunk"], "left").select(*steps.columns, ema.alias("ema"))
+    return summed.join(carried, same, "left").select(*steps.columns, ema.alias("ema"))
 
 
 def derived_metrics(steps: DataFrame) -> DataFrame:

@@ -55,8 +55,13 @@ def _carried(blocks: DataFrame, keys: Sequence[str], end: Column, combine) -> Da
 
 def _with_carry(blocks: DataFrame, keys: Sequence[str], end: Column, combine, local: Column) -> DataFrame:
     carried = _carried(blocks, keys, end, combine)
+    renamed = carried.withColumnsRenamed({c: f"_c_{c}" for c in ("_block", *keys)})
+    # A null key is a key like others.
+    same = F.col("_block") == F.col("_c__block")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_c_{key}"))
     # At most one row per block.
-    return blocks.withColumn("_local", local).join(F.broadcast(carried), ["_block", *keys], "left")
+    return blocks.withColumn("_local", local).join(F.broadcast(renamed), same, "left")
 
 
 def _tidy(df: DataFrame, columns: Sequence[str], result: Column, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions import clauses as C
 from pairloom.operators import evaluate, results
-from pairloom.operators.ranking import interpolated_percentiles
+from pairloom.operators.percentiles import interpolated_percentiles
 from pairloom.operators.screen import keep_where
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query

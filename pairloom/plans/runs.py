@@ -13,11 +13,18 @@ from pairloom.sources.tables import Tables
 
 _EXPERIMENTS = f"""{views.with_views('experiments')}, newest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
   PARTITION BY experiment_id ORDER BY ts DESC) AS rn FROM experiments) r WHERE rn = 1)"""
-_LOG = f"""{views.with_views('deployments', 'checkpoints')},
-  deploys AS (SELECT * FROM deployments WHERE action = 'deploy'),
-  active AS (SELECT service, arg_max(checkpoint_id, (ts, event_id)) AS active_checkpoint FROM deploys GROUP BY service),
-  previous AS (SELECT *, coalesce(lag(checkpoint_id) OVER (PARTITION BY service ORDER BY ts, event_id), 'base-model')
-    AS previous_checkpoint_id FROM deploys)"""
+_REPLAY = """numbered AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS i FROM deployments),
+  states AS (SELECT service, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, min(ts) AS ts, CAST('' AS VARCHAR) AS action,
+      'base-model' AS active_checkpoint, 'base-model' AS last_different, 'base-model' AS replaced FROM numbered GROUP BY service
+    UNION ALL SELECT n.service, n.i, n.event_id, n.ts, n.action,
+      CASE WHEN n.action = 'rollback' THEN s.last_different ELSE n.checkpoint_id END,
+      CASE WHEN n.action = 'rollback' OR n.checkpoint_id <> s.active_checkpoint THEN s.active_checkpoint
+           ELSE s.last_different END, s.active_checkpoint
+    FROM states s JOIN numbered n ON n.service = s.service AND n.i = s.i + 1)"""
+_LOG = f"""{views.with_views('deployments', 'checkpoints').replace("WITH ", "WITH RECURSIVE ", 1)}, {_REPLAY},
+  previous AS (SELECT event_id, service, ts, active_checkpoint AS checkpoint_id, replaced AS previous_checkpoint_id
+    FROM states WHERE i > 0),
+  active AS (SELECT service, arg_max(active_checkpoint, i) AS active_checkpoint FROM states WHERE i > 0 GROUP BY service)"""
 
 
 def experiments(t: Tables) -> DataFrame:
@@ -64,7 +71,7 @@ def active_checkpoint(t: Tables) -> DataFrame:
     f"{_LOG} SELECT event_id, service, checkpoint_id, previous_checkpoint_id FROM previous",
 )
 def previous_checkpoint(t: Tables) -> DataFrame:
-    """Each deploy with the checkpoint it replaced."""
+    """Each deploy or rollback with the checkpoint it replaced."""
     found = runs.previous_checkpoints(views.deployments(t))
     return found.select("event_id", "service", "checkpoint_id", "previous_checkpoint_id")
 
@@ -72,7 +79,7 @@ def previous_checkpoint(t: Tables) -> DataFrame:
 @query(
     "r07_checkpoint_status",
     f"""{_LOG} SELECT DISTINCT service, checkpoint_id, CASE WHEN checkpoint_id = active_checkpoint THEN 'ACTIVE'
-  ELSE 'READY' END AS status FROM deploys JOIN active USING (service)""",
+  ELSE 'READY' END AS status FROM previous JOIN active USING (service)""",
 )
 def checkpoint_status(t: Tables) -> DataFrame:
     """ACTIVE or READY per service and checkpoint."""
@@ -104,17 +111,7 @@ def rollback_target(t: Tables) -> DataFrame:
 
 @query(
     "r09_replay_log",
-    views.with_views("deployments").replace("WITH ", "WITH RECURSIVE ", 1)
-    + """, numbered AS (SELECT event_id, service, action, checkpoint_id,
-    row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS i FROM deployments),
-  states AS (SELECT service, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST('' AS VARCHAR) AS action,
-      'base-model' AS active_checkpoint, 'base-model' AS last_different FROM numbered WHERE i = 1
-    UNION ALL SELECT n.service, n.i, n.event_id, n.action,
-      CASE WHEN n.action = 'rollback' THEN s.last_different ELSE n.checkpoint_id END,
-      CASE WHEN n.action = 'rollback' OR n.checkpoint_id <> s.active_checkpoint THEN s.active_checkpoint
-           ELSE s.last_different END
-    FROM states s JOIN numbered n ON n.service = s.service AND n.i = s.i + 1)
-  SELECT event_id, service, action, active_checkpoint, last_different FROM states WHERE i > 0""",
+    f"{_LOG} SELECT event_id, service, action, active_checkpoint, last_different FROM states WHERE i > 0",
 )
 def replay_log(t: Tables) -> DataFrame:
     """Active checkpoint after every deploy and rollback."""
@@ -124,7 +121,7 @@ def replay_log(t: Tables) -> DataFrame:
 @query(
     "r10_deletable",
     f"""{_LOG} SELECT DISTINCT checkpoint_id FROM (SELECT checkpoint_id FROM checkpoints UNION
-  SELECT 'old-' || service FROM deploys) c WHERE checkpoint_id <> 'base-model'
+  SELECT 'old-' || service FROM deployments WHERE action = 'deploy') c WHERE checkpoint_id <> 'base-model'
   AND checkpoint_id NOT IN (SELECT active_checkpoint FROM active)""",
 )
 def deletable(t: Tables) -> DataFrame:
@@ -165,7 +162,7 @@ def latest_feedback(t: Tables) -> DataFrame:
     return runs.latest_feedback(views.feedback(t))
 
 
-_REQUESTS = views.with_views("requests", "deployments", "checkpoints")
+_REQUESTS = _LOG.replace("WITH RECURSIVE ", views.with_views("requests").replace("WITH ", "WITH RECURSIVE ") + ",\n", 1)
 
 
 def service_requests(t: Tables) -> DataFrame:
@@ -183,7 +180,7 @@ def service_requests(t: Tables) -> DataFrame:
     "r14_active_at",
     f"""{_REQUESTS} SELECT r.request_id, r.service, coalesce(d.checkpoint_id, 'base-model') AS serving_checkpoint
   FROM (SELECT request_id, ts, client % 50 AS service FROM requests) r
-  ASOF LEFT JOIN (SELECT * FROM deployments WHERE action = 'deploy') d ON r.service = d.service AND r.ts >= d.ts""",
+  ASOF LEFT JOIN previous d ON r.service = d.service AND r.ts >= d.ts""",
 )
 def active_at(t: Tables) -> DataFrame:
     """Checkpoint that served each request."""
@@ -192,12 +189,10 @@ def active_at(t: Tables) -> DataFrame:
 
 @query(
     "r15_select_model",
-    f"""{_REQUESTS}, active AS (SELECT service, arg_max(checkpoint_id, (ts, event_id)) AS a FROM deployments
-    WHERE action = 'deploy' GROUP BY service),
-  asked AS (SELECT request_id, client % 50 AS service, CASE request_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'active'
+    f"""{_REQUESTS}, asked AS (SELECT request_id, client % 50 AS service, CASE request_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'active'
     ELSE 'ckpt-' || request_id % 7 END AS requested FROM requests),
   chosen AS (SELECT request_id, service, requested, CASE WHEN requested = 'base' THEN 'base-model'
-    WHEN requested IN (SELECT checkpoint_id FROM checkpoints) THEN requested ELSE coalesce(a, 'base-model') END AS selected
+    WHEN requested IN (SELECT checkpoint_id FROM checkpoints) THEN requested ELSE coalesce(active_checkpoint, 'base-model') END AS selected
     FROM asked LEFT JOIN active USING (service))
   SELECT *, selected <> 'base-model' AS is_finetuned FROM chosen""",
 )

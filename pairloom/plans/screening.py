@@ -102,13 +102,20 @@ def destructive_words(t: Tables) -> DataFrame:
     )
 
 
+# The root rule on its own terms: the first word of the text, and what stands behind the last bracket of a WITH.
+_FIRST_WORD = f"lower(regexp_extract({Q.fences('generated_sql')}, '[A-Za-z]+'))"
+_READS = f"""({_FIRST_WORD} = 'select' OR ({_FIRST_WORD} = 'with'
+  AND lower(regexp_extract({Q.fences('generated_sql')}, '(?s)\\)\\s+([A-Za-z]+)\\s+[^()]*(?:\\([^)]*\\)[^()]*)*\\z', 1))
+  NOT IN ('insert', 'update', 'delete', 'merge', 'replace', 'truncate', 'drop', 'create', 'alter')))"""
+
+
 @query(
     "s06_read_only_root",
-    _select(f"regexp_matches({Q.fences('generated_sql')}, {Q.lit(S.READ_ONLY_ROOT)}) AS read_only"),
+    _select(f"{_READS} AS read_only"),
 )
 def read_only_root(t: Tables) -> DataFrame:
     """Does the text start with SELECT or WITH?"""
-    return _bare(t).select("case_id", S.has_read_only_root(F.col("_clean")).alias("read_only"))
+    return _bare(t).select("case_id", S.has_read_only_root(F.col("_bare")).alias("read_only"))
 
 
 @query("s07_referenced_tables", _select(f"{_joined(Q.tables('generated_sql'))} AS tables_referenced"))
@@ -215,15 +222,17 @@ def mutating_operations(t: Tables) -> DataFrame:
     )
 
 
-_VERDICT_SQL = f"""{_WITH}, parts AS (SELECT case_id, {Q.fences('generated_sql')} AS f, {_PARTS} AS parts FROM sql_pairs),
-  facts AS (SELECT case_id, f, parts, len(parts) AS n, {Q.mutations('parts[1:1]')} AS ops,
+_VERDICT_SQL = f"""{_WITH}, parts AS (SELECT case_id, {Q.fences('generated_sql')} AS f, {_PARTS} AS parts,
+    {_READS} AS reads FROM sql_pairs),
+  facts AS (SELECT case_id, f, parts, reads, len(parts) AS n, {Q.mutations('parts[1:1]')} AS ops,
     {Q.unknown_tables('f', TABLE_NAMES)} AS missing, {Q.unknown_columns('f', COLUMN_NAMES)} AS strange,
     NOT {Q.well_formed('f')} AS broken FROM parts),
   listed AS (SELECT case_id, f, n, broken, list_filter(list_concat(list_concat(
     [CASE WHEN n > 1 THEN 'Multiple SQL statements detected (' || n
       || ' statements). Multi-statement stacked execution is prohibited.' END],
     list_transform(ops, lambda o: 'Prohibited AST operation detected: ' || o)),
-    [CASE WHEN contains(lower(f), 'pragma') THEN {Q.lit(S.PRAGMA_VIOLATION)} END,
+    [CASE WHEN NOT reads THEN 'Only a single read-only SELECT statement may run.' END,
+     CASE WHEN contains(lower(f), 'pragma') THEN {Q.lit(S.PRAGMA_VIOLATION)} END,
      CASE WHEN contains(lower(f), 'attach ') OR contains(lower(f), 'detach ') THEN {Q.lit(S.ATTACH_VIOLATION)} END,
      CASE WHEN len(missing) > 0 THEN 'Referenced table(s) '
        || array_to_string(list_transform(missing, lambda m: '''' || m || ''''), ', ')

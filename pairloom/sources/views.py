@@ -31,11 +31,12 @@ _GOLD = (
     f"WHEN o_orderkey % 2 = 0 THEN {_JOIN_GOLD} ELSE {_SINGLE_GOLD} END"
 )
 _STACKED = (
-    "CASE CAST(floor(o_orderkey / 20.0) AS BIGINT) % 9 "
+    "CASE CAST(floor(o_orderkey / 20.0) AS BIGINT) % 11 "
     "WHEN 0 THEN 'DROP TABLE orders' WHEN 1 THEN 'DELETE FROM orders' "
     "WHEN 2 THEN 'UPDATE orders SET o_totalprice = 0' WHEN 3 THEN 'INSERT INTO orders VALUES (1)' "
     "WHEN 4 THEN 'ALTER TABLE orders ADD COLUMN x INT' WHEN 5 THEN 'CREATE TABLE copy (id INT)' "
     "WHEN 6 THEN 'PRAGMA table_info(orders)' WHEN 7 THEN 'ATTACH DATABASE other AS o2' "
+    "WHEN 8 THEN 'REPLACE INTO orders VALUES (1)' WHEN 9 THEN 'MERGE INTO orders USING part ON true' "
     "ELSE 'TRUNCATE TABLE orders' END"
 )
 _WITH_TEXT = (
@@ -178,7 +179,7 @@ PAIRS_SQL = """SELECT conv_id, turn, conv_id || '-' || turn AS id, text AS instr
        || ' DECIMAL(10, 2));' END AS schema,
   CASE WHEN conv_id % 5 <> 4 THEN 'db' || conv_id % 4 END AS db_id
   FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS reply FROM conversations
-        WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) t
   WHERE role = 'user' AND next_role = 'assistant'"""
 
 

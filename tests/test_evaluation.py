@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import evaluate, results, suite
-from pairloom.operators.ranking import interpolated_percentiles
+from pairloom.operators.percentiles import interpolated_percentiles
 
 JOINED = (
     "SELECT singer_id, name FROM singer JOIN concert ON singer.id = concert.id "
@@ -94,7 +94,28 @@ def test_result_comparison(spark):
     assert _compare(spark, [["9007199254740993"]], [["9007199254740993.0"]], False)
     assert not _compare(spark, [["9007199254740993"]], [["9007199254740992"]], False)
     assert not _compare(spark, [["1_000"]], [["1000"]], False)
-    assert _compare(spark, [[str(i)] for i in range(60)], [[str(i)] for i in range(50)], True, max_rows=50)
+    assert not _compare(spark, [[str(i)] for i in range(60)], [[str(i)] for i in range(50)], True)
+
+
+def test_two_empty_results_match(spark):
+    rows = spark.createDataFrame([(1, "gold", 0, False, ["a"])], "case_id long, side string, pos long, ordered boolean, values array<string>")
+    cases = spark.createDataFrame([(1, False), (2, True)], "case_id long, ordered boolean")
+    got = {r["case_id"]: (r["rows_match"], r["rows_compared"]) for r in results.compare_results(rows, cases).collect()}
+    assert got == {1: (False, 1), 2: (True, 0)}
+
+
+def test_gold_text_asks_for_order(spark):
+    frame = spark.createDataFrame([("SELECT a FROM t ORDER BY a",), ("SELECT a FROM t",)], "g string")
+    assert [r[0] for r in frame.select(results.asks_for_order(frame["g"])).collect()] == [True, False]
+
+
+def test_percentiles_of_close_values_and_nan(spark):
+    frame = spark.range(200_000).selectExpr("'m' model", "100 + id / 1e6 AS v").unionByName(
+        spark.createDataFrame([("m", float("nan")), ("m", None), (None, 1.0), (None, 3.0)], "model string, v double")
+    )
+    got = {r["model"]: (r["a"], r["z"]) for r in interpolated_percentiles(frame, ["model"], "v", {"a": 0.5, "z": 1.0}).collect()}
+    assert got["m"][0] == 100.1 and got["m"][1] != got["m"][1]
+    assert got[None] == (2.0, 3.0)
 
 
 @pytest.mark.parametrize(

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import prompts, text
 from pairloom.operators import prepare, profile
-from pairloom.operators.ranking import floor_index_percentiles, with_position
+from pairloom.operators.percentiles import floor_index_percentiles
+from pairloom.operators.ranking import with_position
 from pairloom.session import scratch_path
 
 
@@ -62,9 +63,20 @@ def test_turn_pairs_with_copies(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "u1"), (1, 2, "assistant", "a1"), (1, 3, "user", "u2")]
     turns += [(2, 0, "user", "x"), (2, 1, "assistant", "y")] * 200
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    # Of the repeated turns, the last user row is followed by the first reply.
     assert sorted(map(tuple, prepare.pair_turns(frame).collect())) == [(1, 1, "u1", "a1"), (2, 0, "x", "y")]
 
 
+def test_turn_pairs_over_gaps_and_repeats(spark):
+    turns = [(1, 1, "user", "u1"), (1, 3, "assistant", "a3"), (1, 4, "user", "u4"), (1, 4, "assistant", "a4"), (1, 9, "assistant", "a9")]
+    turns += [(2, 1, "user", "first"), (2, 1, "user", "second"), (2, 2, "assistant", "r1"), (2, 2, "assistant", "r2")]
+    turns += [(3, 1, "user", "asks"), (3, 2, "system", "between"), (3, 3, "assistant", "late")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, prepare.pair_turns(frame).collect()))
+    # In turn 4 of conversation 1 the roles sort the assistant first.
+    assert got == [(1, 1, "u1", "a3"), (1, 4, "u4", "a9"), (2, 1, "second", "r1")]
+
+
 def test_cycle_and_epochs(spark):
     items = spark.createDataFrame([("c",), ("a",), ("b",)], "id string")
     got = sorted((r["request_no"], r["id"]) for r in prepare.cycle(items, ["id"], 3, 7).collect())

@@ -65,13 +65,17 @@ def test_replay_twice_toggles():
 
 
 def test_previous_and_forward_fill(log, log_rows):
-    deploys = sorted((r for r in log_rows if r[3] == "deploy"), key=lambda r: (r[1], r[2], r[0]))
-    want, last = {}, {}
-    for event_id, service, _, _, checkpoint in deploys:
-        want[event_id] = last.get(service, "base-model")
-        last[service] = checkpoint
+    want, state = {}, {}
+    for event_id, service, _, action, checkpoint in sorted(log_rows, key=lambda r: (r[1], r[2], r[0])):
+        before = state.get(service, INITIAL_STATE)
+        want[event_id] = before[0]
+        state[service] = step(before, checkpoint if action == "deploy" else None)
     got = {r["event_id"]: r["previous_checkpoint_id"] for r in runs.previous_checkpoints(log).collect()}
     assert got == want
+    active = {r["service"]: r["active_checkpoint"] for r in runs.active_checkpoints(log).collect()}
+    assert active == {service: current for service, (current, _) in state.items()}
+    statuses = {(r["service"], r["checkpoint_id"]) for r in runs.checkpoint_status(log).collect() if r["status"] == "ACTIVE"}
+    assert statuses == set(active.items())
     filled = timeline.fill_forward(log, ["service"], ["ts", "event_id"], "checkpoint_id", "seen").collect()
     want, last = {}, {}
     for event_id, service, _, _, checkpoint in sorted(log_rows, key=lambda r: (r[1], r[2], r[0])):
@@ -89,6 +93,20 @@ def test_rollback_target_and_deletable(spark):
     assert {r[0] for r in runs.deletable_checkpoints(known, log).collect()} == {"a", "c"}
 
 
+def test_rollback_makes_its_target_active(spark):
+    rows = [(1, 0, 1, "deploy", "a"), (2, 0, 2, "deploy", "b"), (3, 0, 3, "rollback", None)]
+    log = spark.createDataFrame(rows, "event_id long, service long, ts long, action string, checkpoint_id string")
+    known = spark.createDataFrame([("a",), ("b",)], "checkpoint_id string")
+    assert [tuple(r) for r in runs.active_checkpoints(log).collect()] == [(0, "a")]
+    assert {r[0] for r in runs.deletable_checkpoints(known, log).collect()} == {"b"}
+    # The rollback replaced b, so the next one would go there again.
+    assert [r["rollback_target"] for r in runs.rollback_targets(log, known).collect()] == ["b"]
+    requests = spark.createDataFrame([(9, 2, 0, "active"), (8, 5, 0, "active"), (7, 0, 0, "base")], "request_id long, ts long, service long, requested string")
+    served = {r["request_id"]: r["serving_checkpoint"] for r in runs.active_at(requests, log).collect()}
+    assert served == {9: "b", 8: "a", 7: "base-model"}
+    assert {r["request_id"]: r["selected"] for r in runs.select_model(requests, log, known).collect()} == {9: "a", 8: "a", 7: "base-model"}
+
+
 def test_compare_experiments(spark):
     rows = [("base", 0.42, 0.58, 125.0, 115.0, 160.0, 3.10), ("tuned", 0.90, 0.96, 38.5, 32.0, 48.0, 0.389)]
     frame = spark.createDataFrame(
@@ -108,6 +126,12 @@ def test_upsert_and_feedback(spark):
     assert len(newest) == 50 and newest[0] == 199 and all(i % 2 for i in newest)
 
 
+def test_smoothed_loss_with_gaps(spark):
+    frame = spark.createDataFrame([(1, 5, 10.0), (1, 10, 20.0), (1, 15, 30.0)], "job long, step long, loss double")
+    got = {r["step"]: round(r["ema"], 6) for r in telemetry.smoothed_loss(frame).collect()}
+    assert got == {5: 10.0, 10: 13.0, 15: 18.1}
+
+
 def test_smoothed_loss(spark):
     frame = spark.createDataFrame([(1, 1, 10.0), (1, 2, 20.0), (1, 3, 30.0)], "job long, step long, loss double")
     got = {r["step"]: round(r["ema"], 6) for r in telemetry.smoothed_loss(frame).collect()}

@@ -28,6 +28,16 @@ ALLOWED = [
     "```sql\nSELECT email FROM customers\n```",
     "SELECT first_name FROM customers WHERE country = 'a; DROP TABLE orders'",
     "SELECT a.email FROM customers a, orders o WHERE a.customer_id = o.customer_id",
+    "-- latest\nSELECT email FROM customers",
+    "/* a; b */ SELECT email FROM customers",
+    "SELECT email FROM customers; -- done",
+    "SELECT email FROM customers -- it's fine",
+    "SELECT email FROM customers -- from secret",
+    "SELECT email FROM customers /* from secret */ WHERE country = '-- not a comment'",
+    "SELECT EXTRACT(YEAR FROM status), TRIM(BOTH ' ' FROM email) FROM orders",
+    "SELECT email FROM customers WHERE country IS NOT DISTINCT FROM status",
+    'SELECT "a;b" FROM orders',
+    "(SELECT email FROM customers) UNION (SELECT status FROM orders)",
 ]
 
 BLOCKED = [
@@ -39,6 +49,14 @@ BLOCKED = [
     ("PRAGMA compile_options;", "PRAGMA"),
     ("ATTACH DATABASE x AS y", "ATTACH"),
     ("VACUUM", "COMMAND"),
+    ("TRUNCATE TABLE orders", "read-only"),
+    ("REPLACE INTO orders VALUES (1)", "read-only"),
+    ("MERGE INTO orders USING customers ON true WHEN MATCHED THEN DELETE", "read-only"),
+    ("-- SELECT 1\nDROP TABLE orders", "DROP"),
+    ("/* SELECT */ TRUNCATE TABLE orders", "read-only"),
+    ("WITH x AS (SELECT 1) REPLACE INTO orders SELECT * FROM x", "read-only"),
+    ("VALUES (1)", "read-only"),
+    ("SELECT email FROM customers -- '\n; DROP TABLE orders", "Multiple SQL statements detected (2 statements)"),
     ("WITH x AS (SELECT 1) DELETE FROM orders", "DELETE"),
     ("SELECT * FROM secret_passwords;", "'secret_passwords'"),
     ("SELECT aaa, bbb, ccc, ddd FROM orders", "aaa, bbb, ccc"),
