@@ -79,4 +79,5 @@ def _rank(more: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
     window = first[:, None] + np.arange(RANK_BITS // 8)
     whole = np.where(window < (at >> 3)[:, None], more[np.minimum(window, len(more) - 1)], 0)
     last = more[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)
-    return ranks[at // RANK_BITS].astype(np.int64) + np.bitwise_count(whole).sum(axis=1) + np.bitwise_count(last)
+    since = np.bitwise_count(whole).sum(axis=1, dtype=np.int64) + np.bitwise_count(last)
+    return ranks[at // RANK_BITS].astype(np.int64) + since

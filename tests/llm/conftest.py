@@ -40,4 +40,4 @@ def empty(spark):
 
 @pytest.fixture
 def small_training(monkeypatch):
-    monkeypatch.setattr(toxicity, "EPOCHS", 4)
+    monkeypatch.setattr(toxicity, "STEPS", 200)
