@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions.clauses import outcome
+from pairloom.operators.ranking import with_position
+from pairloom.operators.results import asks_for_order, compare_results
 from pairloom.operators.screen import judge
 from pairloom.session import write_once
 
@@ -21,6 +25,7 @@ ERROR_TYPES = {
     "UNRESOLVED_COLUMN": "ColumnNotFound",
 }
 
+_SIDE_NAMES = ("gold", "generated")
 _STATUS = "name string, executed boolean, columns string, error_type string"
 
 
@@ -33,10 +38,14 @@ def screen_texts(spark: SparkSession, texts: Mapping[str, str], tables: list[str
     return {row["name"]: row["allowed"] for row in rows}
 
 
-def _failure(error: PySparkException) -> str:
+# What Spark raises for a text; a failed job may come as the plain Java error.
+FAILURES = (PySparkException, Py4JJavaError)
+
+
+def _failure(error: Exception) -> str:
     """Type of what Spark reports about a text."""
-    condition = (error.getCondition() or "").split(".")[0]
-    return ERROR_TYPES.get(condition, "ExecutionError")
+    condition = (error.getCondition() or "") if isinstance(error, PySparkException) else ""
+    return ERROR_TYPES.get(condition.split(".")[0], "ExecutionError")
 
 
 def _run(spark: SparkSession, text: str, allowed: bool) -> tuple[DataFrame | None, str | None]:
@@ -51,7 +60,7 @@ def _run(spark: SparkSession, text: str, allowed: bool) -> tuple[DataFrame | Non
         df = spark.sql(text)
         # Names may repeat in a result, but not in a written table.
         return write_once(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), "captured"), None
-    except PySparkException as error:  # analysis, parse and run-time errors
+    except FAILURES as error:  # analysis, parse and run-time errors
         return None, _failure(error)
 
 
@@ -90,11 +99,58 @@ def capture_rows(spark: SparkSession, texts: Mapping[str, str], allowed: Mapping
             cells = F.to_json(F.array(*[F.col(c).cast("string") for c in placed.columns]))
             # Fifty rows at most, run now so that an error stays with its text.
             parts.append(write_once(placed.select(F.lit(name).alias("name"), cells.alias("cells")), "captured"))
-        except PySparkException:
+        except FAILURES:
             continue
     return reduce(DataFrame.unionByName, parts)
 
 
+def _result_rows(spark: SparkSession, text: str, allowed: bool) -> tuple[DataFrame | None, str | None]:
+    """(``pos``, ``values``) of a text's result in its order, or the type of its error."""
+    if not allowed:
+        return None, "SafetyViolation"
+    try:
+        df = spark.sql(text)
+        cells = F.array(*[F.col(f"c{i}").cast("string") for i in range(len(df.columns))])
+        placed = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(
+            F.monotonically_increasing_id().alias("at"), cells.alias("values")
+        )
+        return with_position(write_once(placed, "result"), ["at"], "pos").select("pos", "values"), None
+    except FAILURES as error:
+        return None, _failure(error)
+
+
+def live_outcomes(
+    spark: SparkSession, cases: Mapping[str, tuple[str, str]], tables: list[str], columns: list[str]
+) -> DataFrame:
+    """Run gold and generated text of each case, compare what they return, and give the verdict.
+
+    (``case_id``, ``outcome``), null for a right answer. Both texts are screened first. Positions
+    count where the gold text asks for an order; two empty results match. Texts are looped over on the
+    driver, their rows stay in Spark.
+    """
+    texts = {f"{side} {case}": text for case, pair in cases.items() for side, text in zip(_SIDE_NAMES, pair)}
+    allowed = screen_texts(spark, texts, tables, columns)
+    given, captured = [], []
+    for case, (gold, generated) in cases.items():
+        errors = []
+        for side, text in zip(_SIDE_NAMES, (gold, generated)):
+            rows, error = _result_rows(spark, text, allowed.get(f"{side} {case}", False))
+            errors.append(error)
+            if rows is not None:
+                captured.append(rows.select(F.lit(case).alias("case_id"), F.lit(side).alias("side"), "pos", "values"))
+        given.append((case, gold, generated.strip() != "", *errors))
+    ddl = "case_id string, gold_sql string, generated boolean, gold_error string, actual_error string"
+    known = spark.createDataFrame(given, ddl).withColumn("ordered", asks_for_order(F.col("gold_sql")))
+    nothing = spark.createDataFrame([], "case_id string, side string, pos long, values array<string>")
+    rows = reduce(DataFrame.unionByName, captured, nothing).join(F.broadcast(known.select("case_id", "ordered")), "case_id")
+    matches = compare_results(rows, known).select("case_id", "rows_match")
+    # The type of an error that Spark reports is known already.
+    verdict = F.when(~F.col("generated"), F.lit("GenerationFailed")).otherwise(
+        F.coalesce("actual_error", outcome(F.col("generated"), F.lit(None).cast("string"), F.col("gold_error"), F.col("rows_match")))
+    )
+    return known.join(matches, "case_id").select("case_id", verdict.alias("outcome"))
+
+
 def suite_status(status: DataFrame) -> DataFrame:
     return status.agg(
         F.count("*").alias("queries"), F.count_if("executed").alias("executed_queries"),

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions import clauses as C
-from pairloom.operators import evaluate, results
+from pairloom.operators import evaluate, results, suite
 from pairloom.operators.percentiles import interpolated_percentiles
 from pairloom.operators.screen import keep_where
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
 from pairloom.session import scratch_path, write_once
 from pairloom.sources import views
-from pairloom.sources.tables import Tables
+from pairloom.sources.tables import COLUMN_NAMES, TABLE_NAMES, Tables
 
 _SQL_PAIRS = views.with_views("sql_pairs")
 _CASES = views.with_views("eval_cases")
@@ -106,6 +106,54 @@ def outcome(t: Tables) -> DataFrame:
     return views.eval_cases(t).select("case_id", "model", verdict.alias("outcome"))
 
 
+_BY_SEGMENT = "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment"
+_NOBODY = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'NonExistent999'"
+_NATIONS = "SELECT n_name FROM nation ORDER BY n_name"
+
+# Gold and generated texts that are run and compared.
+LIVE_CASES = {
+    "01_same": (_BY_SEGMENT, "SELECT c_mktsegment, COUNT(c_custkey) AS k FROM customer GROUP BY c_mktsegment"),
+    "02_reordered_bag": (_BY_SEGMENT, _BY_SEGMENT + " ORDER BY n DESC"),
+    "03_reordered_list": (_NATIONS, "SELECT n_name FROM nation ORDER BY n_name DESC"),
+    "04_both_empty": (_NOBODY, "SELECT c_custkey FROM customer WHERE c_custkey < 0"),
+    "05_one_empty": (_NATIONS, _NOBODY),
+    "06_bad_cast": (_NATIONS, "SELECT CAST(n_name AS INT) AS n FROM nation"),
+    "07_blocked": (_NATIONS, "TRUNCATE TABLE nation"),
+    "08_no_answer": (_NATIONS, "  "),
+    "09_unknown_column": (_NATIONS, "SELECT nation_title FROM nation"),
+    "10_bad_gold": ("SELECT 1 / (n_nationkey - n_nationkey) AS n FROM nation", _NATIONS),
+    "11_repeated_name": (
+        "SELECT a.n_name, b.n_name FROM nation AS a JOIN nation AS b ON a.n_nationkey = b.n_nationkey",
+        "SELECT n_name, n_name FROM nation",
+    ),
+    "12_more_rows": (_NATIONS, "SELECT n_name FROM nation UNION ALL SELECT r_name FROM region ORDER BY 1"),
+}
+_FIXED_OUTCOMES = {
+    "03_reordered_list": "'ResultMismatch'", "06_bad_cast": "'ExecutionError'", "07_blocked": "'SafetyViolation'",
+    "08_no_answer": "'GenerationFailed'", "09_unknown_column": "'ColumnNotFound'",
+    "10_bad_gold": "'GroundTruthExecutionError'", "11_repeated_name": "CAST(NULL AS VARCHAR)",
+}
+
+
+def _bag_outcome(gold: str, generated: str) -> str:
+    """Verdict over two results as bags, in SQL."""
+    one, other = (f"(SELECT count(*) FROM (({a}) EXCEPT ALL ({b})) d)" for a, b in ((gold, generated), (generated, gold)))
+    return f"CASE WHEN {one} + {other} = 0 THEN NULL ELSE 'ResultMismatch' END"
+
+
+@query(
+    "e05_live_outcome",
+    " UNION ALL ".join(
+        f"SELECT '{case}' AS case_id, {_FIXED_OUTCOMES.get(case) or _bag_outcome(*texts)} AS outcome"
+        for case, texts in LIVE_CASES.items()
+    ),
+)
+def live_outcome(t: Tables) -> DataFrame:
+    """Verdict of each case, from running and comparing its two texts."""
+    t.register_views()
+    return suite.live_outcomes(t.spark, LIVE_CASES, TABLE_NAMES, COLUMN_NAMES)
+
+
 @query(
     "e06_error_type",
     f"{_CASES} SELECT case_id, model, {_ERROR_TYPE} AS error_type FROM eval_cases WHERE actual_error IS NOT NULL",

@@ -14,6 +14,7 @@ from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
 from pairloom.session import scratch_path, write_once
 from pairloom.sources import views
+from pairloom.sources.pairs import scan_pairs
 from pairloom.sources.tables import Tables
 
 PAIR_ORDER = ["conv_id", "turn"]
@@ -41,14 +42,21 @@ _FIRST = f"""{_CLEANED}, kept AS (SELECT case_id, instruction, output FROM (SELE
     f"""{_PAIRS} SELECT id, instruction, input, output, schema, db_id, CAST(NULL AS VARCHAR) AS difficulty FROM pairs""",
 )
 def scan_json(t: Tables) -> DataFrame:
-    """Read JSON arrays of pairs with a fixed schema; keys that are absent become null.
+    """Read JSON of pairs with a fixed schema; keys that are absent become null.
 
-    The pairs are written first, one array per line, which keeps the files splittable.
+    The pairs are written first: those of even conversations as lines, the others as whole files of one
+    pretty-printed array each.
     """
-    path = scratch_path(t.spark, "json-pairs")
-    record = F.to_json(F.array(F.struct("id", "instruction", "input", "output", "schema", "db_id")))
-    views.pairs(t).select(record.alias("value")).write.text(path)
-    return t.spark.read.schema(prepare.PAIR_SCHEMA).json(path)
+    lines, arrays = scratch_path(t.spark, "json-lines"), scratch_path(t.spark, "json-arrays")
+    pairs = views.pairs(t)
+    record = F.struct("id", "instruction", "input", "output", "schema", "db_id")
+    pairs.filter("conv_id % 2 = 0").select(F.to_json(record).alias("value")).write.text(lines)
+    whole = pairs.filter("conv_id % 2 = 1").select((F.col("conv_id") % 64).alias("file"), F.to_json(record, {"pretty": "true"}).alias("text"))
+    # One row per file: an array file is read by one task, so files stay small.
+    files = whole.groupBy("file").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("text"), ",\n"), F.lit("\n]")).alias("value"))
+    files.select("file", "value").repartition("file").write.partitionBy("file").option("maxRecordsPerFile", 1).text(arrays)
+    array_rows = scan_pairs(t.spark, arrays, json_array=True).drop("file")
+    return scan_pairs(t.spark, lines).unionByName(array_rows)
 
 
 @query(

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import prompts, text
@@ -8,6 +9,7 @@ from pairloom.operators import prepare, profile
 from pairloom.operators.percentiles import floor_index_percentiles
 from pairloom.operators.ranking import with_position
 from pairloom.session import scratch_path
+from pairloom.sources.pairs import scan_pairs
 
 
 def pairs(spark, rows):
@@ -102,8 +104,13 @@ def test_formats(spark):
 def test_json_array_file_and_jsonl(spark, tmp_path):
     records = [{"id": "s-1", "instruction": "a", "output": "b"}, {"id": "s-2", "db_id": "x", "instruction": "c"}]
     (tmp_path / "pairs.json").write_text(json.dumps(records, indent=2))
-    read = spark.read.schema(prepare.PAIR_SCHEMA).option("multiLine", True).json(str(tmp_path / "pairs.json"))
-    assert sorted((r["id"], r["db_id"], r["output"]) for r in read.collect()) == [("s-1", None, "b"), ("s-2", "x", None)]
+    read = scan_pairs(spark, str(tmp_path / "pairs.json"), json_array=True)
+    want = [("s-1", None, "b"), ("s-2", "x", None)]
+    assert sorted((r["id"], r["db_id"], r["output"]) for r in read.collect()) == want
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        scan_pairs(spark, str(tmp_path / "pairs.json")).collect()
+    (tmp_path / "pairs.jsonl").write_text("\n".join(map(json.dumps, records)))
+    assert sorted((r["id"], r["db_id"], r["output"]) for r in scan_pairs(spark, str(tmp_path / "pairs.jsonl")).collect()) == want
     path = scratch_path(spark, "test-export")
     rows = spark.range(20).selectExpr("cast(id as string) id", "'q' instruction", "'SELECT 1' output", "'' schema", "'' db_id")
     prepare.export_jsonl(prepare.split(rows), "llama3", path)
