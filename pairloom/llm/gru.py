@@ -20,6 +20,8 @@ WORD_ROWS, RUN_ROWS = 1 << 14, 1 << 15
 WORD_DIM, RUN_DIM, HIDDEN, ATTENTION = 8, 12, 12, 8
 #: Lengths of the character runs, in UTF-8 bytes, with one mark before and behind a word.
 RUNS = (4, 6)
+#: Words whose vectors are made at once.
+PROJECTED = 10_000
 #: Longest word that is told from its beginning; longer ones are read in parts of this length.
 LONGEST_WORD = 40
 
@@ -110,8 +112,9 @@ class Network:
         """What the words contribute to all gates: row 0 for an absent word, then one row a word."""
         rows = np.zeros((len(words) + 1, 6 * HIDDEN), np.float32)
         rows[0, :HIDDEN] = rows[0, 3 * HIDDEN : 4 * HIDDEN] = _KEEP
-        if words:
-            rows[1:] = self.inputs(words)[0] @ self.p["w"] + self.p["b"]
+        for at in range(0, len(words), PROJECTED):
+            part = self.inputs(words[at : at + PROJECTED])[0] @ self.p["w"] + self.p["b"]
+            rows[at + 1 : at + 1 + len(part)] = part
         return rows
 
     def _layer(self, projected: np.ndarray, places: np.ndarray, side: int, kept: list | None) -> np.ndarray:
@@ -221,26 +224,34 @@ class Adam:
             self.network.p[name][at] -= self.rate * bias * self.m[name][at] / (np.sqrt(self.s[name][at]) + 1e-8)
 
 
-def train(windows: list[tuple[int, list[str]]], labels: dict[int, int], seed: int, epochs: int, batch: int = 256) -> Network:
-    """Fit to windows of labelled documents, given as (document, words).
+class Windows:
+    """Windows of documents as rows of word places, 0 where a window is shorter than the longest."""
+
+    def __init__(self, texts: list[str]):
+        vocabulary: dict[str, int] = {}
+        rows = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in t.split(" ")], np.int32) for t in texts]
+        self.places = np.zeros((len(rows), max(map(len, rows), default=1)), np.int32)
+        for i, row in enumerate(rows):
+            self.places[i, : len(row)] = row
+        self.words = list(vocabulary)
+
+
+def train(windows: Windows, doc: np.ndarray, label: np.ndarray, seed: int, epochs: int, steps: int, batch: int = 256) -> Network:
+    """Fit to windows of labelled documents; ``doc`` and ``label`` are those of each window.
 
     Only some windows of a document of label 1 show why. The first epoch takes all of them; after that the
     two that the network finds likeliest stand for the document. Windows of label 0 all
-    count, three for each of label 1.
+    count, three for each of label 1. There are ``epochs`` epochs, and more until there were ``steps`` steps.
     """
     rng = np.random.default_rng(seed)
     network = Network.fresh(seed)
     adam = Adam(network, 0.01)
-    vocabulary: dict[str, int] = {}
-    steps = max((len(w) for _, w in windows), default=1)
-    places = np.zeros((len(windows), steps), np.int64)
-    for i, (_, words) in enumerate(windows):
-        places[i, : len(words)] = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-    names = list(vocabulary)
-    doc = np.array([d for d, _ in windows])
-    label = np.array([labels[d] for d in doc], np.float32)
+    places, names = windows.places, windows.words
+    label = label.astype(np.float32)
     positive, negative = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    for epoch in range(epochs):
+    batch = max(32, min(batch, 4 * len(np.unique(doc[positive]))))
+    epoch = 0
+    while epoch < epochs or adam.step < steps:
         chosen = positive
         if epoch:
             logits = window_logits(network, network.project(names), places[positive])
@@ -253,10 +264,11 @@ def train(windows: list[tuple[int, list[str]]], labels: dict[int, int], seed: in
         for at in range(0, len(rows), batch):
             own = rows[at : at + batch]
             used, local = np.unique(places[own], return_inverse=True)
-            local = local.reshape(len(own), steps)
+            local = local.reshape(len(own), -1)
             if used[0] != 0:
                 used, local = np.r_[0, used], local + 1
             adam.apply(network.gradients([names[i - 1] for i in used[1:]], local, label[own]))
+        epoch += 1
     return network
 
 

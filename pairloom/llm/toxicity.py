@@ -17,7 +17,7 @@ from pairloom.llm.tokens import strings
 WINDOW, STRIDE = 48, 24
 # Bounds of the training sample: documents of either label, and windows of a document.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WINDOWS = 1500, 3000, 16
-EPOCHS = 6
+EPOCHS, STEPS = 6, 300
 # Distinct words whose projections a task keeps.
 KEPT_WORDS = 200_000
 # Windows scored at once.
@@ -88,25 +88,17 @@ def train_detector(df: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
     sample = F.broadcast(sample.filter(F.col("label") == F.col("high")).drop("high"))
     chosen = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(sample, "doc")
     rows = chosen.select("doc", "label", "text").mapInArrow(_training_windows, "doc bigint, label int, start bigint, words string")
-    found = sorted((r["doc"], r["start"], r["words"], r["label"]) for r in rows.collect())
-    truth = {doc: value for doc, _, _, value in found}
-    toxic = sum(truth.values())
-    if toxic == 0 or toxic == len(truth):
+    # Sorted here, where it is bounded: a sort in Spark would cut the windows twice to sample its ranges.
+    found = rows.toArrow().sort_by([("doc", "ascending"), ("start", "ascending"), ("words", "ascending")])
+    docs, truth = found.column("doc").to_numpy(), found.column("label").to_numpy()
+    toxic = truth.sum()
+    if toxic in (0, len(truth)):
         return Detector(None, base=float(toxic > 0))
-    windows = [(doc, words.split(" ")) for doc, _, words, _ in found]
-    network = gru.train(windows, truth, seed, EPOCHS)
-    docs = np.array([doc for doc, _ in windows])
-    largest = _largest_logits(network, docs, [words for _, words in windows])
-    return Detector(network, *_line(np.array(list(largest.values())), np.array([truth[d] for d in largest])))
-
-
-def _largest_logits(network: gru.Network, docs: np.ndarray, windows: list[list[str]]) -> dict[int, float]:
-    scorer = Scorer(network)
-    logits = scorer.logits([scorer.places(words) for words in windows])
-    largest: dict[int, float] = {}
-    for doc, logit in zip(docs.tolist(), logits.tolist()):
-        largest[doc] = max(logit, largest.get(doc, -np.inf))
-    return largest
+    windows = gru.Windows(found.column("words").to_pylist())
+    network = gru.train(windows, docs, truth, seed, EPOCHS, STEPS)
+    logits = gru.window_logits(network, network.project(windows.words), windows.places)
+    firsts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    return Detector(network, *_line(np.maximum.reduceat(logits, firsts), truth[firsts]))
 
 
 def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
