@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import write_once
+from pairloom.llm.steps import written
 
 
 def _smallest_neighbour(links: DataFrame) -> DataFrame:
@@ -24,18 +24,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select("u", "v").filter(F.col("u") != F.col("v"))
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = write_once(edges, "links")
+    edges = written(edges, "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _smallest_neighbour(edges)
         # Large star: every larger neighbour of u hangs on the smallest node around u.
         large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = write_once(large.filter(F.col("u") != F.col("v")).distinct(), "links")
+        large = written(large.filter(F.col("u") != F.col("v")).distinct(), "links")
         # Small star: u and its smaller neighbours hang on the smallest of them; u is the larger end.
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = small.unionByName(least.select("u", F.col("low").alias("v")))
-        small = write_once(small.filter(F.col("u") != F.col("v")).distinct(), "links")
+        small = written(small.filter(F.col("u") != F.col("v")).distinct(), "links")
         moved = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
         edges = small
         if not moved:

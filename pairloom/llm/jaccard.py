@@ -15,19 +15,23 @@ have, and of the links found only a spanning forest leaves the block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
 from pairloom.llm.shingles import set_digest, shingle_set
-from pairloom.session import parallelism, write_once
+from pairloom.llm.steps import written
+from pairloom.session import parallelism
 
 # Shingles in this many nodes are common: their count is known to every task.
 COMMON = 16
+# Bits of a shingle's hash that are counted, below those of its bucket. Buckets grow with the input.
+KEY_BITS = 26
 # No more common shingles than this are kept (12 MB); the bound of "common" rises to fit.
 COMMON_KEPT = 1 << 20
 # Posting lists that may grow longer than this are worked on in blocks.
@@ -41,7 +45,22 @@ BLOCK_NODES, BLOCK_SHINGLES = 1024, 2_000_000
 # A list of nodes up to this length is small enough to be sent to every task.
 SENT_NODES = 200_000
 
-_UINT = pa.binary()
+_UINT, _LOW = pa.binary(), (1 << 32) - 1
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted distinct 32-bit keys as their distances: low bytes, then high bytes, which compress."""
+    steps = np.diff(keys, prepend=np.uint32(0))
+    if len(steps) and steps.max() >= 1 << 16:
+        return b"\4" + keys.tobytes()
+    return b"\2" + (steps & 0xFF).astype(np.uint8).tobytes() + (steps >> 8).astype(np.uint8).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    if packed[0] == 4:
+        return np.frombuffer(packed, np.uint32, offset=1)
+    low, high = np.frombuffer(packed, np.uint8, offset=1).reshape(2, -1).astype(np.uint32)
+    return np.cumsum(low | high << 8, dtype=np.uint32)
 
 
 def _count_batches(width: int, bits: int):
@@ -51,15 +70,15 @@ def _count_batches(width: int, bits: int):
         held, size, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held) >> np.uint64(32 - bits), return_counts=True)
-            buckets = (keys >> np.uint64(32)).astype(np.int32)
+            keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - KEY_BITS - bits), return_counts=True)
+            buckets = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
             cuts = np.flatnonzero(np.diff(buckets)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
-            low, counts = keys.astype(np.uint32), counts.astype(np.uint32)
+            low, counts = (keys & np.uint64((1 << KEY_BITS) - 1)).astype(np.uint32), counts.astype(np.uint32)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(buckets[starts], pa.int32()),
-                    pa.array([low[a:b].tobytes() for a, b in zip(starts, ends)], _UINT),
+                    pa.array([_pack(low[a:b]) for a, b in zip(starts, ends)], _UINT),
                     pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], _UINT),
                 ],
                 names=["bucket", "keys", "counts"],
@@ -85,13 +104,13 @@ def _count_batches(width: int, bits: int):
 
 def _common_of_bucket(least: int):
     def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()])
+        keys = np.concatenate([_unpack(k) for k in table.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()])
         distinct, places = np.unique(keys, return_inverse=True)
         total = np.bincount(places, weights=counts).astype(np.int64)
         common = total >= least
         bucket = table.column("bucket")[0].as_py()
-        high = np.uint64(bucket) << np.uint64(32)
+        high = np.uint64(bucket) << np.uint64(KEY_BITS)
         return pa.table(
             {"key": pa.array((distinct[common].astype(np.uint64) | high).astype(np.int64)), "nodes": pa.array(total[common])}
         )
@@ -102,13 +121,13 @@ def _common_of_bucket(least: int):
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted keys of the common shingles, their counts, and the bits of a key's bucket.
 
-    A key is the leading ``32 + bits`` bits of the hash; all shingles of all texts are
+    A key is the leading ``KEY_BITS + bits`` bits of the hash; all shingles of all texts are
     counted, those of equal sets in one stretch of rows once. Shingles that share a key are counted
     together, which only moves their place in the order.
     """
     bits = max(4, (parallelism(texts.sparkSession) - 1).bit_length())
     counted = texts.mapInArrow(_count_batches(width, bits), "bucket int, keys binary, counts binary")
-    common = write_once(
+    common = written(
         counted.groupBy("bucket").applyInArrow(_common_of_bucket(COMMON), "key bigint, nodes bigint"), "common"
     )
     # The smallest power of two above which no more than COMMON_KEPT are left.
@@ -152,7 +171,7 @@ def _signatures(width: int, percent: int, common: Broadcast, bits: int):
         keys, counts = common.value
         seen: set[bytes] = set()
         for batch in batches:
-            out: dict[str, list] = {"node": [], "n": [], "asked": [], "short": [], "long": []}
+            out: dict[str, list] = {"k": [], "node": [], "n": [], "asked": [], "short": [], "long": []}
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, width)
                 n = len(shingles)
@@ -162,7 +181,7 @@ def _signatures(width: int, percent: int, common: Broadcast, bits: int):
                     seen.add(node)
                     others = np.zeros(n, np.int64)
                     if len(keys):
-                        own = shingles >> np.uint64(32 - bits)
+                        own = shingles >> np.uint64(64 - KEY_BITS - bits)
                         places = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                         found = keys[places] == own
                         others[found] = counts[places[found]] - 1
@@ -175,6 +194,7 @@ def _signatures(width: int, percent: int, common: Broadcast, bits: int):
                     ordered = shingles[order[:length]].view(np.int64)
                     listed = others[:length] >= LONG_LIST
                     short, long = ordered[~listed], ordered[listed]
+                out["k"].append(_key(node) if n else None)
                 out["node"].append(node)
                 out["n"].append(n)
                 out["asked"].append(asked)
@@ -183,38 +203,45 @@ def _signatures(width: int, percent: int, common: Broadcast, bits: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    pa.array(out["k"], pa.int64()),
                     pa.array(out["node"], pa.binary()),
                     pa.array(out["n"], pa.int64()),
                     pa.array(out["asked"], pa.int32()),
                     pa.array(out["short"], pa.list_(pa.int64())),
                     pa.array(out["long"], pa.list_(pa.int64())),
                 ],
-                names=["id", "node", "n", "asked", "short", "long"],
+                names=["id", "k", "node", "n", "asked", "short", "long"],
             )
 
     return sign
 
 
+def _key(node: bytes) -> int:
+    """A short stand-in for a node while candidates are sought; nodes that share one are told apart when verified."""
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
 def _pairs(percent: int):
-    """Pairs of the nodes behind one shingle whose sizes allow the similarity."""
+    """Pairs of the nodes behind one shingle whose sizes allow the similarity, and what follows it in each."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right, asked = [], [], []
+            out: list[tuple] = []
             for members in batch.column("members").to_pylist():
-                members.sort(key=lambda m: (m["n"], m["node"]))
-                for i, a in enumerate(members):
-                    for b in members[i + 1 :]:
-                        if a["n"] * 100 < percent * b["n"]:
+                # (n, key, place of the shingle, matches asked for, shingles of long lists)
+                own = sorted((m["p"] >> 32, m["k"], m["p"] & _LOW, m["q"] >> 32, m["q"] & _LOW) for m in members)
+                for i, a in enumerate(own):
+                    for b in own[i + 1 :]:
+                        if a[0] * 100 < percent * b[0]:
                             break
-                        left.append(min(a["node"], b["node"]))
-                        right.append(max(a["node"], b["node"]))
                         # Shingles of long lists are not met here, but may be shared too.
-                        asked.append(min(a["asked"], b["asked"]) - min(a["unseen"], b["unseen"]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(asked, pa.int32())],
-                names=["a", "b", "asked"],
-            )
+                        asked = min(a[3], b[3]) - min(a[4], b[4])
+                        x, y = (a, b) if a[1] < b[1] else (b, a)
+                        out.append((x[1], y[1], asked, x[0] - x[2], y[0] - y[2], x[0] + y[0]))
+            columns = list(zip(*out)) if out else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            names = ["a", "b", "asked", "a_left", "b_left", "sizes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return pair
 
@@ -224,15 +251,20 @@ def _linked(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return (100 + percent) * overlap >= percent * sizes
 
 
-def _verify(percent: int):
+def _verify(width: int, percent: int):
+    """Links among the texts of each candidate pair, which are two but for nodes that share a key."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist()):
-                left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                overlap = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(bool(_linked(overlap, len(left) + len(right), percent)))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            found = []
+            for texts in batch.column("texts").to_pylist():
+                sets = {set_digest(s): s for s in (shingle_set(t, width) for t in set(texts))}
+                for (a, left), (b, right) in combinations(sorted(sets.items()), 2):
+                    overlap = len(np.intersect1d(left, right, assume_unique=True))
+                    if _linked(overlap, len(left) + len(right), percent):
+                        found.append((a, b))
+            columns = list(zip(*found)) if found else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
 
     return verify
 
@@ -261,11 +293,13 @@ def _incidence(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     return result
 
 
-def _block(percent: int):
+def _block(width: int, percent: int):
     """Links of one block: nodes of chunk i against nodes of chunk j, under one shingle."""
 
     def links(table: pa.Table) -> pa.Table:
-        rows = table.select(["side", "node", "asked", "prefix", "shingles"]).to_pylist()
+        # The text of a node may have been read by several tasks.
+        columns = ["side", "node", "root", "asked", "prefix", "text"]
+        rows = list({(r["side"], r["node"]): r for r in table.select(columns).to_pylist()}.values())
         token = table.column("token")[0].as_py()
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         rows.sort(key=lambda r: r["node"])
@@ -273,15 +307,17 @@ def _block(percent: int):
         second = first if same else [r for r in rows if r["side"] == 1]
         found: list[tuple[bytes, bytes]] = []
         if first and second:
-            sets = [[np.frombuffer(r["shingles"], np.uint64) for r in side] for side in (first, second)]
             heads = [[np.frombuffer(r["prefix"], np.int64) for r in side] for side in (first, second)]
             # Shingles in front of this one in the common order, of either prefix.
             before = [[h[: int(np.flatnonzero(h == token)[0])] for h in side] for side in heads]
             asked = np.minimum.outer(*[np.array([r["asked"] for r in side]) for side in (first, second)])
-            candidates = (_incidence(*before) == 0) & (_incidence(*heads) >= asked)
+            roots = {r["root"]: i for i, r in enumerate(rows)}
+            apart = np.not_equal.outer(*[np.array([roots[r["root"]] for r in side]) for side in (first, second)])
+            candidates = apart & (_incidence(*before) == 0) & (_incidence(*heads) >= asked)
             if same:
                 candidates = np.triu(candidates, 1)
             if candidates.any():
+                sets = [[shingle_set(r["text"], width) for r in side] for side in (first, second)]
                 sizes = np.add.outer(*[np.array([len(s) for s in side]) for side in sets])
                 found = _forest(candidates & _linked(_incidence(*sets), sizes, percent), first, second)
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
@@ -308,42 +344,43 @@ def _forest(linked: np.ndarray, first: list[dict], second: list[dict]) -> list[t
     return kept
 
 
-def _whole_sets(width: int):
+def _with_nodes(width: int):
+    """(``k``, ``node``, ``text``), each node once a task."""
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            nodes, sets = [], []
+            keys, nodes, texts = [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, width)
                 node = set_digest(shingles)
                 if len(shingles) and node not in seen:
                     seen.add(node)
+                    keys.append(_key(node))
                     nodes.append(node)
-                    sets.append(shingles.tobytes())
+                    texts.append(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"]
+                [pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(texts, pa.string())], names=["k", "node", "text"]
             )
 
     return fetch
 
 
-def _sets_of(nodes: DataFrame, members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(``node``, ``shingles``) of the nodes, read again from one document of each."""
-    wanted = write_once(
-        members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "wanted"
-    )
-    ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
+def _texts_of(keys: DataFrame, members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(``k``, ``node``, ``text``) of the nodes with these keys, read again from one document of each.
+
+    Documents with one id and several texts bring more nodes than were asked for.
+    """
+    chosen = members.join(keys, "k", "left_semi").groupBy("node").agg(F.min("id").alias("wanted_id"))
+    ids = written(chosen.select("wanted_id").distinct(), "wanted")
     if ids.count() <= SENT_NODES:
         ids = F.broadcast(ids)
-    chosen = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = chosen.mapInArrow(_whole_sets(width), "node binary, shingles binary")
-    # Documents with one id and several texts bring more sets than were asked for.
-    found = sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
-    return write_once(found, "sets")
+    read = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    return written(read.select("text").mapInArrow(_with_nodes(width), "k bigint, node binary, text string"), "texts")
 
 
 def jaccard_links(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members (``id``, ``node``, ``n``) of all rows, and links (``a``, ``b``) between different nodes.
+    """Members (``id``, ``k``, ``node``, ``n``) of all rows, and links (``a``, ``b``) between different nodes.
 
     Links connect all nodes that are connected by pairs at the similarity; in blocks of long
     lists, pairs that other links connect already may be left out.
@@ -353,59 +390,81 @@ def jaccard_links(df: DataFrame, doc_id: str, text: str, width: int, percent: in
     keys, counts, bits = common_shingles(texts.select("text"), width)
     # At most COMMON_KEPT keys and counts: 16 MB.
     common = spark.sparkContext.broadcast((keys, counts))
-    ddl = "id bigint, node binary, n bigint, asked int, short array<bigint>, long array<bigint>"
-    signed = write_once(texts.mapInArrow(_signatures(width, percent, common, bits), ddl), "signed")
-    members = signed.select("id", "node", "n")
-    nodes = write_once(
-        signed.filter(F.col("asked").isNotNull()).select("node", "n", "asked", "short", "long").dropDuplicates(["node"]), "nodes"
-    )
+    ddl = "id bigint, k bigint, node binary, n bigint, asked int, short array<bigint>, long array<bigint>"
+    signed = written(texts.mapInArrow(_signatures(width, percent, common, bits), ddl), "signed")
+    members = signed.select("id", "k", "node", "n")
+    # A node that several tasks met comes several times, and equal.
+    nodes = signed.filter(F.col("asked").isNotNull())
+
+    def both(high: str | Column, low: str | Column) -> Column:
+        high, low = (F.col(c) if isinstance(c, str) else c for c in (high, low))
+        return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
 
-    member = F.struct("node", F.col("n").cast("int").alias("n"), "asked", F.size("long").alias("unseen"))
+    postings = nodes.select("k", "n", both("asked", F.size("long")).alias("q"), F.posexplode("short").alias("at", "token"))
     lists = (
-        nodes.select(member.alias("m"), F.explode("short").alias("token"))
+        postings.select("token", F.struct("k", both("n", "at").alias("p"), "q").alias("m"))
         .groupBy("token")
-        .agg(F.collect_list("m").alias("members"))
+        .agg(F.collect_set("m").alias("members"))
         .filter(F.size("members") > 1)
         .select("members")
     )
-    pairs = (
-        lists.mapInArrow(_pairs(percent), "a binary, b binary, asked int")
+    met = (
+        lists.mapInArrow(_pairs(percent), "a bigint, b bigint, asked int, a_left int, b_left int, sizes int")
         .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"), F.first("asked").alias("asked"))
-        .filter(F.col("shared") >= F.col("asked"))
-        .select("a", "b")
+        .agg(
+            F.count("*").alias("shared"),
+            F.min("asked").alias("asked"),
+            F.min("a_left").alias("a_left"),
+            F.min("b_left").alias("b_left"),
+            F.min("sizes").alias("sizes"),
+        )
     )
-    pairs = write_once(pairs, "pairs")
-
-    listed = nodes.filter(F.size("long") > 0).withColumn(
-        "prefix", F.concat("short", "long")
+    # Shingles in front of the last one shared, but for those shared, are in one set only: both have one order.
+    most = F.col("shared") + F.least("a_left", "b_left") - 1
+    possible = most * (100 + percent) >= F.col("sizes") * percent
+    pairs = written(met.filter((F.col("shared") >= F.col("asked")) & possible).select("a", "b"), "pairs")
+
+    listed = nodes.filter(F.size("long") > 0).dropDuplicates(["node"]).withColumn("prefix", F.concat("short", "long"))
+    listed = listed.select("k", "node", "n", "asked", "prefix", F.posexplode("long").alias("rank", "token"))
+    listed = written(listed.mapInArrow(_packed_prefix, _POSTING_DDL), "listed")
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k"))
+    read = _texts_of(ends.unionByName(listed.select("k")).distinct(), members, texts, width)
+
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("k"))
+    candidates = sides.join(read.select("k", "text"), "k").groupBy("a", "b").agg(F.collect_list("text").alias("texts"))
+    links = written(candidates.select("texts").mapInArrow(_verify(width, percent), "a binary, b binary"), "links")
+
+    # First every node under the first of its long lists, which joins most of what belongs together; then the
+    # lists whose nodes are not all in one component yet.
+    for postings in (listed.filter(F.col("rank") == 0), listed):
+        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rooted = postings.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        links = links.unionByName(written(_in_blocks(rooted, read, width, percent), "links"))
+    return members, links
+
+
+def _in_blocks(postings: DataFrame, read: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between nodes of different roots under each shingle, found block by block."""
+    sizes = postings.groupBy("token").agg(
+        F.count("*").alias("nodes"), F.sum("n").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high")
     )
-    postings = listed.select("node", "n", "asked", "prefix", F.explode("long").alias("token"))
-    sizes = postings.groupBy("token").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
     chunks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    busy = write_once(sizes.filter(F.col("nodes") > 1).select("token", chunks.alias("chunks")), "lists")
-    postings = postings.join(busy, "token")
-
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    wanted = wanted.unionByName(postings.select("node")).distinct()
-    sets = _sets_of(wanted, members, texts, width)
-
-    a_sets = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
-    b_sets = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
-    verified = pairs.join(a_sets, "a").join(b_sets, "b").select("a", "b", "a_set", "b_set")
-    links = verified.mapInArrow(_verify(percent), "a binary, b binary")
-
+    busy = written(sizes.filter(F.col("low") != F.col("high")).select("token", chunks.alias("chunks")), "lists")
     # Every chunk meets every chunk of its list once: side 0 of blocks to the right, side 1 of those to the left.
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     right = F.transform(F.sequence(F.col("c"), F.col("chunks") - 1), lambda j: F.struct(F.lit(0).alias("side"), F.col("c").alias("i"), j.alias("j")))
     left = F.transform(F.sequence(F.lit(0), F.col("c")), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), F.col("c").alias("j")))
     places = F.concat(right, F.filter(left, lambda b: b["i"] != b["j"]))
-    placed = postings.withColumn("c", chunk).select("token", "node", "asked", "prefix", F.explode(places).alias("b"))
-    packed = F.col("prefix").alias("prefix")
-    blocks = placed.join(sets, "node").select("token", "b.side", "b.i", "b.j", "node", "asked", packed, "shingles")
-    blocks = blocks.mapInArrow(_packed_prefix, "token bigint, side int, i int, j int, node binary, asked int, prefix binary, shingles binary")
-    in_blocks = blocks.groupBy("token", "i", "j").applyInArrow(_block(percent), "a binary, b binary")
-    return members, write_once(links.unionByName(in_blocks), "links")
+    placed = postings.join(busy, "token").withColumn("c", chunk)
+    placed = placed.select("token", "node", "root", "asked", "prefix", F.explode(places).alias("b"))
+    blocks = placed.join(read.select("node", "text"), "node").select(
+        "token", "b.side", "b.i", "b.j", "node", "root", "asked", "prefix", "text"
+    )
+    return blocks.groupBy("token", "i", "j").applyInArrow(_block(width, percent), "a binary, b binary")
+
+
+_POSTING_DDL = "k bigint, node binary, n bigint, asked int, prefix binary, rank int, token bigint"
 
 
 def _packed_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,13 +485,13 @@ def jaccard_groups(df: DataFrame, doc_id: str, text: str, width: int = 5, percen
     an empty result. Other columns are not used.
     """
     members, links = jaccard_links(df, doc_id, text, width, percent)
-    own = write_once(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least")), "least")
+    own = written(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least")), "least")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     joined = own.join(roots, "node").select("node", "root", "least")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
     grouped = joined.select("node", "root").join(smallest, "root").select("node", "component")
     # A node without links is a component of its own.
-    labels = write_once(
+    labels = written(
         own.join(grouped, "node", "left").select(
             F.col("node").alias("of"), F.coalesce("component", "least").alias("component")
         ),
