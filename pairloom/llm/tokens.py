@@ -88,7 +88,9 @@ class WordEncoder:
         self.library = _tokenizer(name)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        # Two generations: when the younger one is full, it becomes the older one, and words that are met move over.
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # First words of texts and punctuation behind words, which have no space in front.
         self.unspaced: dict[str, bytes] = {}
         self.by_words = self._splits_at_spaces()
@@ -96,6 +98,9 @@ class WordEncoder:
             # How the library writes the bytes of each Latin character for its merge model.
             split = self.library.pre_tokenizer
             self.written = {c: split.pre_tokenize_str(chr(c))[0][0] for c in (32, *_LATIN_LETTERS)}
+            self.space = self.written[32]
+            letter = "H" if self.width == 2 else "I"
+            self.packs = [struct.Struct(f"<{n}{letter}").pack for n in range(CACHED_LENGTH + 2)]
 
     def _splits_at_spaces(self) -> bool:
         from tokenizers.models import BPE
@@ -122,13 +127,19 @@ class WordEncoder:
     def _letters(self, word: str) -> bytes | None:
         """Ids of a space and the word if that is Latin letters and then punctuation, else None."""
         stem = word.rstrip(string.punctuation)
-        if not (stem.isalpha() and max(stem) <= _LAST_LATIN):
+        if not stem.isalpha():
             return None
-        ids = self.parts.get(stem)
+        if stem.isascii():
+            written = self.space + stem
+        elif max(stem) <= _LAST_LATIN:
+            written = (" " + stem).translate(self.written)
+        else:
+            return None
+        ids = self.parts.get(stem) or self.older.get(stem)
         if ids is None:
-            tokens = self.library.model.tokenize((" " + stem).translate(self.written))
-            ids = struct.pack(f"<{len(tokens)}{'H' if self.width == 2 else 'I'}", *[t.id for t in tokens])
-            self.parts[stem] = ids
+            tokens = [t.id for t in self.library.model.tokenize(written)]
+            ids = self.packs[len(tokens)](*tokens)
+        self.parts[stem] = ids
         if stem == word:
             return ids
         return ids + self._unspaced(word[len(stem) :])
@@ -154,12 +165,14 @@ class WordEncoder:
         known, extra = self.parts, {}
         missing = {word for word in rest if word not in known}
         if missing:
-            if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
-                missing = set(rest)
-            others = []
+            if len(known) + len(missing) > CACHED_WORDS // 2:
+                self.older, self.parts = known, {}
+                known, missing = self.parts, set(rest)
+            others, older = [], self.older
             for word in missing:
-                ids = self._letters(word) if len(word) <= CACHED_LENGTH else None
+                ids = older.get(word)
+                if ids is None and len(word) <= CACHED_LENGTH:
+                    ids = self._letters(word)
                 if ids is None:
                     others.append(word)
                 else:
