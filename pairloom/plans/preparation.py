@@ -19,6 +19,8 @@ from pairloom.sources.tables import Tables
 
 PAIR_ORDER = ["conv_id", "turn"]
 EPOCHS = 3
+# Pairs in one JSON file of an array.
+ARRAY_ROWS = 1000
 
 _PAIRS = views.with_views("pairs")
 _SQL_PAIRS = views.with_views("sql_pairs")
@@ -44,18 +46,19 @@ _FIRST = f"""{_CLEANED}, kept AS (SELECT case_id, instruction, output FROM (SELE
 def scan_json(t: Tables) -> DataFrame:
     """Read JSON of pairs with a fixed schema; keys that are absent become null.
 
-    The pairs are written first: those of even conversations as lines, the others as whole files of one
-    pretty-printed array each.
+    The pairs are written first, every other one as a line, the rest in files of one pretty-printed array each.
     """
     lines, arrays = scratch_path(t.spark, "json-lines"), scratch_path(t.spark, "json-arrays")
-    pairs = views.pairs(t)
+    # Numbered as they lie and written once, so that both layouts agree on the numbers; these do not depend on any key.
+    pairs = write_once(views.pairs(t).withColumn("number", F.monotonically_increasing_id()), "numbered")
     record = F.struct("id", "instruction", "input", "output", "schema", "db_id")
-    pairs.filter("conv_id % 2 = 0").select(F.to_json(record).alias("value")).write.text(lines)
-    whole = pairs.filter("conv_id % 2 = 1").select((F.col("conv_id") % 64).alias("file"), F.to_json(record, {"pretty": "true"}).alias("text"))
-    # One row per file: an array file is read by one task, so files stay small.
+    pairs.filter("number % 2 = 0").select(F.to_json(record).alias("value")).write.text(lines)
+    # One row per file, which one task reads: of ARRAY_ROWS pairs at most, so that the table's size makes more files, not larger ones.
+    numbered = F.expr(f"number div {2 * ARRAY_ROWS}").alias("file")
+    whole = pairs.filter("number % 2 = 1").select(numbered, F.to_json(record, {"pretty": "true"}).alias("text"))
     files = whole.groupBy("file").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("text"), ",\n"), F.lit("\n]")).alias("value"))
-    files.select("file", "value").repartition("file").write.partitionBy("file").option("maxRecordsPerFile", 1).text(arrays)
-    array_rows = scan_pairs(t.spark, arrays, json_array=True).drop("file")
+    files.select("value").write.option("maxRecordsPerFile", 1).text(arrays)
+    array_rows = scan_pairs(t.spark, arrays, json_array=True)
     return scan_pairs(t.spark, lines).unionByName(array_rows)
 
 

@@ -1,13 +1,17 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from check import rows_of
 from pairloom.functions import prompts, text
 from pairloom.operators import prepare, profile
 from pairloom.operators.percentiles import floor_index_percentiles
 from pairloom.operators.ranking import with_position
+from pairloom.plans import preparation
+from pairloom.plans.all_queries import ORACLES, QUERIES
 from pairloom.session import scratch_path
 from pairloom.sources.pairs import scan_pairs
 
@@ -118,6 +122,30 @@ def test_json_array_file_and_jsonl(spark, tmp_path):
     assert {r["split"]: r["count"] for r in back} == {"train": 16, "val": 2, "test": 2}
 
 
+def test_json_scan_keeps_every_conversation(spark, tmp_path, monkeypatch):
+    """Null and negative ids, and one conversation with most rows: all pairs, in array files of bounded length."""
+    monkeypatch.setattr(preparation, "ARRAY_ROWS", 50, raising=False)
+    paths = {}
+    monkeypatch.setattr(preparation, "scratch_path", lambda spark, label: paths.setdefault(label, str(tmp_path / label)))
+    turns = [(7, i) for i in range(1500)] + [(c, i) for c in (None, -1, -2, -3, 0, 1) for i in range(10)]
+    rows = [(c, 2 * i + k, role, f'"{role}"\n {c} {i}') for c, i in turns for k, role in enumerate(("user", "assistant"))]
+    ddl = "conv_id bigint, turn bigint, role string, text string"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "conversations.parquet"))
+    df = QUERIES["d01_scan_json"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = db.execute(ORACLES["d01_scan_json"])
+    want = rows_of([c[0] for c in cursor.description], cursor.fetchall())
+    assert len(want[1]) == 1560 and rows_of(df.columns, df.collect()) == want
+    sizes = [len(json.loads(p.read_text())) for p in (tmp_path / "json-arrays").glob("**/part-*")]
+    assert max(sizes) <= 50 and 700 <= sum(sizes) <= 860
+
+
+def test_json_scan_of_no_pairs(spark, tmp_path):
+    spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert QUERIES["d01_scan_json"](spark, str(tmp_path)).count() == 0
+
+
 def test_layouts(spark):
     flat = spark.createDataFrame([("q1", "s1", "d"), ("q0", "s0", "d")], "question string, query string, db_id string")
     got = sorted(map(tuple, prepare.normalize_flat(flat, "spider", ["question"]).select("id", "instruction", "input").collect()))
