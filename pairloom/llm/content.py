@@ -32,7 +32,7 @@ SKIPPED = -3.0
 
 # Names of HTML.
 _SKIPPED_TAGS = frozenset(
-    "head title script style noscript template iframe object svg canvas math audio video nav footer aside form "
+    "head title script style noscript template iframe object svg canvas audio video nav footer aside form "
     "button select option textarea input label fieldset datalist dialog menu".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +48,16 @@ _NAMED = frozenset(
     "comment comments respond discussion disqus share sharing social related recommended newsletter subscribe "
     "subscription popup modal overlay login signup search widget toolbar pagination pager skip".split()
 )
+# Names of several words that are told by all of them; others, as "no-sidebar" or "comments-open", tell of the layout.
+_COMPOUNDS = frozenset(
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper google-ads breadcrumb-nav cookie-banner cookie-bar cookie-consent "
+    "cookie-notice comment-form comment-list comment-respond comments-area comments-list comments-section disqus-thread "
+    "login-form main-menu main-nav main-navigation modal-dialog nav-bar nav-links nav-menu site-nav site-navigation newsletter-form "
+    "newsletter-signup page-footer site-footer site-header post-navigation promo-banner related-articles related-posts search-box "
+    "search-form left-sidebar right-sidebar primary-sidebar share-buttons share-links social-icons social-links social-share "
+    "sharing-buttons skip-link top-nav widget-area".split()
+)
+_NEVER = _NAMED | _COMPOUNDS
 # Parts of the article may carry these tags without being left out.
 _ARTICLE = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,9 +67,11 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
     re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_NAME = re.compile(r"[a-z]+")
+# Attributes with their values, in turn: what stands inside a value is no attribute. Quotes without a name are passed over.
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_TELLING = re.compile(r"class|id|role|style", re.I)  # "hidden" has "id" in it
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+_NUMBER = re.compile(r"-?\d+$")
 
 WORDS, TAG, SKIP = 0, 1, 2
 
@@ -69,9 +81,25 @@ def _never_content(tag: str, rest: str, in_article: bool) -> bool:
         return True
     if not rest or tag in ("html", "body") or tag in _ARTICLE or tag in _HEADINGS:
         return False
-    if _HIDDEN.search(rest):
+    if not _TELLING.search(rest):
+        return False
+    values = _attributes(rest)
+    if values.get("hidden") in ("", "hidden", "true") or values.get("aria-hidden") == "true":
+        return True
+    if _UNSEEN.search(values.get("style", "")):
         return True
-    return any(name in _NAMED for group in _NAMES.findall(rest) for name in _NAME.findall(group.lower()))
+    names = (name for kind in ("class", "id", "role") for name in values.get(kind, "").split())
+    # A number at the end counts elements of one kind.
+    return any(_NUMBER.sub("", name.replace("_", "-")) in _NEVER for name in names)
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    """Lower-case values by lower-case name; the first of a name counts, and one without a value is empty."""
+    values: dict[str, str] = {}
+    for found in _ATTRIBUTE.finditer(rest):
+        if found[1]:
+            values.setdefault(found[1].lower(), (found[2] or found[3] or found[4] or "").strip().lower())
+    return values
 
 
 def page_tokens(html: str) -> Iterator[tuple[int, str, bool]]:

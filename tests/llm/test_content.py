@@ -30,6 +30,35 @@ def test_parts_that_are_never_content(weights):
     assert main_text(PAGE.replace("{}", inner), weights) == TEXT
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<div style="overflow:hidden">', '<div class="overflow-hidden prose">', '<a href="/hidden-city">', '<div hidden="until-found">',
+        '<div data-id="share-3">', '<a href="?id=search">', "<a href=?id=search>", '<div title="class=ad">', '<div aria-hidden="false">',
+        '<div class="content no-sidebar">', '<div class="site-content sidebar-right">', '<div class="post comments-open">', "<math>",
+        '<div style="backface-visibility:hidden">', '<div data-state="display:none">',
+    ],
+)
+def test_words_inside_attributes_leave_nothing_out(weights, opening):
+    inner = f"{opening}Words that stay</{opening[1:].split()[0].rstrip('>')}>"
+    assert main_text(f"<p>One two</p>{inner}", {}).split() == "One two Words that stay".split()
+    marked = PAGE.replace("{}", ARTICLE.replace("<p>End.</p>", f"<p>End.</p>{inner}<p>Last.</p>"))
+    assert main_text(marked, weights).split() == f"{TEXT} Words that stay Last.".split()
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        "hidden", 'id="x" HIDDEN class="y"', 'hidden=""', 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none"',
+        "style='visibility:hidden !important;'", 'class="box ad"', 'id="comments"', 'id="comment-12"', "class=sidebar", 'role="search"',
+        'class="cookie_banner"', 'title="a > b" class="x"class="y" id="disqus_thread"',
+    ],
+)
+def test_attributes_that_are_never_content(attributes):
+    want = "One two three four five\nsix seven eight nine ten"
+    assert main_text(f"<p>One two three four five</p><div {attributes}>Words left out</div><p>six seven eight nine ten</p>", {}) == want
+
+
 def test_open_and_stray_tags(weights):
     cut = PAGE.replace("{}", ARTICLE.replace("</b>", "").replace("</li>", "").replace("</article>", "</span></article>"))
     assert main_text(cut, weights) == TEXT
