@@ -75,13 +75,17 @@ def train_detector(df: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
 
     The sample is the ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` first rows of either label in the
     order of a hash of the id, with at most ``TRAIN_WINDOWS`` windows each; it is all
-    that reaches the driver, where the network is trained.
+    that reaches the driver, where the network is trained. In the fit of the probability a row stands for
+    the labels of its kind that the bound left out, so that the share of toxic rows is that of all labels.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("doc"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("doc").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc")))
+    # Two rows at most.
+    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    bounds = {1: TRAIN_TOXIC, 0: TRAIN_CLEAN}
     picked = [
         known.filter(F.col("label") == value).orderBy(F.xxhash64("doc", F.lit(seed)), "doc").limit(bound)
-        for value, bound in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))
+        for value, bound in bounds.items()
     ]
     # Bounded by the limits; an id with several labels is left out.
     sample = picked[0].unionByName(picked[1]).groupBy("doc").agg(F.min("label").alias("label"), F.max("label").alias("high"))
@@ -98,18 +102,21 @@ def train_detector(df: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
     network = gru.train(windows, docs, truth, seed, EPOCHS, STEPS)
     logits = gru.window_logits(network, network.project(windows.words), windows.places)
     firsts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-    return Detector(network, *_line(np.maximum.reduceat(logits, firsts), truth[firsts]))
+    stands_for = {value: max(1.0, totals.get(value, 0) / bound) for value, bound in bounds.items()}
+    weights = np.where(truth[firsts] == 1, stands_for[1], stands_for[0])
+    return Detector(network, *_line(np.maximum.reduceat(logits, firsts), truth[firsts], weights))
 
 
-def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one value, by damped Newton steps with a little ridge."""
+def _line(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Logistic regression on one value of weighted rows, by damped Newton steps with a little ridge."""
+    weights = weights / weights.mean()
     center, spread = x.mean(), x.std() or 1.0
     z = np.stack([(x - center) / spread, np.ones(len(x))], axis=1)
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        gradient = z.T @ (p - y) + 0.1 * beta
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2)
+        gradient = z.T @ (weights * (p - y)) + 0.1 * beta
+        hessian = (z * (weights * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2)
         beta -= np.clip(np.linalg.solve(hessian, gradient), -2, 2)
     slope = max(beta[0], 1e-3) / spread
     return float(slope), float(beta[1] - slope * center)

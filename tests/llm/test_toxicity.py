@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import gru
+from pairloom.llm import gru, toxicity
 from pairloom.llm.toxicity import STRIDE, WINDOW, toxicity_scores, window_starts
 
 
@@ -49,6 +49,31 @@ def test_labels_that_are_held_out_are_not_used(spark, small_training):
     assert scores[0] == pytest.approx(scores[1], abs=1e-6)
 
 
+@pytest.fixture
+def one_network(spark, small_training, monkeypatch):
+    """Fits of one trained network to labels that miss three of ten toxic texts."""
+    rows, labels = texts_and_labels(1200)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    network = toxicity.train_detector(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"), "doc_id", "text", "toxic", 5).network
+    monkeypatch.setattr(gru, "train", lambda *args: network)
+    rng = random.Random(4)
+    noisy = spark.createDataFrame([(d, int(t and rng.random() < 0.7)) for d, t in labels], "doc_id bigint, toxic int")
+
+    def fit(**bounds):
+        for name, bound in bounds.items():
+            monkeypatch.setattr(toxicity, name, bound)
+        detector = toxicity.train_detector(df, noisy, "doc_id", "text", "toxic", 5)
+        return detector.probability(np.linspace(-6, 6, 25))
+
+    return fit
+
+
+def test_bounds_of_the_sample_keep_the_share_of_toxic_rows(one_network):
+    whole = one_network()
+    for bounds in ({"TRAIN_CLEAN": 150}, {"TRAIN_CLEAN": 10_000, "TRAIN_TOXIC": 60}):
+        assert one_network(**bounds) == pytest.approx(whole, abs=0.12)
+
+
 def test_edge_cases(spark, docs, empty, small_training):
     rows, labels = texts_and_labels(120)
     more = spark.createDataFrame([(10_000 + d, t, "en", None, 1) for d, t in rows], docs.schema)
