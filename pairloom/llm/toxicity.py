@@ -74,8 +74,9 @@ def train_detector(df: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
     """Fit a detector to a bounded sample of the labelled rows that are not held out.
 
     The sample is the ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` first rows of either label in the
-    order of a hash of the id, with at most ``TRAIN_WINDOWS`` windows each; it is all
-    that reaches the driver, where the network is trained. In the fit of the probability a row stands for
+    order of a hash of the id. At most ``TRAIN_WINDOWS`` windows of each reach the driver, where the network
+    is trained; then tasks read the sampled rows again and give the largest logit of all windows of each,
+    the number that a score is made of. In the fit of the probability a row stands for
     the labels of its kind that the bound left out, so that the share of toxic rows is that of all labels.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("doc"), F.col(label).cast("int").alias("label"))
@@ -100,11 +101,26 @@ def train_detector(df: DataFrame, labels: DataFrame, doc_id: str, text: str, lab
         return Detector(None, base=float(toxic > 0))
     windows = gru.Windows(found.column("words").to_pylist())
     network = gru.train(windows, docs, truth, seed, EPOCHS, STEPS)
-    logits = gru.window_logits(network, network.project(windows.words), windows.places)
-    firsts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    largest = chosen.select("doc", "label", "text").mapInArrow(_largest_logits(network), "doc bigint, label int, largest double")
+    # One number a document, of as many as were sampled.
+    found = largest.toArrow().sort_by([("doc", "ascending"), ("largest", "ascending")])
+    truth = found.column("label").to_numpy()
     stands_for = {value: max(1.0, totals.get(value, 0) / bound) for value, bound in bounds.items()}
-    weights = np.where(truth[firsts] == 1, stands_for[1], stands_for[0])
-    return Detector(network, *_line(np.maximum.reduceat(logits, firsts), truth[firsts], weights))
+    weights = np.where(truth == 1, stands_for[1], stands_for[0])
+    return Detector(network, *_line(found.column("largest").to_numpy(), truth, weights))
+
+
+def _largest_logits(network: gru.Network):
+    """(document, label, largest logit of all windows) of texts with any word."""
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(network)
+        for batch in batches:
+            logits = _document_logits(scorer, strings(batch.column("text")))
+            found = batch.drop_columns(["text"]).append_column("largest", pa.array(logits, pa.float64()))
+            yield found.filter(pa.array(~np.isinf(logits)))
+
+    return largest
 
 
 def _line(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -171,14 +187,15 @@ def _scored(detector: Detector):
             if scorer is None:
                 scores = [detector.base] * len(texts)
             else:
-                scores = _document_scores(scorer, detector, texts)
+                largest = _document_logits(scorer, texts)
+                scores = np.where(np.isinf(largest), 0.0, detector.probability(largest)).tolist()
             yield batch.drop_columns(["text"]).append_column("score", pa.array(scores, pa.float64()))
 
     return score
 
 
-def _document_scores(scorer: Scorer, detector: Detector, texts: list[str]) -> list[float]:
-    """Probability of each text: that of its likeliest window, 0 without any word."""
+def _document_logits(scorer: Scorer, texts: list[str]) -> np.ndarray:
+    """Logit of each text: that of its likeliest window, minus infinity without any word."""
     largest = np.full(len(texts), -np.inf)
     owners: list[int] = []
     windows: list[np.ndarray] = []
@@ -204,7 +221,7 @@ def _document_scores(scorer: Scorer, detector: Detector, texts: list[str]) -> li
         if len(windows) >= BATCH or scorer.crowded():
             flush()
     flush()
-    return np.where(np.isinf(largest), 0.0, detector.probability(largest)).tolist()
+    return largest
 
 
 def toxicity_scores(

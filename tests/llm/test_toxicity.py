@@ -74,6 +74,25 @@ def test_bounds_of_the_sample_keep_the_share_of_toxic_rows(one_network):
         assert one_network(**bounds) == pytest.approx(whole, abs=0.12)
 
 
+def test_probability_is_fitted_to_all_windows(spark, monkeypatch):
+    """Also to those of long texts that the network was not trained on."""
+    rows, labels = texts_and_labels(60)
+    rows = [(d, " ".join(t for _, t in rows[d:] + rows[:d])) for d, _ in rows[:20]]
+    network, seen = gru.Network.fresh(1), []
+    monkeypatch.setattr(gru, "train", lambda *args: network)
+    monkeypatch.setattr(toxicity, "_line", lambda x, *rest: seen.extend(x) or (1.0, 0.0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    toxicity.train_detector(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"), "doc_id", "text", "toxic", 5)
+    want = []
+    for d, text in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2:
+            words = gru.words_of(text)
+            windows = gru.Windows([" ".join(words[s : s + WINDOW]) for s in window_starts(len(words))])
+            assert len(windows.places) > 100
+            want.append(gru.window_logits(network, network.project(windows.words), windows.places).max())
+    assert sorted(seen) == pytest.approx(sorted(want), abs=1e-5)
+
+
 def test_edge_cases(spark, docs, empty, small_training):
     rows, labels = texts_and_labels(120)
     more = spark.createDataFrame([(10_000 + d, t, "en", None, 1) for d, t in rows], docs.schema)
