@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.collocations import collocations
 from pairloom.llm.columns import byte_count, text_crc32, word_count
 from pairloom.llm.content import extract_main_text
 from pairloom.llm.counting import digest_cached_counts
 from pairloom.llm.jaccard import jaccard_groups
+from pairloom.llm.lexical import ranked_search
+from pairloom.llm.logbloom import language_scores
 from pairloom.llm.maxproduct import largest_products
 from pairloom.llm.mixing import mix_to_targets
 from pairloom.llm.nearest import nearest
@@ -114,6 +117,86 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 phrases that occur most above chance."""
+    return collocations(table(spark, sf_dir, "documents"), "text", "lang", least=100, longest=5, top=2000)
+
+
+@query
+def op12_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole document, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return language_scores(docs, "doc_id", "text", held_out)
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranked_search(docs, "doc_id", "text", items, "item_id", "text", k=10)
+
+
+ORACLES["op11_collocations"] = r"""
+WITH words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents WHERE text IS NOT NULL)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+    SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+    FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+known AS (SELECT lang, phrase, k AS size, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM known WHERE size >= 2),
+cuts AS (
+    SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r, n,
+        CAST((1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+        JOIN known l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+        JOIN known r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')
+        JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (
+    SELECT lang, inner_phrase, max(a) AS around FROM (
+        SELECT lang, a, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, size - m + 2)]) AS inner_phrase
+        FROM (SELECT *, unnest(range(2, size)) AS m FROM candidates))
+    GROUP BY ALL),
+kept AS (
+    SELECT best.* FROM best LEFT JOIN covered c ON c.lang = best.lang AND c.inner_phrase = best.phrase
+    WHERE around IS NULL OR 100 * around < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES["op13_ranked_search"] = r"""
+WITH terms AS (
+    SELECT row_id, doc_id, unnest(t) AS term, len(t) AS n FROM (
+        SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+        FROM documents WHERE text IS NOT NULL)),
+tf AS (SELECT row_id, doc_id, term, n, count(*) AS tf FROM terms GROUP BY ALL),
+totals AS (SELECT count(DISTINCT row_id) AS nd, count(*) AS l FROM terms),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, totals GROUP BY term, nd),
+items AS (
+    SELECT item_row, item_id, term, count(*) AS times FROM (
+        SELECT row_number() OVER () AS item_row, item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)
+    GROUP BY ALL),
+scores AS (
+    SELECT item_row, item_id, row_id, doc_id,
+        CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // l)))) AS BIGINT) AS score
+    FROM items JOIN weights USING (term) JOIN tf USING (term), totals GROUP BY item_row, item_id, row_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES["op9_largest_products"] = """
 WITH v AS (
     SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS f FROM embeddings
