@@ -50,7 +50,7 @@ def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def numbered(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """For each word the number of its text among the distinct ones, and these."""
     coded = words.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def hashes(words: Iterable[str]) -> np.ndarray:
@@ -58,6 +58,17 @@ def hashes(words: Iterable[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64)
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their first places and counts, and the rank of each key; lean in memory."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(starts, append=len(keys))
+    ranks = np.empty(len(keys), np.int32)
+    ranks[order] = np.repeat(np.arange(len(starts), dtype=np.int32), counts)
+    return keys[starts], order[starts], counts, ranks
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of up to ``limit`` bytes of text; a longer text is a batch of its own."""
     held: list[pa.RecordBatch] = []
@@ -80,3 +91,34 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
                 held, size = [], 0
     if held:
         yield pa.concat_batches(held)
+
+
+def in_even_parts(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows again, as lists of batches of between half of ``limit`` and ``limit`` bytes of text.
+
+    Only a longer text, or all rows where there is less, makes a part outside of that.
+    """
+    small = max(1, limit // 8)
+    held: list[tuple[int, pa.RecordBatch]] = []
+    size = 0
+
+    def take(most: int) -> list[pa.RecordBatch]:
+        nonlocal size
+        part, taken = [], 0
+        while held and (not part or taken + held[0][0] <= most):
+            bytes_, batch = held.pop(0)
+            part.append(batch)
+            taken += bytes_
+        size -= taken
+        return part
+
+    for batch in by_bytes(batches, column, small):
+        bytes_ = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        held.append((bytes_, batch))
+        size += bytes_
+        while size > limit + limit // 2:
+            yield take(limit)
+    if size > limit:
+        yield take(size // 2)
+    if held:
+        yield take(size)
