@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.tokens import strings, word_encoder
+from pairloom.llm.tokens import word_encoder
 from pairloom.operators.timeline import running_sum
 from pairloom.session import scratch_path
 
@@ -39,8 +39,9 @@ def _encoded(tokenizer: str, end_id: int):
         queued: dict[str | None, int] = {}
         for batch in batches:
             ids, tokens, before = [], [], []
-            for text, source in zip(strings(batch.column("text")), batch.column("source").to_pylist()):
-                coded = encoder.encode([text])[0] + end
+            texts = (coded for part in encoder.encode_array(batch.column("text")) for coded in part)
+            for coded, source in zip(texts, batch.column("source").to_pylist()):
+                coded += end
                 ids.append(coded)
                 tokens.append(len(coded) // encoder.width)
                 before.append(queued.get(source, 0))

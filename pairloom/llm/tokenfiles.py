@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.llm import dac
-from pairloom.llm.tokens import strings, word_encoder
+from pairloom.llm.tokens import word_encoder
 from pairloom.session import parallelism
 
 SEGMENT_TOKENS = 1 << 16
@@ -59,8 +59,9 @@ def _segments(tokenizer: str, end_id: int, segment_tokens: int):
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                coded = encoder.encode([text])[0] + end
+            texts = (coded for part in encoder.encode_array(batch.column(1)) for coded in part)
+            for doc, coded in zip(batch.column(0).to_pylist(), texts):
+                coded += end
                 ids.append(coded)
                 docs.append(doc)
                 sizes.append(len(coded) // encoder.width)

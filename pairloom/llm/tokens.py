@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import string
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from pairloom.llm.arrowwords import by_bytes
 
 # Words kept per worker process, and the longest word that is kept.
 CACHED_WORDS, CACHED_LENGTH = 800_000, 64
@@ -23,7 +26,14 @@ CACHED_WORDS, CACHED_LENGTH = 800_000, 64
 _LAST_LATIN = "\u024f"
 _LATIN_LETTERS = [c for c in range(ord(_LAST_LATIN) + 1) if chr(c).isalpha()]
 
-_SPACE_BEFORE_SPACE = re.compile(r"\s ")
+# All that is white space to the tokenizer's pattern, in front of a space.
+_SPACE_BEFORE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+
+# Letters whose kind no version of Unicode has changed: those of Latin scripts up to _LAST_LATIN.
+_LETTERS_ONLY = r"^[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$"
+
+# Bytes of text that are split into words at once.
+ENCODED_BYTES = 8 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -124,65 +134,128 @@ class WordEncoder:
             coded += [np.array(e.ids, self.dtype).tobytes() for e in batch]
         return coded
 
-    def _letters(self, word: str) -> bytes | None:
-        """Ids of a space and the word if that is Latin letters and then punctuation, else None."""
-        stem = word.rstrip(string.punctuation)
-        if not stem.isalpha():
-            return None
-        if stem.isascii():
-            written = self.space + stem
-        elif max(stem) <= _LAST_LATIN:
-            written = (" " + stem).translate(self.written)
-        else:
-            return None
-        ids = self.parts.get(stem) or self.older.get(stem)
-        if ids is None:
-            tokens = [t.id for t in self.library.model.tokenize(written)]
-            ids = self.packs[len(tokens)](*tokens)
-        self.parts[stem] = ids
-        if stem == word:
-            return ids
-        return ids + self._unspaced(word[len(stem) :])
-
-    def _unspaced(self, part: str) -> bytes:
-        ids = self.unspaced.get(part)
-        if ids is None:
-            ids = self._call([part])[0]
-            if len(part) <= CACHED_LENGTH:
-                if len(self.unspaced) >= CACHED_WORDS // 8:
-                    self.unspaced.clear()
-                self.unspaced[part] = ids
-        return ids
+    def _unspaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without a space in front; empty for an empty one."""
+        known = self.unspaced
+        missing = [part for part in parts if part and part not in known]
+        found = dict(zip(missing, self._call(missing)))
+        if len(known) + len(found) > CACHED_WORDS // 8:
+            known.clear()
+            found.update(zip(again := [p for p in parts if p and p not in found], self._call(again)))
+        known.update((part, ids) for part, ids in found.items() if len(part) <= CACHED_LENGTH)
+        return [found.get(part) or known.get(part, b"") for part in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._encode(text) for text in texts]
-
-    def _encode(self, text: str) -> bytes:
-        if not self.by_words or _SPACE_BEFORE_SPACE.search(text):
-            return self._call([text])[0]
-        # Every part but the first carries its space, which is left out of the key.
-        first, *rest = text.split(" ")
-        known, extra = self.parts, {}
-        missing = {word for word in rest if word not in known}
-        if missing:
-            if len(known) + len(missing) > CACHED_WORDS // 2:
-                self.older, self.parts = known, {}
-                known, missing = self.parts, set(rest)
-            others, older = [], self.older
-            for word in missing:
-                ids = older.get(word)
-                if ids is None and len(word) <= CACHED_LENGTH:
-                    ids = self._letters(word)
-                if ids is None:
-                    others.append(word)
-                else:
-                    known[word] = ids
-            for word, ids in zip(others, self._call([" " + word for word in others])):
-                (known if len(word) <= CACHED_LENGTH else extra)[word] = ids
-        head = self._unspaced(first) if first else b""
-        if extra:
-            return head + b"".join([known[w] if w in known else extra[w] for w in rest])
-        return head + b"".join(map(known.__getitem__, rest))
+        return [ids for part in self.encode_array(pa.array(texts, pa.string())) for ids in part]
+
+    def encode_array(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """Ids of each text of an Arrow column, null as empty, in lists of some megabytes of text."""
+        for batch in by_bytes([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", ENCODED_BYTES):
+            part = pc.fill_null(batch.column(0).cast(pa.large_string()), "")
+            if self.by_words:
+                odd = pc.match_substring_regex(part, _SPACE_BEFORE_SPACE).to_numpy(zero_copy_only=False)
+            else:
+                odd = np.ones(len(part), bool)
+            ids: list[bytes] = [b""] * len(part)
+            whole = np.flatnonzero(odd)
+            for at, coded in zip(whole, self._call(part.take(pa.array(whole)).to_pylist())):
+                ids[at] = coded
+            plain = np.flatnonzero(~odd)
+            for at, coded in zip(plain, self._by_words(part.take(pa.array(plain)) if len(whole) else part)):
+                ids[at] = coded
+            yield ids
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        """Split all texts at spaces, look up each distinct word once, and put the ids together by place."""
+        if len(texts) == 0:
+            return []
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        words = lists.flatten()
+        # Every part but the first of a text carries its space, which is left out of the key.
+        first = np.zeros(len(words), bool)
+        first[offsets[:-1]] = True
+        coded = words.filter(pa.array(~first)).dictionary_encode()
+        heads = words.filter(pa.array(first)).dictionary_encode()
+        pool, stem, rest = self._looked_up(coded.dictionary)
+        # Two entries of the pool a word: the word, or its letters, and the punctuation behind them.
+        which = np.zeros((len(words), 2), np.int32)
+        of_word = coded.indices.to_numpy(zero_copy_only=False)
+        which[~first, 0], which[~first, 1] = stem[of_word], rest[of_word]
+        which[first, 0] = heads.indices.to_numpy(zero_copy_only=False) + len(pool)
+        pool += self._unspaced(heads.dictionary.to_pylist())
+        which = which.ravel()
+        sizes = np.fromiter(map(len, pool), np.int32, len(pool)) // self.width
+        values = np.frombuffer(b"".join(pool), self.dtype)
+        starts = np.cumsum(sizes) - sizes
+        per_entry = sizes[which]
+        ends = np.cumsum(per_entry)
+        # Place in the pool of each id: where its entry starts there, and how far into the entry it is.
+        place = np.repeat(starts[which] - (ends - per_entry), per_entry)
+        place += np.arange(len(place))
+        data = values[place].tobytes()
+        edges = (np.concatenate([[0], ends])[offsets * 2] * self.width).tolist()
+        return [data[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+    def _looked_up(self, words: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """A pool of ids, and for each distinct word behind a space its two entries there (0 is empty).
+
+        Latin letters with or without punctuation behind them are two parts to the tokenizer: the
+        letters go to the merge model, and are kept without what stands behind.
+        """
+        stems = pc.ascii_rtrim(words, string.punctuation)
+        simple = pc.match_substring_regex(stems, _LETTERS_ONLY).to_numpy(zero_copy_only=False)
+        simple &= pc.less_equal(pc.binary_length(words), CACHED_LENGTH).to_numpy(zero_copy_only=False)
+        pool, stem, rest = [b""], np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        letters = stems.filter(pa.array(simple)).dictionary_encode()
+        stem[simple] = letters.indices.to_numpy(zero_copy_only=False) + len(pool)
+        pool += self._ids_of(letters.dictionary.to_pylist(), self._merged)
+        others = np.flatnonzero(~simple)
+        stem[others] = np.arange(len(others)) + len(pool)
+        pool += self._ids_of(words.take(pa.array(others)).to_pylist(), lambda parts: self._call([" " + p for p in parts]))
+        lengths = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+        behind = np.flatnonzero(simple & (lengths < pc.binary_length(words).to_numpy(zero_copy_only=False)))
+        marks: dict[str, int] = {}
+        taken = pa.array(behind)
+        for i, word, stem_ in zip(behind.tolist(), words.take(taken).to_pylist(), stems.take(taken).to_pylist()):
+            mark = word[len(stem_) :]
+            at = marks.get(mark)
+            if at is None:
+                at = marks[mark] = len(pool) + len(marks)
+            rest[i] = at
+        return pool + self._unspaced(list(marks)), stem, rest
+
+    def _merged(self, stems: list[str]) -> list[bytes]:
+        tokenize, packs = self.library.model.tokenize, self.packs
+        coded = []
+        for stem in stems:
+            tokens = [t.id for t in tokenize(self.space + stem if stem.isascii() else (" " + stem).translate(self.written))]
+            coded.append(packs[len(tokens)](*tokens))
+        return coded
+
+    def _ids_of(self, parts: list[str], encode) -> list[bytes]:
+        """Ids of distinct parts, each behind a space, from those kept or by ``encode``."""
+        known = self.parts
+        found = [known.get(part) for part in parts]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        if len(known) + len(missing) > CACHED_WORDS // 2:
+            self.older, self.parts = known, {}
+            known = self.parts
+        older, new = self.older, []
+        for i in missing:
+            ids = older.get(parts[i])
+            if ids is None:
+                new.append(i)
+            else:
+                found[i] = known[parts[i]] = ids
+        for i, ids in zip(new, encode([parts[i] for i in new])):
+            found[i] = ids
+            if len(parts[i]) <= CACHED_LENGTH:
+                known[parts[i]] = ids
+        return found
 
 
 @lru_cache(maxsize=None)
