@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.numbers import round_half_up
-from pairloom.operators.ranking import range_blocks
-from pairloom.operators.timeline import border_groups, fill_forward
+from pairloom.operators.replay import scan
 from pairloom.session import write_once
 
 # The checkpoint that always exists, and the ratings a user may give.
 BASE_CHECKPOINT = "base-model"
 RATINGS = ["thumbs_up", "thumbs_down"]
 
+# What a service runs, and would go back to, before its first deploy.
+INITIAL_STATE = (BASE_CHECKPOINT, BASE_CHECKPOINT)
+
 # Compared metrics and the decimals of their differences.
 COMPARED_METRICS = {
     "exact_match_acc": 4,
@@ -58,31 +57,48 @@ def deploys(log: DataFrame) -> DataFrame:
     return log.filter(F.col("action") == "deploy")
 
 
-def resolved(log: DataFrame) -> DataFrame:
-    """Every deploy and rollback with the checkpoint it made active and the one it replaced.
+def accepted(log: DataFrame, registered: DataFrame) -> DataFrame:
+    """The log without deploys of checkpoints that are not registered: they are refused and change nothing."""
+    known = _known(registered, "known_id")
+    marked = log.join(known, F.col("checkpoint_id") == F.col("known_id"), "left")
+    kept = F.col("known_id").isNotNull() | F.coalesce(F.col("action") != "deploy", F.lit(True))
+    return marked.filter(kept).select(*log.columns)
+
+
+def _known(registered: DataFrame, name: str) -> DataFrame:
+    """Ids that may be deployed: the registered ones and the base checkpoint."""
+    ids = registered.select(F.col("checkpoint_id").alias(name))
+    return ids.union(ids.sparkSession.range(1).select(F.lit(BASE_CHECKPOINT))).distinct()
+
+
+def resolved(log: DataFrame, registered: DataFrame) -> DataFrame:
+    """Every accepted deploy and every rollback with the checkpoint it made active and the one it replaced.
 
     One row per event: (event_id, service, ts, action, checkpoint_id, previous_checkpoint_id, last_different).
     """
-    return _replayed(log)
+    events = accepted(log, registered).select("event_id", "service", "ts", "action", "checkpoint_id")
+    return scan(events, "service", ["ts", "event_id"], INITIAL_STATE).select(
+        "event_id", "service", "ts", "action", F.col("active_after").alias("checkpoint_id"),
+        F.col("active_before").alias("previous_checkpoint_id"), F.col("other_after").alias("last_different"),
+    )
 
 
-def active_checkpoints(log: DataFrame) -> DataFrame:
+def active_checkpoints(log: DataFrame, registered: DataFrame) -> DataFrame:
     """Checkpoint that each service runs after its last deploy or rollback."""
-    return resolved(log).groupBy("service").agg(
-        F.max_by("checkpoint_id", F.struct("ts", "event_id")).alias("active_checkpoint")
-    )
+    newest = F.max_by("checkpoint_id", F.struct("ts", "event_id"))
+    return resolved(log, registered).groupBy("service").agg(newest.alias("active_checkpoint"))
 
 
-def previous_checkpoints(log: DataFrame) -> DataFrame:
+def previous_checkpoints(log: DataFrame, registered: DataFrame) -> DataFrame:
     """Each deploy or rollback with the checkpoint it replaced."""
-    return resolved(log).drop("last_different")
+    return resolved(log, registered).drop("last_different")
 
 
-def checkpoint_status(log: DataFrame) -> DataFrame:
+def checkpoint_status(log: DataFrame, registered: DataFrame) -> DataFrame:
     """ACTIVE for the checkpoint a service runs, READY for its others; one aggregate per service and checkpoint."""
-    events = resolved(log)
-    used = events.groupBy("service", "checkpoint_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
-    newest = events.groupBy("service").agg(F.max(F.struct("ts", "event_id")).alias("newest"))
+    last = F.max(F.struct("ts", "event_id")).alias("last")
+    used = write_once(resolved(log, registered).groupBy("service", "checkpoint_id").agg(last), "used")
+    newest = used.groupBy("service").agg(F.max("last").alias("newest"))
     return used.join(newest, "service").select(
         "service", "checkpoint_id", F.when(F.col("last") == F.col("newest"), "ACTIVE").otherwise("READY").alias("status")
     )
@@ -93,19 +109,16 @@ def rollback_targets(log: DataFrame, registered: DataFrame) -> DataFrame:
 
     The newest replaced checkpoint that differs from the active one and is registered,
     else the base checkpoint, or null when that is the active one. The log is reduced to one
-    row per service and replaced checkpoint before anything is joined.
+    row per service and pair of replacing and replaced checkpoint before anything is joined.
     """
-    known = registered.select(F.col("checkpoint_id").alias("previous_checkpoint_id")).distinct()
-    known = known.union(known.sparkSession.range(1).select(F.lit(BASE_CHECKPOINT))).distinct()
-    events = resolved(log)
-    active = events.groupBy("service").agg(
-        F.max_by("checkpoint_id", F.struct("ts", "event_id")).alias("active_checkpoint")
-    )
-    replaced = events.groupBy("service", "previous_checkpoint_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
+    last = F.max(F.struct("ts", "event_id")).alias("last")
+    reduced = resolved(log, registered).groupBy("service", "checkpoint_id", "previous_checkpoint_id").agg(last)
+    reduced = write_once(reduced, "replaced")
+    active = reduced.groupBy("service").agg(F.max_by("checkpoint_id", "last").alias("active_checkpoint"))
     candidates = (
-        replaced.join(active, "service")
+        reduced.join(active, "service")
         .filter(F.col("previous_checkpoint_id") != F.col("active_checkpoint"))
-        .join(known, "previous_checkpoint_id", "left_semi")
+        .join(_known(registered, "previous_checkpoint_id"), "previous_checkpoint_id", "left_semi")
         .groupBy("service")
         .agg(F.max_by("previous_checkpoint_id", "last").alias("candidate"))
     )
@@ -115,143 +128,16 @@ def rollback_targets(log: DataFrame, registered: DataFrame) -> DataFrame:
     )
 
 
-class Effect:
-    """What a stretch of deploys and rollbacks does to an unknown (active, previous) state.
-
-    A deploy makes its checkpoint active and keeps the one active before as previous; a
-    rollback swaps the two. From the first deploy on, one slot is known and the other is
-    the incoming checkpoint, unless that one is deployed again in between: ``changed``
-    says what takes its place then. Two different deploys in a row fix both slots. The
-    size is bounded by the number of distinct checkpoints, not of events.
-    """
-
-    def __init__(self) -> None:
-        self.swapped = False
-        self.first: str | None = None
-        self.known: str | None = None
-        self.known_active = True
-        self.changed: dict[str, str] = {}
-        self.fixed: tuple[str, str] | None = None
-
-    def add(self, checkpoint: str | None) -> None:
-        """Append one event: a deploy of ``checkpoint``, or a rollback if it is None."""
-        if self.fixed is not None:
-            self.fixed = step(self.fixed, checkpoint)
-        elif checkpoint is None:
-            if self.first is None:
-                self.swapped = not self.swapped
-            else:
-                self.known_active = not self.known_active
-        elif self.first is None:
-            self.first = self.known = checkpoint
-        elif self.known_active:
-            if checkpoint != self.known:
-                self.fixed = (checkpoint, self.known)
-        else:
-            self.changed = {k: self.known if v == checkpoint else v for k, v in self.changed.items()}
-            self.changed.setdefault(checkpoint, self.known)
-            self.known, self.known_active = checkpoint, True
-
-    def apply(self, state: tuple[str, str]) -> tuple[str, str]:
-        if self.fixed is not None:
-            return self.fixed
-        active, previous = reversed(state) if self.swapped else state
-        if self.first is None:
-            return active, previous
-        other = previous if active == self.first else active
-        other = self.changed.get(other, other)
-        return (self.known, other) if self.known_active else (other, self.known)
-
-
-def step(state: tuple[str, str], checkpoint: str | None) -> tuple[str, str]:
-    """State (active, previous) after a deploy, or after a rollback (None)."""
-    active, previous = state
-    if checkpoint is None:
-        return previous, active
-    return state if checkpoint == active else (checkpoint, active)
-
-
-INITIAL_STATE = (BASE_CHECKPOINT, BASE_CHECKPOINT)
-
-
-def _summarise(events: pd.DataFrame) -> pd.DataFrame:
-    effect = Effect()
-    for checkpoint in events.sort_values("_slot")["checkpoint_id"]:
-        effect.add(checkpoint)
-    return events[["service", "_block"]].head(1).assign(effect=json.dumps(vars(effect)))
-
-
-def _incoming(effects: pd.DataFrame) -> pd.DataFrame:
-    state, states = INITIAL_STATE, []
-    ordered = effects.sort_values("_block")
-    for text in ordered["effect"]:
-        states.append(state)
-        effect = Effect()
-        vars(effect).update(json.loads(text))
-        if effect.fixed is not None:
-            effect.fixed = tuple(effect.fixed)
-        state = effect.apply(state)
-    return ordered[["service", "_block"]].assign(
-        active_in=[s[0] for s in states], previous_in=[s[1] for s in states]
-    )
-
-
-def _replay_block(events: pd.DataFrame) -> pd.DataFrame:
-    ordered = events.sort_values("_slot")
-    first = ordered.iloc[0]
-    state = INITIAL_STATE if pd.isna(first["active_in"]) else (first["active_in"], first["previous_in"])
-    before, states = [], []
-    for checkpoint in ordered["checkpoint_id"]:
-        before.append(state[0])
-        state = step(state, checkpoint)
-        states.append(state)
-    return ordered[["event_id", "service", "ts", "action"]].assign(
-        checkpoint_id=[s[0] for s in states], previous_checkpoint_id=before, last_different=[s[1] for s in states]
-    )
-
-
-def replay(log: DataFrame) -> DataFrame:
+def replay(log: DataFrame, registered: DataFrame) -> DataFrame:
     """Active checkpoint after every event of the deploy/rollback log, per service."""
-    return resolved(log).select(
+    return resolved(log, registered).select(
         "event_id", "service", "action", F.col("checkpoint_id").alias("active_checkpoint"), "last_different"
     )
 
 
-def _replayed(log: DataFrame) -> DataFrame:
-    """The fold behind ``resolved``.
-
-    It is sequential, so it runs on range-sorted blocks: blocks that share a
-    service are summarised first (``Effect``), the summaries - at most two per block -
-    give each block its incoming state, and then all blocks replay at once.
-    """
-    events = log.select(
-        "event_id", "service", "ts", "action",
-        F.when(F.col("action") == "deploy", F.col("checkpoint_id")).alias("checkpoint_id"),
-    )
-    blocks = range_blocks(events, ["service", "ts", "event_id"])
-    borders = border_groups(blocks, ["service"]).select("_block", "service")
-    effects = (
-        blocks.join(F.broadcast(borders), ["_block", "service"], "left_semi")
-        .select("service", "_block", "_slot", "checkpoint_id")
-        .groupBy("service", "_block")
-        .applyInPandas(_summarise, "service long, _block long, effect string")
-    )
-    incoming = effects.groupBy("service").applyInPandas(
-        _incoming, "service long, _block long, active_in string, previous_in string"
-    )
-    # At most two rows per block.
-    placed = blocks.join(F.broadcast(incoming), ["service", "_block"], "left")
-    states = placed.groupBy("service", "_block").applyInPandas(
-        _replay_block,
-        f"event_id long, service long, ts {log.schema['ts'].dataType.simpleString()}, action string, checkpoint_id string, "
-        "previous_checkpoint_id string, last_different string",
-    )
-    return write_once(states, "resolved")
-
-
 def deletable_checkpoints(registered: DataFrame, log: DataFrame) -> DataFrame:
     """Registered checkpoints that are neither the base one nor active in any service."""
-    active = active_checkpoints(log).select(F.col("active_checkpoint").alias("checkpoint_id")).distinct()
+    active = active_checkpoints(log, registered).select(F.col("active_checkpoint").alias("checkpoint_id")).distinct()
     return (
         registered.select("checkpoint_id").distinct()
         .filter(F.col("checkpoint_id") != BASE_CHECKPOINT)
@@ -270,18 +156,21 @@ def latest_feedback(feedback: DataFrame, n: int = 50) -> DataFrame:
     return accepted.orderBy(F.col("id").desc()).limit(n)
 
 
-def active_at(requests: DataFrame, log: DataFrame) -> DataFrame:
-    """Checkpoint that served each request: what the service's last deploy or rollback at or before it made active."""
+def active_at(requests: DataFrame, log: DataFrame, registered: DataFrame) -> DataFrame:
+    """Checkpoint that served each request: what the service's last deploy or rollback at or before it made active.
+
+    Requests run through the replay as events that change nothing: one sort for both.
+    """
+    nothing = F.lit(None).cast("string")
     probes = requests.select(
-        "service", "ts", F.lit(1).alias("_kind"), F.col("request_id").alias("_id"),
-        F.lit(None).cast("string").alias("checkpoint_id"),
+        "service", "ts", F.lit(1).alias("_kind"), F.col("request_id").alias("_id"), nothing.alias("action"), nothing.alias("checkpoint_id")
+    )
+    changes = accepted(log, registered).select(
+        "service", "ts", F.lit(0).alias("_kind"), F.col("event_id").alias("_id"), "action", "checkpoint_id"
     )
-    changes = resolved(log).select("service", "ts", F.lit(0).alias("_kind"), F.col("event_id").alias("_id"), "checkpoint_id")
-    timeline = probes.unionByName(changes)
-    filled = fill_forward(timeline, ["service"], ["ts", "_kind", "_id"], "checkpoint_id", "serving")
-    return filled.filter(F.col("_kind") == 1).select(
-        F.col("_id").alias("request_id"), "service",
-        F.coalesce("serving", F.lit(BASE_CHECKPOINT)).alias("serving_checkpoint"),
+    met = scan(probes.unionByName(changes), "service", ["ts", "_kind", "_id"], INITIAL_STATE)
+    return met.filter(F.col("_kind") == 1).select(
+        F.col("_id").alias("request_id"), "service", F.col("active_before").alias("serving_checkpoint")
     )
 
 
@@ -294,7 +183,9 @@ def select_model(requests: DataFrame, log: DataFrame, registered: DataFrame) ->
     known = registered.select(F.col("checkpoint_id").alias("known_id")).distinct()
     named = ~F.coalesce(F.col("requested").isin("base", "active"), F.lit(True))
     key = F.when(named, F.col("requested")).otherwise(F.concat(F.lit("\0"), F.col("request_id").cast("string")))
-    chosen = requests.withColumn("_key", key).join(active_checkpoints(log), "service", "left").join(
+    chosen = requests.withColumn("_key", key).join(
+        active_checkpoints(log, registered), "service", "left"
+    ).join(
         known, F.col("_key") == F.col("known_id"), "left"
     )
     active = F.coalesce("active_checkpoint", F.lit(BASE_CHECKPOINT))

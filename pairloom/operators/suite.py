@@ -42,7 +42,7 @@ def screen_texts(spark: SparkSession, texts: Mapping[str, str], tables: list[str
 FAILURES = (PySparkException, Py4JJavaError)
 
 
-def _failure(error: Exception) -> str:
+def failure_type(error: Exception) -> str:
     """Type of what Spark reports about a text."""
     condition = (error.getCondition() or "") if isinstance(error, PySparkException) else ""
     return ERROR_TYPES.get(condition.split(".")[0], "ExecutionError")
@@ -61,7 +61,7 @@ def _run(spark: SparkSession, text: str, allowed: bool) -> tuple[DataFrame | Non
         # Names may repeat in a result, but not in a written table.
         return write_once(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), "captured"), None
     except FAILURES as error:  # analysis, parse and run-time errors
-        return None, _failure(error)
+        return None, failure_type(error)
 
 
 def _columns(spark: SparkSession, text: str) -> str:
@@ -116,7 +116,7 @@ def _result_rows(spark: SparkSession, text: str, allowed: bool) -> tuple[DataFra
         )
         return with_position(write_once(placed, "result"), ["at"], "pos").select("pos", "values"), None
     except FAILURES as error:
-        return None, _failure(error)
+        return None, failure_type(error)
 
 
 def live_outcomes(

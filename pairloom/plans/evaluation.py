@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions import clauses as C
-from pairloom.operators import evaluate, results, suite
+from pairloom.operators import evaluate, results, suite, templates
 from pairloom.operators.percentiles import interpolated_percentiles
 from pairloom.operators.screen import keep_where
 from pairloom.plans import sqltext as Q
@@ -18,6 +18,7 @@ from pairloom.sources.tables import COLUMN_NAMES, TABLE_NAMES, Tables
 
 _SQL_PAIRS = views.with_views("sql_pairs")
 _CASES = views.with_views("eval_cases")
+_EXECUTED = views.with_views("eval_cases", "executed_cases")
 _RESULT_ROWS = views.with_views("result_rows")
 _REQUESTS = views.with_views("requests")
 
@@ -99,11 +100,16 @@ _OUTCOME = f"""CASE WHEN NOT generated THEN 'GenerationFailed' WHEN actual_error
   WHEN gold_error IS NOT NULL THEN 'GroundTruthExecutionError' WHEN NOT rows_match THEN 'ResultMismatch' END"""
 
 
-@query("e05_outcome", f"{_CASES} SELECT case_id, model, {_OUTCOME} AS outcome FROM eval_cases")
+def executed(t: Tables) -> DataFrame:
+    """Every case and model side with what running its two texts gave, template by template."""
+    t.register_views()
+    return templates.execute_cases(views.eval_cases(t), "gold_sql", "generated_sql", TABLE_NAMES, COLUMN_NAMES)
+
+
+@query("e05_outcome", f"{_EXECUTED} SELECT case_id, model, {_OUTCOME} AS outcome FROM executed_cases")
 def outcome(t: Tables) -> DataFrame:
-    """Execution verdict per case and model."""
-    verdict = C.outcome(F.col("generated"), F.col("actual_error"), F.col("gold_error"), F.col("rows_match"))
-    return views.eval_cases(t).select("case_id", "model", verdict.alias("outcome"))
+    """Execution verdict per case and model, from running both texts."""
+    return executed(t).select("case_id", "model", templates.verdict().alias("outcome"))
 
 
 _BY_SEGMENT = "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment"
@@ -156,11 +162,11 @@ def live_outcome(t: Tables) -> DataFrame:
 
 @query(
     "e06_error_type",
-    f"{_CASES} SELECT case_id, model, {_ERROR_TYPE} AS error_type FROM eval_cases WHERE actual_error IS NOT NULL",
+    f"{_EXECUTED} SELECT case_id, model, {_ERROR_TYPE} AS error_type FROM executed_cases WHERE actual_error IS NOT NULL",
 )
 def error_type(t: Tables) -> DataFrame:
     """Type of each execution error, from its message."""
-    failed = views.eval_cases(t).filter(F.col("actual_error").isNotNull())
+    failed = executed(t).filter(F.col("actual_error").isNotNull())
     return failed.select("case_id", "model", C.error_type(F.col("actual_error")).alias("error_type"))
 
 
@@ -217,14 +223,15 @@ def clause_features(t: Tables) -> DataFrame:
     )
 
 
-_ITEMS = f"""{_CASES}, features AS ({_classified('eval_cases', 'case_id, model, gold_error, generated, rows_match, latency_ms')}),
+_ITEMS = f"""{_EXECUTED}, features AS ({_classified('executed_cases', 'case_id, model, gold_error, generated, rows_match, latency_ms')}),
   eval_items AS (SELECT case_id, model, g = o AS em, {_OUTCOME} IS NULL AS ex, generated AND actual_error IS NULL AS ok,
     {_OUTCOME} AS error_type, CASE WHEN {_OUTCOME} IS NOT NULL THEN {_CATEGORY} END AS failure_category, latency_ms
     FROM features)"""
 
 
 def items(t: Tables) -> DataFrame:
-    return evaluate.score_cases(views.eval_cases(t))
+    """Scored cases, written once: what follows is arithmetic on them."""
+    return write_once(evaluate.score_cases(executed(t)), "items")
 
 
 def _rate(condition: str) -> str:
@@ -311,7 +318,7 @@ def run_row(t: Tables) -> DataFrame:
 
     The scored items are written once and read for the rates and for the latencies.
     """
-    return _flat_run(evaluate.run_row(write_once(items(t), "items")))
+    return _flat_run(evaluate.run_row(items(t)))
 
 
 _SIDES = ", ".join(
@@ -365,7 +372,7 @@ def lift(t: Tables) -> DataFrame:
 def run_history(t: Tables) -> DataFrame:
     """Two runs appended to a history table and read back in order."""
     path = scratch_path(t.spark, "history")
-    run = write_once(_flat_run(evaluate.run_row(write_once(items(t), "items"))), "run")
+    run = write_once(_flat_run(evaluate.run_row(items(t))), "run")
     for number in (1, 2):
         history = evaluate.append_history(run.withColumn("run_no", F.lit(number).cast("long")), path)
     return history.orderBy("run_no").select(

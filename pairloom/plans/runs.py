@@ -13,7 +13,9 @@ from pairloom.sources.tables import Tables
 
 _EXPERIMENTS = f"""{views.with_views('experiments')}, newest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
   PARTITION BY experiment_id ORDER BY ts DESC) AS rn FROM experiments) r WHERE rn = 1)"""
-_REPLAY = """numbered AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS i FROM deployments),
+_REPLAY = """taken AS (SELECT * FROM deployments WHERE action <> 'deploy' OR checkpoint_id = 'base-model'
+    OR checkpoint_id IN (SELECT checkpoint_id FROM checkpoints)),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS i FROM taken),
   states AS (SELECT service, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, min(ts) AS ts, CAST('' AS VARCHAR) AS action,
       'base-model' AS active_checkpoint, 'base-model' AS last_different, 'base-model' AS replaced FROM numbered GROUP BY service
     UNION ALL SELECT n.service, n.i, n.event_id, n.ts, n.action,
@@ -63,7 +65,7 @@ def list_experiments(t: Tables) -> DataFrame:
 @query("r05_active_checkpoint", f"{_LOG} SELECT * FROM active")
 def active_checkpoint(t: Tables) -> DataFrame:
     """Checkpoint that each service runs."""
-    return runs.active_checkpoints(views.deployments(t))
+    return runs.active_checkpoints(views.deployments(t), views.checkpoints(t))
 
 
 @query(
@@ -72,7 +74,7 @@ def active_checkpoint(t: Tables) -> DataFrame:
 )
 def previous_checkpoint(t: Tables) -> DataFrame:
     """Each deploy or rollback with the checkpoint it replaced."""
-    found = runs.previous_checkpoints(views.deployments(t))
+    found = runs.previous_checkpoints(views.deployments(t), views.checkpoints(t))
     return found.select("event_id", "service", "checkpoint_id", "previous_checkpoint_id")
 
 
@@ -83,7 +85,7 @@ def previous_checkpoint(t: Tables) -> DataFrame:
 )
 def checkpoint_status(t: Tables) -> DataFrame:
     """ACTIVE or READY per service and checkpoint."""
-    return runs.checkpoint_status(views.deployments(t))
+    return runs.checkpoint_status(views.deployments(t), views.checkpoints(t))
 
 
 @query(
@@ -115,7 +117,7 @@ def rollback_target(t: Tables) -> DataFrame:
 )
 def replay_log(t: Tables) -> DataFrame:
     """Active checkpoint after every deploy and rollback."""
-    return runs.replay(views.deployments(t))
+    return runs.replay(views.deployments(t), views.checkpoints(t))
 
 
 @query(
@@ -134,11 +136,11 @@ def deletable(t: Tables) -> DataFrame:
 
 @query(
     "r11_deployment_history",
-    f"{_LOG} SELECT event_id, service, action, checkpoint_id FROM deployments ORDER BY ts DESC, event_id DESC",
+    f"{_LOG} SELECT event_id, service, action, checkpoint_id FROM taken ORDER BY ts DESC, event_id DESC",
 )
 def deployment_history(t: Tables) -> DataFrame:
-    """The log, newest first."""
-    newest_first = views.deployments(t).orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    """The log without refused deploys, newest first."""
+    newest_first = runs.accepted(views.deployments(t), views.checkpoints(t)).orderBy(F.col("ts").desc(), F.col("event_id").desc())
     return newest_first.select("event_id", "service", "action", "checkpoint_id")
 
 
@@ -184,7 +186,7 @@ def service_requests(t: Tables) -> DataFrame:
 )
 def active_at(t: Tables) -> DataFrame:
     """Checkpoint that served each request."""
-    return runs.active_at(service_requests(t), views.deployments(t))
+    return runs.active_at(service_requests(t), views.deployments(t), views.checkpoints(t))
 
 
 @query(

@@ -14,14 +14,14 @@ from pairloom.sources.tables import Tables
 
 _JOIN_GOLD = (
     "'SELECT T1.c_name, SUM(T2.o_totalprice) AS total FROM customer AS T1 JOIN orders AS T2 "
-    "ON T1.c_custkey = T2.o_custkey WHERE T2.o_orderkey > ' || CAST(o_orderkey AS STRING) || "
+    "ON T1.c_custkey = T2.o_custkey WHERE T1.c_custkey = ' || CAST(o_custkey AS STRING) || "
     "' AND T2.o_orderstatus IN (' || chr(39) || 'F' || chr(39) || ', ' || chr(39) || 'O' || chr(39) || ') "
     "GROUP BY T1.c_name ORDER BY total DESC LIMIT 5'"
 )
 _SINGLE_GOLD = (
     "'SELECT o_orderkey, COUNT(o_custkey) AS n FROM orders WHERE o_custkey = ' || CAST(o_custkey AS STRING) || "
     "' AND o_orderpriority = ' || chr(39) || o_orderpriority || chr(39) || "
-    "' GROUP BY o_orderkey ORDER BY n DESC LIMIT 10'"
+    "' GROUP BY o_orderkey ORDER BY n DESC, o_orderkey LIMIT 10'"
 )
 _REPEATED_GOLD = (
     "'SELECT o_orderstatus, COUNT(o_orderkey) AS n FROM orders GROUP BY o_orderstatus ORDER BY n DESC LIMIT 10'"
@@ -129,20 +129,15 @@ VIEW_SQL = {
       FROM {orders} WHERE NOT (o_custkey % 7 = 5 AND o_orderkey % 3 = 0)""",
 }
 
+# A gold text that does not run, for some cases.
+_BROKEN_GOLD = "o_orderkey % 97 = 0"
+
 # Columns of eval_cases, over an orders source that also carries model, shift and gold_sql.
 _EVAL_COLUMNS = [
     "o_orderkey AS case_id",
     "model",
-    "gold_sql",
+    f"CASE WHEN {_BROKEN_GOLD} THEN 'SELECT T1.salary FROM customer AS T1' ELSE gold_sql END AS gold_sql",
     f"{_generated(_VARIANT)} AS generated_sql",
-    "CASE WHEN o_orderkey % 97 = 0 THEN 'Execution Error: no such column: T1.salary' END AS gold_error",
-    f"{_VARIANT} <> 13 AS generated",
-    f"""CASE {_VARIANT} WHEN 18 THEN 'SQL Syntax Error: near FROM'
-      WHEN 17 THEN 'Execution Error: no such table: secret_passwords'
-      WHEN 16 THEN 'Execution Error: no such column: alpha_x'
-      WHEN 7 THEN 'Execution Error: no such column: o_shippriority'
-      WHEN 4 THEN 'Safety Violation: statement blocked' END AS actual_error""",
-    f"{_VARIANT} IN (0, 1, 2, 3, 14, 19) AS rows_match",
     "CASE WHEN model = 'base' THEN o_totalprice + 250.5E0 ELSE o_totalprice END AS latency_ms",
 ]
 
@@ -222,12 +217,46 @@ def result_rows(tables: Tables) -> DataFrame:
 
 
 def eval_cases(tables: Tables) -> DataFrame:
-    """One row per case and model side, with captured execution status."""
+    """One row per case and model side: both texts and the latency."""
     sides = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("shift")) for m, s in _SIDES])
     gold = tables.spread("orders").withColumn("gold_sql", F.expr(_GOLD)).select("*", F.inline(sides))
     return _generated_once(gold.selectExpr(*_EVAL_COLUMNS))
 
 
+# What running both texts of each case gives, worked out from the data: the kind of question, what the
+# variant of the answer does to it, and the rows that either has.
+EXECUTED_SQL = f"""eval_kinds AS (SELECT o_orderkey AS case_id, model, {_VARIANT} AS variant, o_custkey, o_orderpriority,
+    CAST(floor(o_orderkey / 20.0) AS BIGINT) AS nr, {_BROKEN_GOLD} AS broken,
+    CASE WHEN o_orderkey % 20 = 19 THEN 'status' WHEN o_orderkey % 2 = 0 THEN 'customer' ELSE 'orders' END AS kind
+    FROM orders, (VALUES {', '.join(f'({m!r}, {s})' for m, s in _SIDES)}) v(model, shift)),
+  per_customer AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS statuses, sum(o_totalprice) AS total
+    FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey),
+  per_priority AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
+  same_key AS (SELECT o_orderkey AS k, o_totalprice AS total FROM orders
+    WHERE o_orderstatus IN ('F', 'O') AND o_orderkey IN (SELECT c_custkey FROM customer)),
+  n_statuses AS (SELECT count(DISTINCT o_orderstatus) AS statuses FROM orders),
+  executed AS (SELECT k.case_id, k.model, variant <> 13 AS generated,
+    CASE WHEN broken THEN 'Execution Error: no such column' END AS gold_error,
+    CASE WHEN variant = 4 AND nr % 2 = 1 THEN 'SQL Safety Violation'
+         WHEN variant = 5 AND kind <> 'customer' THEN 'Execution Error: no such column'
+         WHEN variant = 6 THEN 'Execution Error: no such column'
+         WHEN variant = 7 AND kind = 'orders' THEN 'Execution Error: no such column'
+         WHEN variant IN (16, 17) THEN 'SQL Safety Violation' WHEN variant = 18 THEN 'SQL Syntax Error' END AS actual_error,
+    CASE variant
+      WHEN 0 THEN nr % 4 <> 3
+      WHEN 1 THEN CASE kind WHEN 'status' THEN true WHEN 'customer' THEN c.n IS NULL ELSE false END
+      WHEN 8 THEN kind <> 'customer' OR (c.n IS NULL AND s.k IS NULL) OR coalesce(round(c.total - s.total, 3) = 0, false)
+      WHEN 10 THEN kind <> 'customer' OR c.n IS NULL OR c.n = 1
+      WHEN 11 THEN kind <> 'status' OR (SELECT statuses FROM n_statuses) <= 1
+      WHEN 12 THEN kind <> 'customer' OR c.n IS NULL OR c.statuses = 1
+      WHEN 15 THEN kind <> 'orders' OR p.n <= 10
+      ELSE true END AS rows_match
+    FROM eval_kinds k LEFT JOIN per_customer c ON k.o_custkey = c.o_custkey LEFT JOIN same_key s ON k.o_custkey = s.k
+    LEFT JOIN per_priority p ON k.o_custkey = p.o_custkey AND k.o_orderpriority = p.o_orderpriority),
+  executed_cases AS (SELECT e.*, generated, gold_error, actual_error, rows_match
+    FROM eval_cases e JOIN executed x ON e.case_id = x.case_id AND e.model = x.model)"""
+
+
 def with_views(*names: str) -> str:
     """``WITH`` prefix that defines the named views over the plain tables."""
     tables = {t: t for t in ("orders", "events", "part", "documents")}
@@ -240,6 +269,8 @@ def with_views(*names: str) -> str:
                 f"eval_cases AS (SELECT {', '.join(_EVAL_COLUMNS)} FROM (SELECT *, {_GOLD} AS gold_sql FROM orders) o, "
                 f"(VALUES {', '.join(f'({m!r}, {s})' for m, s in _SIDES)}) v(model, shift))"
             )
+        elif name == "executed_cases":
+            texts.append(EXECUTED_SQL)
         else:
             texts.append(f"{name} AS ({VIEW_SQL[name].format(**tables)})")
     return "WITH " + ",\n".join(texts)

@@ -1,29 +1,49 @@
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairloom.operators import runs, telemetry, timeline
-from pairloom.operators.runs import INITIAL_STATE, Effect, step
+from pairloom.operators import replay, runs, telemetry, timeline
+from pairloom.operators.runs import INITIAL_STATE
 
-EVENTS = st.lists(st.sampled_from(["base-model", "a", "b", "c", None]), max_size=30)
+def step(state, checkpoint):
+    """State (active, last different) after a deploy, or after a rollback (None)."""
+    active, previous = state
+    if checkpoint is None:
+        return previous, active
+    return state if checkpoint == active else (checkpoint, active)
 
 
-@settings(max_examples=500, deadline=None)
-@given(EVENTS, st.integers(0, 30))
-def test_effect_equals_replay(events, cut):
-    state = INITIAL_STATE
-    for e in events[:cut]:
-        state = step(state, e)
-    effect = Effect()
-    for e in events[cut:]:
-        effect.add(e)
-    want = state
-    for e in events[cut:]:
-        want = step(want, e)
-    assert effect.apply(state) == want
+@pytest.mark.parametrize("fan_bits", [2, 6])
+def test_stretches_compose(spark, monkeypatch, fan_bits):
+    """Many short logs, each folded over a tree of its own shape."""
+    monkeypatch.setattr(replay, "_FAN_BITS", fan_bits)
+    rng = random.Random(fan_bits)
+    rows = []
+    for service in [None, *range(60)]:
+        for at in range(rng.randrange(1, 40)):
+            # Single deploys between rollbacks leave one slot open for long.
+            kind = rng.random() < 0.5 if (service or 0) % 2 else at % 2 == 0
+            checkpoint = rng.choice(["base-model", "a", "b", "c", "d"]) if kind else None
+            rows.append((len(rows), service, at, "deploy" if kind else "rollback", checkpoint))
+            if rng.random() < 0.1:
+                rows.append((len(rows), service, at, None, None))
+    log = spark.createDataFrame(rows, "event_id long, service long, ts long, action string, checkpoint_id string")
+    got = {
+        r["event_id"]: tuple(r)[-4:]
+        for r in replay.scan(log.repartition(5), "service", ["ts", "event_id"], ("base-model", "base-model")).collect()
+    }
+    want, states = {}, {}
+    for event_id, service, _, action, checkpoint in rows:
+        state = states.get(service, ("base-model", "base-model"))
+        states[service] = state if action is None else step(state, checkpoint)
+        want[event_id] = (*state, *states[service])
+    assert got == want
+
+
+def test_scan_of_nothing(spark):
+    log = spark.createDataFrame([], "event_id long, service long, ts long, action string, checkpoint_id string")
+    assert replay.scan(log, "service", ["ts", "event_id"], ("x", "x")).count() == 0
 
 
 def brute_replay(rows):
@@ -46,14 +66,19 @@ def log_rows():
     return rows
 
 
+@pytest.fixture(scope="module")
+def known(spark):
+    return spark.createDataFrame([(f"c{i}",) for i in range(4)], "checkpoint_id string")
+
+
 @pytest.fixture(scope="module")
 def log(spark, log_rows):
     schema = "event_id long, service long, ts long, action string, checkpoint_id string"
     return spark.createDataFrame(random.Random(1).sample(log_rows, len(log_rows)), schema).repartition(4)
 
 
-def test_replay_with_hot_service(log, log_rows):
-    got = {r["event_id"]: (r["active_checkpoint"], r["last_different"]) for r in runs.replay(log).collect()}
+def test_replay_with_hot_service(log, log_rows, known):
+    got = {r["event_id"]: (r["active_checkpoint"], r["last_different"]) for r in runs.replay(log, known).collect()}
     assert got == brute_replay(log_rows)
 
 
@@ -64,17 +89,17 @@ def test_replay_twice_toggles():
     assert state == ("B", "A")
 
 
-def test_previous_and_forward_fill(log, log_rows):
+def test_previous_and_forward_fill(log, log_rows, known):
     want, state = {}, {}
     for event_id, service, _, action, checkpoint in sorted(log_rows, key=lambda r: (r[1], r[2], r[0])):
         before = state.get(service, INITIAL_STATE)
         want[event_id] = before[0]
         state[service] = step(before, checkpoint if action == "deploy" else None)
-    got = {r["event_id"]: r["previous_checkpoint_id"] for r in runs.previous_checkpoints(log).collect()}
+    got = {r["event_id"]: r["previous_checkpoint_id"] for r in runs.previous_checkpoints(log, known).collect()}
     assert got == want
-    active = {r["service"]: r["active_checkpoint"] for r in runs.active_checkpoints(log).collect()}
+    active = {r["service"]: r["active_checkpoint"] for r in runs.active_checkpoints(log, known).collect()}
     assert active == {service: current for service, (current, _) in state.items()}
-    statuses = {(r["service"], r["checkpoint_id"]) for r in runs.checkpoint_status(log).collect() if r["status"] == "ACTIVE"}
+    statuses = {(r["service"], r["checkpoint_id"]) for r in runs.checkpoint_status(log, known).collect() if r["status"] == "ACTIVE"}
     assert statuses == set(active.items())
     filled = timeline.fill_forward(log, ["service"], ["ts", "event_id"], "checkpoint_id", "seen").collect()
     want, last = {}, {}
@@ -93,16 +118,27 @@ def test_rollback_target_and_deletable(spark):
     assert {r[0] for r in runs.deletable_checkpoints(known, log).collect()} == {"a", "c"}
 
 
+def test_unregistered_checkpoints_are_refused(spark):
+    rows = [(1, 0, 1, "deploy", "a"), (2, 0, 2, "deploy", "gone"), (3, 0, 3, "rollback", None), (4, 1, 1, "deploy", "gone"), (5, 0, 4, "deploy", None)]
+    log = spark.createDataFrame(rows, "event_id long, service long, ts long, action string, checkpoint_id string")
+    known = spark.createDataFrame([("a",), (None,)], "checkpoint_id string")
+    events = {r["event_id"]: (r["checkpoint_id"], r["previous_checkpoint_id"]) for r in runs.resolved(log, known).collect()}
+    assert events == {1: ("a", "base-model"), 3: ("base-model", "a")}
+    requests = spark.createDataFrame([(9, 2, 0), (8, 5, 0), (7, 5, 1)], "request_id long, ts long, service long")
+    served = {r["request_id"]: r["serving_checkpoint"] for r in runs.active_at(requests, log, known).collect()}
+    assert served == {9: "a", 8: "base-model", 7: "base-model"}
+
+
 def test_rollback_makes_its_target_active(spark):
     rows = [(1, 0, 1, "deploy", "a"), (2, 0, 2, "deploy", "b"), (3, 0, 3, "rollback", None)]
     log = spark.createDataFrame(rows, "event_id long, service long, ts long, action string, checkpoint_id string")
     known = spark.createDataFrame([("a",), ("b",)], "checkpoint_id string")
-    assert [tuple(r) for r in runs.active_checkpoints(log).collect()] == [(0, "a")]
+    assert [tuple(r) for r in runs.active_checkpoints(log, known).collect()] == [(0, "a")]
     assert {r[0] for r in runs.deletable_checkpoints(known, log).collect()} == {"b"}
     # The rollback replaced b, so the next one would go there again.
     assert [r["rollback_target"] for r in runs.rollback_targets(log, known).collect()] == ["b"]
     requests = spark.createDataFrame([(9, 2, 0, "active"), (8, 5, 0, "active"), (7, 0, 0, "base")], "request_id long, ts long, service long, requested string")
-    served = {r["request_id"]: r["serving_checkpoint"] for r in runs.active_at(requests, log).collect()}
+    served = {r["request_id"]: r["serving_checkpoint"] for r in runs.active_at(requests, log, known).collect()}
     assert served == {9: "b", 8: "a", 7: "base-model"}
     assert {r["request_id"]: r["selected"] for r in runs.select_model(requests, log, known).collect()} == {9: "a", 8: "a", 7: "base-model"}
 
