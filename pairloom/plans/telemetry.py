@@ -232,7 +232,7 @@ def streaming_counters(t: Tables) -> DataFrame:
 )
 def streaming_windows(t: Tables) -> DataFrame:
     """Request count and mean latency of each closed hour."""
-    return jobs.tumbling_rates(_arriving_requests(t))
+    return jobs.tumbling_rates(_arriving_requests(t)).closed
 
 
 @query(
@@ -248,6 +248,26 @@ def streaming_client_rate(t: Tables) -> DataFrame:
     return jobs.sliding_client_rates(_arriving_requests(t), "2 days", "1 day", WINDOW_LIMIT)
 
 
+@query(
+    "t18_exact_client_rate",
+    f"""{_REQUESTS} SELECT request_id, client, in_window, in_window > {WINDOW_LIMIT} AS limited FROM (SELECT request_id, client,
+  count(*) OVER (PARTITION BY client ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW_SECONDS * 1_000_000 - 1} PRECEDING
+  AND CURRENT ROW) AS in_window FROM requests) r""",
+)
+def exact_client_rate(t: Tables) -> DataFrame:
+    """The sliding count and limit of each request, kept per client by a stream."""
+    return jobs.exact_client_rates(_arriving_requests(t), WINDOW_SECONDS, WINDOW_LIMIT)
+
+
+@query(
+    "t17_late_rows",
+    f"{_REQUESTS} SELECT request_id, client, ts FROM requests WHERE ts IS NULL",
+)
+def late_rows(t: Tables) -> DataFrame:
+    """Requests that came after their hour was closed: none where all arrive in one batch, but those without a time."""
+    return jobs.tumbling_rates(_arriving_requests(t)).late.select("request_id", "client", "ts")
+
+
 @query(
     "t19_streaming_screen",
     f"""{_VERDICT_SQL} SELECT case_id, CASE WHEN len(v) = 0 THEN 'accepted' ELSE 'rejected' END AS output, reason FROM final""",
