@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.arrowwords import by_bytes, byte_table, hashes, numbered, split_pieces, split_words, translated
+from pairloom.llm.arrowwords import by_bytes, byte_table, hashes, in_even_parts, numbered, ranked, split_pieces, split_words, translated
 from pairloom.llm.shingles import mix
 from pairloom.llm.steps import written
 
@@ -27,68 +27,85 @@ from pairloom.llm.steps import written
 _BREAKS, _SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 _TABLE = byte_table(_SPACES, _BREAKS)
 
-# Bytes of text mined at once; the tasks that the corpus is dealt to for mining.
-SHARD_BYTES, SHARDS = 32 << 20, 24
+# Bytes of text mined at once; the tasks that the corpus is dealt to for mining. Counting takes less at once.
+SHARD_BYTES, SHARDS = 32 << 20, 36
+COUNT_BYTES = 8 << 20
+# Counted phrases that a task holds at most before it hands them on.
+HELD_ROWS = 1 << 20
 # Largest bitmap of candidates, in bits; what collides in it is counted in vain, no phrase is lost.
 MOST_BITS = 1 << 27
-_BITS_EACH, _BUCKET = 32, 1 << 15
+_BITS_EACH = 32
+# Phrases are packed, and united, by the first bits of their hashes.
+_BUCKETS, _BUCKET_SHIFT = 1 << 10, np.uint64(54)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _levels(
+    keys: np.ndarray,
+    hash_of: Callable[[np.ndarray], np.ndarray],
+    piece: np.ndarray,
+    longest: int,
+    keep: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Length, first places, hashes and counts of the phrases that ``keep`` chooses by hash and count.
+
+    ``keys`` tell words (of a group) apart, place by place; ``piece`` says which may stand in one phrase. A longer
+    phrase is looked at where both its parts without one end word were kept.
+    """
+    n = len(keys)
+    places = np.arange(n, dtype=np.int32)
+    for length in range(1, longest + 1):
+        if length > 1:
+            last = n - length + 1
+            if last <= 0:
+                return
+            open_ = (piece[:last] == piece[length - 1 :]) & (grams[:last] >= 0) & (grams[1 : last + 1] >= 0)
+            places = np.flatnonzero(open_).astype(np.int32)
+            keys = grams[places].astype(np.int64) * singles + base[places + (length - 1)]
+        if len(places) == 0:
+            return
+        distinct, first, counts, ranks = ranked(keys)
+        h = hash_of(distinct) if length == 1 else mix(prefix_hash[distinct // singles] * _STEP + single_hash[distinct % singles])
+        kept = keep(h, counts)
+        dense = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)
+        grams = np.full(n, -1, np.int32)
+        grams[places] = dense[ranks]
+        prefix_hash = h[kept]
+        if length == 1:
+            base, singles, single_hash = grams, max(1, len(prefix_hash)), prefix_hash
+        yield length, places[first[kept]], prefix_hash, counts[kept]
+
+
+_MINED = "bucket bigint, slack bigint, phrases binary, above binary"
+
+
 class _Words:
-    """Words of a batch in order: number, piece and group of each."""
+    """Words of a batch in order: number and piece of each, group of each piece."""
 
     def __init__(self, batch: pa.RecordBatch):
         pieces, text_of = split_pieces(translated(batch.column("text"), _TABLE))
-        words, self.piece = split_words(pieces)
+        words, piece = split_words(pieces)
+        self.piece = piece.astype(np.int32)
         self.words, self.texts = numbered(words)
         groups = batch.column("lang").dictionary_encode()
         self.groups = groups.dictionary.to_pylist()
-        of_text = groups.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.group = of_text[text_of[self.piece]]
+        self.group = groups.indices.to_numpy(zero_copy_only=False)[text_of]
         self.word_hash = hashes(self.texts.to_pylist())
         self.group_hash = hashes(self.groups)
 
-    def levels(
-        self, longest: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]
-    ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Length, first places, hashes and counts of the phrases that ``keep`` chooses by hash and count.
+    def totals(self) -> np.ndarray:
+        return np.bincount(self.group[self.piece], minlength=len(self.groups))
 
-        A phrase is looked at where both its parts without one end word were kept.
-        """
-        n = len(self.words)
-        if n == 0:
-            return
-        vocabulary = len(self.texts)
-        places = np.arange(n)
-        keys = self.group * vocabulary + self.words
-        base, prefix_hash, singles = None, None, 0
-        grams = None
-        for length in range(1, longest + 1):
-            if length > 1:
-                if n < length:
-                    return
-                last = n - length + 1
-                open_ = (self.piece[:last] == self.piece[length - 1 :]) & (grams[:last] >= 0) & (grams[1 : last + 1] >= 0)
-                places = np.flatnonzero(open_)
-                if len(places) == 0:
-                    return
-                keys = grams[places] * singles + base[places + length - 1]
-            distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            first = np.empty(len(distinct), np.int64)
-            first[inverse[::-1]] = places[::-1]
-            if length == 1:
-                h = mix(self.group_hash[distinct // vocabulary] * _STEP + self.word_hash[distinct % vocabulary])
-            else:
-                h = mix(prefix_hash[distinct // singles] * _STEP + self.single_hash[distinct % singles])
-            kept = keep(h, counts)
-            dense = np.where(kept, np.cumsum(kept) - 1, -1)
-            following = np.full(n, -1, np.int64)
-            following[places] = dense[inverse]
-            grams, prefix_hash = following, h[kept]
-            if length == 1:
-                base, singles, self.single_hash = grams, max(1, int(kept.sum())), prefix_hash
-            yield length, first[kept], prefix_hash, counts[kept]
+    def hashed(self) -> np.ndarray:
+        """Hash of group and word at each place."""
+        return mix(self.group_hash[self.group][self.piece] * _STEP + self.word_hash[self.words])
+
+    def levels(self, longest: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        vocabulary = max(1, len(self.texts))
+        keys = self.group[self.piece].astype(np.int64) * vocabulary + self.words
+        return _levels(
+            keys, lambda k: mix(self.group_hash[k // vocabulary] * _STEP + self.word_hash[k % vocabulary]), self.piece, longest, keep
+        )
 
     def phrases(self, first: np.ndarray, length: int) -> pa.Array:
         parts = [self.texts.take(pa.array(self.words[first + i])) for i in range(length)]
@@ -98,44 +115,90 @@ class _Words:
 
 
 def _mined(total: int, least: int, longest: int, shard_bytes: int):
-    """Per shard: its support less one, and each locally frequent phrase's count above that."""
+    """Per shard: its support less one; and each locally frequent phrase's count above that, packed by bucket.
+
+    Words are hashes here, so that a shard is a few numbers a word; two words of one hash only add a candidate.
+    """
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", shard_bytes):
-            share = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        for shard in in_even_parts(batches, "text", shard_bytes):
+            share, words, pieces, n_pieces = 0, [], [], 0
+            for batch in shard:
+                share += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+                part = _Words(batch)
+                words.append(part.hashed().view(np.int64))
+                pieces.append(part.piece + np.int32(n_pieces))
+                n_pieces += len(part.group)
             support = max(1, -(-least * share // max(1, total)))
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([support - 1])], names=["phrase", "above"])
-            for _, _, h, counts in _Words(batch).levels(longest, lambda _, counts: counts >= support):
-                above = counts.astype(np.int64) - (support - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(above)], names=["phrase", "above"])
+            yield _packed([None], [support - 1], [b""], [b""])
+            keys, piece = np.concatenate(words), np.concatenate(pieces)
+            del words, pieces, part, batch, shard
+            pa.default_memory_pool().release_unused()
+            for _, _, h, counts in _levels(keys, lambda k: k.view(np.uint64), piece, longest, lambda _, counts: counts >= support):
+                order = np.argsort(h)
+                h, above = h[order], (counts[order] - (support - 1)).astype(np.int32)
+                buckets, starts = np.unique((h >> _BUCKET_SHIFT).astype(np.int64), return_index=True)
+                parts = list(zip(starts, [*starts[1:], len(h)]))
+                yield _packed(buckets, [0] * len(parts), [h[a:b].tobytes() for a, b in parts], [above[a:b].tobytes() for a, b in parts])
 
     return mine
 
 
-def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(bits - 1)
-    return h & low, (h >> np.uint64(32)) & low
+def _packed(buckets, slack, phrases, above) -> pa.RecordBatch:
+    columns = [pa.array(buckets, pa.int64()), pa.array(slack, pa.int64()), pa.array(phrases, pa.binary()), pa.array(above, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "slack", "phrases", "above"])
+
+
+def _possible(least: int, slack: int):
+    """The phrases of one bucket that can reach ``least``: a shard that does not name one holds less than its support."""
+
+    def unite(group: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(p, np.uint64) for p in group.column("phrases").to_pylist()])
+        above = np.concatenate([np.frombuffer(a, np.int32) for a in group.column("above").to_pylist()])
+        order = np.argsort(h)
+        h, above = h[order], above[order]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        possible = h[starts][np.add.reduceat(above.astype(np.int64), starts) + slack >= least]
+        row = [[group.column("bucket")[0].as_py()], [len(possible)], [possible.tobytes()]]
+        return pa.table([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "n", "phrases"])
+
+    return unite
+
+
+def _places(h: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a phrase inside the region of its bucket."""
+    low = np.uint64(region - 1)
+    return h & low, (h >> np.uint64(24)) & low
+
+
+def _regions(region: int):
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled = []
+            for phrases in batch.column("phrases").to_pylist():
+                bits = np.zeros(region, bool)
+                for place in _places(np.frombuffer(phrases, np.uint64), region):
+                    bits[place] = True
+                filled.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(filled, pa.binary())], names=["bucket", "bits"])
+
+    return fill
 
 
 def _candidates(mined: DataFrame, least: int) -> np.ndarray:
-    """Bitmap of the phrases that can reach ``least``: a shard that does not name one holds less than its support."""
-    slack = mined.filter(F.col("phrase").isNull()).agg(F.sum("above")).first()[0] or 0
-    found = mined.filter(F.col("phrase").isNotNull()).groupBy("phrase").agg(F.sum("above").alias("above"))
-    found = written(found.filter(F.col("above") + F.lit(slack) >= least).select("phrase"), "phrases")
-    bits = 1 << 16
-    while bits < min(MOST_BITS, _BITS_EACH * found.count()):
-        bits *= 2
-    both = F.array(*[h.bitwiseAND(F.lit(bits - 1)) for h in (F.col("phrase"), F.shiftrightunsigned("phrase", 32))])
-    place = found.select(F.explode(both).alias("place"))
-    buckets = place.groupBy(F.shiftright("place", 15).alias("bucket")).agg(
-        F.expr(f"bitmap_construct_agg(place & {_BUCKET - 1})").alias("bits")
-    )
-    bitmap = np.zeros(bits // 8, np.uint8)
+    """Bitmap of all phrases that can reach ``least``, a region of it per bucket."""
+    slack = mined.agg(F.sum("slack")).first()[0] or 0
+    named = mined.filter(F.col("bucket").isNotNull()).select("bucket", "phrases", "above")
+    united = named.groupBy("bucket").applyInArrow(_possible(least, slack), "bucket bigint, n bigint, phrases binary")
+    united = written(united, "phrases")
+    wanted = _BITS_EACH * (united.agg(F.sum("n")).first()[0] or 0)
+    region = 64
+    while region * _BUCKETS < min(MOST_BITS, wanted):
+        region *= 2
+    bitmap = np.zeros((_BUCKETS, region // 8), np.uint8)
     # At most MOST_BITS / 8 bytes, whatever the corpus.
-    for row in buckets.toLocalIterator():
-        at = row["bucket"] * (_BUCKET // 8)
-        size = min(_BUCKET // 8, len(bitmap) - at)
-        bitmap[at : at + size] = np.frombuffer(row["bits"], np.uint8)[:size]
+    for row in united.select("bucket", "phrases").mapInArrow(_regions(region), "bucket bigint, bits binary").toLocalIterator():
+        bitmap[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return bitmap
 
 
@@ -145,21 +208,38 @@ def _counted(bitmap, longest: int):
 
         def known(h: np.ndarray, _: np.ndarray) -> np.ndarray:
             found = np.ones(len(h), bool)
-            for place in _places(h, len(bits) * 8):
-                found &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for place in _places(h, bits.shape[1] * 8):
+                byte = bits[h >> _BUCKET_SHIFT, place >> np.uint64(3)]
+                found &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             return found
 
-        for batch in by_bytes(batches, "text", SHARD_BYTES):
+        # Counts of several batches are summed before they leave the task.
+        held, rows = [], 0
+        for batch in by_bytes(batches, "text", COUNT_BYTES):
             words = _Words(batch)
-            totals = np.bincount(words.group, minlength=len(words.groups))
-            yield _rows(words.groups, [None] * len(words.groups), 0, totals)
+            held.append(_rows(words.groups, [None] * len(words.groups), 0, words.totals()))
             names = pa.array(words.groups, pa.string())
             for length, first, _, counts in words.levels(longest, known):
-                yield _rows(names.take(pa.array(words.group[first])), words.phrases(first, length), length, counts)
+                held.append(_rows(names.take(pa.array(words.group[words.piece[first]])), words.phrases(first, length), length, counts))
+            rows += sum(part.num_rows for part in held[-longest - 1 :])
+            if rows > HELD_ROWS:
+                held = _summed(held)
+                rows = sum(part.num_rows for part in held)
+                if rows > HELD_ROWS // 2:
+                    yield from held
+                    held, rows = [], 0
+        yield from _summed(held)
 
     return count
 
 
+def _summed(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    if not parts:
+        return []
+    table = pa.Table.from_batches(parts).group_by(["lang", "phrase", "length"]).aggregate([("a", "sum")])
+    return table.rename_columns(["lang", "phrase", "length", "a"]).combine_chunks().to_batches()
+
+
 def _rows(lang, phrase, length: int, counts: np.ndarray) -> pa.RecordBatch:
     columns = [
         lang if isinstance(lang, pa.Array) else pa.array(lang, pa.string()),
@@ -183,7 +263,7 @@ def phrase_counts(df: DataFrame, text: str, lang: str, least: int = 100, longest
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     # Fewer and larger shards by reading several splits in one task: no shuffle.
     mined = written(
-        docs.coalesce(shards).mapInArrow(_mined(total, least, longest, SHARD_BYTES), "phrase bigint, above bigint"), "mined"
+        docs.coalesce(shards).mapInArrow(_mined(total, least, longest, SHARD_BYTES), _MINED), "mined"
     )
     bitmap = spark.sparkContext.broadcast(_candidates(mined, least))
     counted = docs.mapInArrow(_counted(bitmap, longest), "lang string, phrase string, length int, a bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.clauses import FAILURE_CATEGORIES, failure_cause, outcome, repeated_words, unigram_bleu
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions.text import words
+from pairloom.operators import stored
 from pairloom.operators.percentiles import interpolated_percentiles
 from pairloom.operators.screen import with_clauses, with_normalized, with_shape
 
@@ -176,7 +177,7 @@ def bleu_scores(df: DataFrame, reference: str, candidate: str) -> DataFrame:
     return split.withColumn("bleu", score).drop("_ref", "_cand", "_repeated")
 
 
-def append_history(run: DataFrame, path: str) -> DataFrame:
-    """Append a run row to the history table and return the whole history."""
-    run.write.mode("append").parquet(path)
-    return run.sparkSession.read.parquet(path)
+def append_history(run: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Append a run row to the history table, once however often it is tried, and return the whole history."""
+    stored.append(run, path, run_id)
+    return stored.read(run.sparkSession, path, run.schema)

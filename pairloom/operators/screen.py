@@ -60,19 +60,22 @@ def with_extracted(df: DataFrame, output: str, name: str) -> DataFrame:
     ).drop("_body")
 
 
-def judge(df: DataFrame, sql: str, tables: Column, columns: Column, db: str = "target") -> DataFrame:
+def judge(df: DataFrame, sql: str, tables: Column, columns: Column, db: Column | str = "target") -> DataFrame:
     """Add ``allowed``, ``reason`` and ``violations`` for each text.
 
     Allowed is a single statement that reads: a SELECT, or WITH queries and a SELECT.
     ``tables`` and ``columns`` are arrays of the names the schema knows: literals for
-    one schema, or columns joined in by database.
+    one schema, or columns joined in by database. Null: there is no schema to check against; nor
+    are columns checked against a schema without any.
     """
+    db = F.lit(db) if isinstance(db, str) else F.coalesce(db, F.lit("target"))
+    none = F.array().cast("array<string>")
     facts = with_names(df, sql).withColumns(
         {
             "_count": S.statement_count(F.col("_bare")),
             "_operations": S.mutating_operations(S.first_bare(F.col("_bare"))),
-            "_missing": S.unknown_tables(F.col("_tables"), F.col("_ctes"), tables),
-            "_strange": S.unknown_columns(F.col("_columns"), columns),
+            "_missing": F.when(tables.isNotNull(), S.unknown_tables(F.col("_tables"), F.col("_ctes"), tables)).otherwise(none),
+            "_strange": F.when(F.size(F.coalesce(columns, none)) > 0, S.unknown_columns(F.col("_columns"), columns)).otherwise(none),
             "_formed": S.is_well_formed(F.col("_clean"), F.col("_bare")),
         }
     )
@@ -97,7 +100,7 @@ def judge(df: DataFrame, sql: str, tables: Column, columns: Column, db: str = "t
             F.size(missing) > 0,
             F.concat(
                 F.lit("Referenced table(s) '"), F.array_join(missing, "', '"),
-                F.lit(f"' do not exist in database schema '{db}'."),
+                F.lit("' do not exist in database schema '"), db, F.lit("'."),
             ),
         ),
         _if(

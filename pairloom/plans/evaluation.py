@@ -370,11 +370,11 @@ def lift(t: Tables) -> DataFrame:
   FROM run, range(1, 3) r(i)""",
 )
 def run_history(t: Tables) -> DataFrame:
-    """Two runs appended to a history table and read back in order."""
+    """Two runs appended to a history table, the second one tried twice, and read back in order."""
     path = scratch_path(t.spark, "history")
     run = write_once(_flat_run(evaluate.run_row(items(t))), "run")
-    for number in (1, 2):
-        history = evaluate.append_history(run.withColumn("run_no", F.lit(number).cast("long")), path)
+    for number in (1, 2, 2):
+        history = evaluate.append_history(run.withColumn("run_no", F.lit(number).cast("long")), path, f"run-{number}")
     return history.orderBy("run_no").select(
         "run_no", "total_samples", "tuned_exec_acc", "base_exec_acc", "failure_counts"
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators import runs
+from pairloom.operators import runs, stored
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
+from pairloom.session import scratch_path
 from pairloom.sources import views
 from pairloom.sources.tables import Tables
 
@@ -39,6 +40,15 @@ def upsert_latest(t: Tables) -> DataFrame:
     return experiments(t)
 
 
+@query("r01_stored_upsert", f"{_EXPERIMENTS} SELECT * FROM newest")
+def stored_upsert(t: Tables) -> DataFrame:
+    """The same in a stored table: records come in three commits, one of them twice."""
+    path, records = scratch_path(t.spark, "experiments"), views.experiments(t)
+    for part in (2, 0, 1, 0):
+        stored.upsert(records.filter(F.col("ts") % 3 == part), path, f"part-{part}", ["experiment_id"], ["ts"])
+    return stored.read(t.spark, path, records.schema)
+
+
 @query("r02_point_lookup", f"{_EXPERIMENTS} SELECT * FROM newest WHERE experiment_id = 42")
 def point_lookup(t: Tables) -> DataFrame:
     """One experiment; the filter reaches the scan below the upsert."""

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import screening as S
 from pairloom.functions import text
-from pairloom.operators import screen
+from pairloom.operators import catalog, screen
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
 from pairloom.sources import views
-from pairloom.sources.tables import COLUMN_NAMES, TABLE_NAMES, Tables
+from pairloom.sources.tables import COLUMN_NAMES, TABLE_DDL, TABLE_NAMES, Tables
 
 _WITH = views.with_views("sql_pairs")
 
@@ -257,6 +257,66 @@ def verdict(t: Tables) -> DataFrame:
     return judged.select("case_id", "allowed", "reason", F.array_join("violations", " | ").alias("violations"))
 
 
+def _by_database(expression) -> str:
+    """An expression over the names of the text's own database, in SQL; no names where it has no schema."""
+    cases = []
+    for db, tables in views.DATABASES.items():
+        columns = sorted({c.split()[0] for t in tables for c in TABLE_DDL[t].split(", ")})
+        cases.append(f"WHEN '{db}' THEN {expression(tables, columns)}")
+    return f"CASE db_id {' '.join(cases)} ELSE CAST([] AS VARCHAR[]) END"
+
+
+_DATABASE_SQL = (
+    _VERDICT_SQL.replace("parts AS (SELECT case_id,", f"parts AS (SELECT case_id, {views.DB_ID.replace('o_orderkey', 'case_id')} AS db_id,")
+    .replace("facts AS (SELECT case_id,", "facts AS (SELECT case_id, db_id,")
+    .replace("listed AS (SELECT case_id,", "listed AS (SELECT case_id, db_id, missing, strange,")
+    .replace("final AS (SELECT case_id,", "final AS (SELECT case_id, db_id, missing, strange,")
+    .replace(Q.unknown_tables("f", TABLE_NAMES), _by_database(lambda tables, _: Q.unknown_tables("f", tables)))
+    .replace(Q.unknown_columns("f", COLUMN_NAMES), _by_database(lambda _, columns: Q.unknown_columns("f", columns)))
+    .replace("database schema ''target''.'", "database schema ''' || db_id || '''.'")
+)
+
+
+def _dimension(t: Tables) -> DataFrame:
+    return catalog.schema_dimension(views.schemas(t), "db_id", "ddl")
+
+
+@query(
+    "s13_verdict_by_database",
+    f"""{_DATABASE_SQL} SELECT case_id, db_id, len(v) = 0 AS allowed, reason, array_to_string(v, ' | ') AS violations FROM final""",
+)
+def verdict_by_database(t: Tables) -> DataFrame:
+    """The verdict with names looked up in the schema of the text's own database."""
+    judged = catalog.judge_by_database(views.database_texts(t), "generated_sql", "db_id", _dimension(t))
+    return judged.select("case_id", "db_id", "allowed", "reason", F.array_join("violations", " | ").alias("violations"))
+
+
+@query(
+    "s08_unknown_tables_by_database",
+    f"{_DATABASE_SQL} SELECT case_id, db_id, array_to_string(missing, ',') AS unknown_tables FROM final WHERE len(missing) > 0",
+)
+def unknown_tables_by_database(t: Tables) -> DataFrame:
+    """Referenced tables that the text's own database lacks."""
+    named = screen.with_names(catalog.with_schema(views.database_texts(t), "db_id", _dimension(t)), "generated_sql")
+    found = named.withColumn("names", S.unknown_tables(F.col("_tables"), F.col("_ctes"), F.col("known_tables")))
+    return screen.keep_where(found, F.size("names") > 0, "case_id", "db_id", F.array_join("names", ",").alias("unknown_tables"))
+
+
+@query(
+    "s09_unknown_columns_by_database",
+    f"""{_DATABASE_SQL} SELECT case_id, db_id, CAST(len(strange) AS BIGINT) AS n_unknown, array_to_string(strange[1:3], ', ') AS first_three
+  FROM final WHERE len(strange) > 3""",
+)
+def unknown_columns_by_database(t: Tables) -> DataFrame:
+    """Texts with more than three column names that their own database lacks."""
+    named = screen.with_names(catalog.with_schema(views.database_texts(t), "db_id", _dimension(t)), "generated_sql")
+    found = named.withColumn("names", S.unknown_columns(F.col("_columns"), F.col("known_columns")))
+    return screen.keep_where(
+        found, F.size("names") > 3, "case_id", "db_id", F.size("names").cast("long").alias("n_unknown"),
+        F.array_join(F.slice("names", 1, 3), ", ").alias("first_three"),
+    )
+
+
 @query(
     "s14_validation_row",
     f"""SELECT case_id, valid, CASE WHEN valid THEN s ELSE raw END AS formatted_sql,

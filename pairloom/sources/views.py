@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.prepare import pair_turns
-from pairloom.sources.tables import Tables
+from pairloom.sources.tables import TABLE_DDL, Tables
 
 _JOIN_GOLD = (
     "'SELECT T1.c_name, SUM(T2.o_totalprice) AS total FROM customer AS T1 JOIN orders AS T2 "
@@ -81,6 +81,18 @@ _QUESTION = (
 
 _VARIANT = "((o_orderkey + shift) % 20)"
 
+# The tables of each database that questions are asked of; one has no schema.
+DATABASES = {
+    "sales": ["customer", "orders", "nation", "region"],
+    "orders": ["orders", "lineitem"],
+    "corpus": ["documents", "labels"],
+}
+_DDL_TYPES = {"string": "TEXT", "double": "DECIMAL", "timestamp": "TIMESTAMP", "bigint": "INT", "int": "INT"}
+DB_ID = (
+    "CASE CAST(floor(o_orderkey / 20.0) AS BIGINT) % 5 WHEN 0 THEN 'orders' WHEN 1 THEN 'corpus' "
+    "WHEN 2 THEN 'elsewhere' ELSE 'sales' END"
+)
+
 # SELECT lists shared by both engines; {orders} and so on name the source.
 VIEW_SQL = {
     "sql_pairs": f"""SELECT o_orderkey AS case_id, {_QUESTION} AS question, gold_sql,
@@ -182,6 +194,21 @@ def sql_pairs(tables: Tables) -> DataFrame:
     return _generated_once(tables.spark.sql(VIEW_SQL["sql_pairs"], orders=tables.spread("orders")))
 
 
+def database_texts(tables: Tables) -> DataFrame:
+    """Generated texts with the database they are asked of."""
+    return sql_pairs(tables).withColumn("o_orderkey", F.col("case_id")).selectExpr("case_id", f"{DB_ID} AS db_id", "generated_sql")
+
+
+def schemas(tables: Tables) -> DataFrame:
+    """DDL rows of the databases, one a table."""
+    rows = [
+        (db, f"CREATE TABLE {name} ({', '.join(f'{c} {_DDL_TYPES[k]}' for c, k in (x.split() for x in TABLE_DDL[name].split(', ')))});")
+        for db, names in DATABASES.items()
+        for name in names
+    ]
+    return tables.spark.createDataFrame(rows, "db_id string, ddl string")
+
+
 def prompts(tables: Tables) -> DataFrame:
     return _view(tables, "prompts", "documents")
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import screening as S
-from pairloom.operators import screen
+from pairloom.operators import catalog, screen
 
 SHOP = {
     "tables": ["customers", "orders", "order_items"],
@@ -136,3 +136,29 @@ def test_ddl_catalog(spark):
         S.ddl_tables(F.col("d")).alias("t"), S.ddl_columns(F.col("d")).alias("c")
     ).first()
     assert row["t"] == ["b", "orders"] and row["c"] == ["c", "order_date", "order_id", "total"]
+
+
+def test_names_are_those_of_the_own_database(spark):
+    ddl = [
+        ("shop", "CREATE TABLE customers (cust_id INT, city TEXT);"),
+        ("shop", "CREATE TABLE IF NOT EXISTS invoices (inv_id INT, amount DECIMAL(10, 2));"),
+        ("shop", "CREATE TABLE customers (cust_id INT, city TEXT);"),
+        ("lab", "CREATE TABLE probes (probe_id INT, weight DECIMAL(8, 3));"),
+        ("bare", ""), ("bare", None), (None, "CREATE TABLE stray (id INT)"),
+    ]
+    dimension = catalog.schema_dimension(spark.createDataFrame(ddl, "db_id string, ddl string"), "db_id", "ddl")
+    known = {r["db_id"]: (r["known_tables"], r["known_columns"]) for r in dimension.collect()}
+    assert set(known) == {"shop", "lab", "bare"} and known["lab"][0] == ["probes"] and known["bare"] == ([], [])
+    assert known["shop"][0].count("customers") == 1 and {"cust_id", "city", "amount"} <= set(known["shop"][1])
+    texts = [
+        (1, "shop", "SELECT cust_id FROM customers"), (2, "lab", "SELECT cust_id FROM customers"),
+        (3, "lab", "SELECT probe_id FROM probes"), (4, "shop", "SELECT probe_id FROM probes"),
+        (5, "nowhere", "SELECT x FROM customers"), (6, None, "SELECT x FROM probes"), (7, None, "DROP TABLE probes"),
+        (8, "lab", "SELECT cust_id, city, amount, inv_id FROM probes"), (9, "shop", "SELECT cust_id, city, amount, inv_id FROM customers"),
+        (10, "bare", "SELECT a FROM customers"), (11, "lab", "WITH customers AS (SELECT probe_id FROM probes) SELECT probe_id FROM customers"),
+    ]
+    frame = spark.createDataFrame(texts, "id long, db string, sql string")
+    judged = {r["id"]: r for r in catalog.judge_by_database(frame, "sql", "db", dimension).collect()}
+    assert [i for i, r in sorted(judged.items()) if r["allowed"]] == [1, 3, 5, 6, 9, 11]
+    assert judged[2]["violations"] == ["Referenced table(s) 'customers' do not exist in database schema 'lab'."]
+    assert judged[8]["violations"][0].startswith("Referenced multiple unrecognized columns: ")
