@@ -35,8 +35,8 @@ HELD_ROWS = 1 << 20
 # Largest bitmap of candidates, in bits; what collides in it is counted in vain, no phrase is lost.
 MOST_BITS = 1 << 27
 _BITS_EACH = 32
-# Phrases are packed, and united, by the first bits of their hashes.
-_BUCKETS, _BUCKET_SHIFT = 1 << 10, np.uint64(54)
+# Phrases are packed, and united, by the first bits of their hashes: into this many buckets, or more for large corpora.
+_LEAST_BUCKETS, _BUCKET_BYTES = 1 << 10, 64 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,7 +114,11 @@ class _Words:
         return pc.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type)).cast(pa.string())
 
 
-def _mined(total: int, least: int, longest: int, shard_bytes: int):
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+
+
+def _mined(total: int, least: int, longest: int, shard_bytes: int, buckets: int):
     """Per shard: its support less one; and each locally frequent phrase's count above that, packed by bucket.
 
     Words are hashes here, so that a shard is a few numbers a word; two words of one hash only add a candidate.
@@ -137,9 +141,9 @@ def _mined(total: int, least: int, longest: int, shard_bytes: int):
             for _, _, h, counts in _levels(keys, lambda k: k.view(np.uint64), piece, longest, lambda _, counts: counts >= support):
                 order = np.argsort(h)
                 h, above = h[order], (counts[order] - (support - 1)).astype(np.int32)
-                buckets, starts = np.unique((h >> _BUCKET_SHIFT).astype(np.int64), return_index=True)
+                present, starts = np.unique(_bucket(h, buckets), return_index=True)
                 parts = list(zip(starts, [*starts[1:], len(h)]))
-                yield _packed(buckets, [0] * len(parts), [h[a:b].tobytes() for a, b in parts], [above[a:b].tobytes() for a, b in parts])
+                yield _packed(present, [0] * len(parts), [h[a:b].tobytes() for a, b in parts], [above[a:b].tobytes() for a, b in parts])
 
     return mine
 
@@ -185,7 +189,7 @@ def _regions(region: int):
     return fill
 
 
-def _candidates(mined: DataFrame, least: int) -> np.ndarray:
+def _candidates(mined: DataFrame, least: int, buckets: int) -> np.ndarray:
     """Bitmap of all phrases that can reach ``least``, a region of it per bucket."""
     slack = mined.agg(F.sum("slack")).first()[0] or 0
     named = mined.filter(F.col("bucket").isNotNull()).select("bucket", "phrases", "above")
@@ -193,9 +197,9 @@ def _candidates(mined: DataFrame, least: int) -> np.ndarray:
     united = written(united, "phrases")
     wanted = _BITS_EACH * (united.agg(F.sum("n")).first()[0] or 0)
     region = 64
-    while region * _BUCKETS < min(MOST_BITS, wanted):
+    while region * buckets < min(MOST_BITS, wanted):
         region *= 2
-    bitmap = np.zeros((_BUCKETS, region // 8), np.uint8)
+    bitmap = np.zeros((buckets, region // 8), np.uint8)
     # At most MOST_BITS / 8 bytes, whatever the corpus.
     for row in united.select("bucket", "phrases").mapInArrow(_regions(region), "bucket bigint, bits binary").toLocalIterator():
         bitmap[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
@@ -203,51 +207,72 @@ def _candidates(mined: DataFrame, least: int) -> np.ndarray:
 
 
 def _counted(bitmap, longest: int):
+    """How often the possible phrases occur, summed by task and packed by bucket; and the words of each group."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
+        buckets = len(bits)
 
         def known(h: np.ndarray, _: np.ndarray) -> np.ndarray:
             found = np.ones(len(h), bool)
             for place in _places(h, bits.shape[1] * 8):
-                byte = bits[h >> _BUCKET_SHIFT, place >> np.uint64(3)]
+                byte = bits[_bucket(h, buckets), place >> np.uint64(3)]
                 found &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             return found
 
-        # Counts of several batches are summed before they leave the task.
-        held, rows = [], 0
+        held: list[pa.Table] = []
         for batch in by_bytes(batches, "text", COUNT_BYTES):
             words = _Words(batch)
-            held.append(_rows(words.groups, [None] * len(words.groups), 0, words.totals()))
             names = pa.array(words.groups, pa.string())
-            for length, first, _, counts in words.levels(longest, known):
-                held.append(_rows(names.take(pa.array(words.group[words.piece[first]])), words.phrases(first, length), length, counts))
-            rows += sum(part.num_rows for part in held[-longest - 1 :])
-            if rows > HELD_ROWS:
-                held = _summed(held)
-                rows = sum(part.num_rows for part in held)
-                if rows > HELD_ROWS // 2:
-                    yield from held
-                    held, rows = [], 0
-        yield from _summed(held)
+            none = pa.nulls(len(names), pa.string())
+            held.append(_phrases(np.zeros(len(names), np.int64), names, none, 0, words.totals()))
+            for length, first, h, counts in words.levels(longest, known):
+                group = names.take(pa.array(words.group[words.piece[first]]))
+                held.append(_phrases(_bucket(h, buckets), group, words.phrases(first, length), length, counts))
+            if sum(part.num_rows for part in held) > HELD_ROWS:
+                held = [_summed(held)]
+                if held[0].num_rows > HELD_ROWS // 2:
+                    yield _listed(held.pop())
+        if held:
+            yield _listed(_summed(held))
 
     return count
 
 
-def _summed(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-    if not parts:
-        return []
-    table = pa.Table.from_batches(parts).group_by(["lang", "phrase", "length"]).aggregate([("a", "sum")])
-    return table.rename_columns(["lang", "phrase", "length", "a"]).combine_chunks().to_batches()
+_KEYS = ["bucket", "lang", "phrase", "length"]
+_LISTED = "bucket bigint, langs array<string>, phrases array<string>, lengths array<int>, counts array<bigint>"
+_COUNTS = "lang string, phrase string, length int, a bigint"
+
+
+def _phrases(bucket: np.ndarray, lang: pa.Array, phrase: pa.Array, length: int, counts: np.ndarray) -> pa.Table:
+    lengths = pa.array(np.full(len(counts), length, np.int32))
+    return pa.table([pa.array(bucket), lang, phrase, lengths, pa.array(counts.astype(np.int64))], names=[*_KEYS, "a"])
+
 
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    summed = pa.concat_tables(parts).group_by(_KEYS).aggregate([("a", "sum")])
+    return summed.rename_columns([*_KEYS, "a"])
 
-def _rows(lang, phrase, length: int, counts: np.ndarray) -> pa.RecordBatch:
-    columns = [
-        lang if isinstance(lang, pa.Array) else pa.array(lang, pa.string()),
-        phrase if isinstance(phrase, pa.Array) else pa.array(phrase, pa.string()),
-        pa.array(np.full(len(counts), length, np.int32)),
-        pa.array(counts.astype(np.int64)),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "length", "a"])
+
+def _listed(table: pa.Table) -> pa.RecordBatch:
+    """One row a bucket."""
+    table = table.take(pc.sort_indices(table, [("bucket", "ascending")])).combine_chunks()
+    buckets, starts = np.unique(table.column("bucket").to_numpy(), return_index=True)
+    offsets = pa.array(np.append(starts, table.num_rows).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks()) for c in ("lang", "phrase", "length", "a")]
+    return pa.RecordBatch.from_arrays([pa.array(buckets), *lists], names=["bucket", "langs", "phrases", "lengths", "counts"])
+
+
+def _added(least: int):
+    """The phrases of one bucket with their sums over all tasks, as far as they are frequent."""
+
+    def add(group: pa.Table) -> pa.Table:
+        columns = [group.column(c).combine_chunks().flatten() for c in ("langs", "phrases", "lengths", "counts")]
+        table = pa.table(columns, names=["lang", "phrase", "length", "a"])
+        summed = table.group_by(["lang", "phrase", "length"]).aggregate([("a", "sum")]).rename_columns(table.column_names)
+        return summed.filter(pc.or_(pc.greater_equal(summed.column("a"), least), pc.equal(summed.column("length"), 0)))
+
+    return add
 
 
 def phrase_counts(df: DataFrame, text: str, lang: str, least: int = 100, longest: int = 5, shards: int = SHARDS) -> DataFrame:
@@ -261,14 +286,14 @@ def phrase_counts(df: DataFrame, text: str, lang: str, least: int = 100, longest
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = _LEAST_BUCKETS
+    while buckets * _BUCKET_BYTES < total:
+        buckets *= 2
     # Fewer and larger shards by reading several splits in one task: no shuffle.
-    mined = written(
-        docs.coalesce(shards).mapInArrow(_mined(total, least, longest, SHARD_BYTES), _MINED), "mined"
-    )
-    bitmap = spark.sparkContext.broadcast(_candidates(mined, least))
-    counted = docs.mapInArrow(_counted(bitmap, longest), "lang string, phrase string, length int, a bigint")
-    summed = counted.groupBy("lang", "phrase", "length").agg(F.sum("a").alias("a"))
-    return written(summed.filter((F.col("a") >= least) | F.col("phrase").isNull()), "counts")
+    mining = docs.coalesce(shards).mapInArrow(_mined(total, least, longest, SHARD_BYTES, buckets), _MINED)
+    bitmap = spark.sparkContext.broadcast(_candidates(written(mining, "mined"), least, buckets))
+    counted = docs.mapInArrow(_counted(bitmap, longest), _LISTED)
+    return written(counted.groupBy("bucket").applyInArrow(_added(least), _COUNTS), "counts")
 
 
 def _part(words: Column, start: Column, length: Column) -> Column:
