@@ -16,6 +16,7 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _PLACES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _SLICE = 1 << 20
+_LONG_WORD = 64
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(_SEPARATORS)] = False
@@ -48,7 +49,15 @@ def _slice_hashes(raw: bytes) -> np.ndarray:
     powers, inverse = _powers()
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(powers[: len(data)] * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    hashed = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    # A polynomial modulo a power of two has the same value for certain long words, whatever its base.
+    for at in np.flatnonzero(ends - starts > _LONG_WORD):
+        hashed[at] = _digest(raw[starts[at] : ends[at]])
+    return hashed
+
+
+def _digest(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -61,8 +70,7 @@ def word_hashes(text: str) -> np.ndarray:
         if cut < 0:
             # One word longer than a slice: hash it by itself.
             end = min((p for s in _SEPARATORS if (p := raw.find(bytes([s]), at)) >= 0), default=len(raw))
-            digest = hashlib.blake2b(raw[at:end], digest_size=8).digest()
-            parts.append(np.frombuffer(digest, np.uint64))
+            parts.append(np.array([_digest(raw[at:end])], np.uint64))
             at = end
         else:
             parts.append(_slice_hashes(window[:cut]))

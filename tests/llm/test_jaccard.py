@@ -123,3 +123,16 @@ def test_components_of_chains_stars_and_rings(spark):
     got = {r["node"]: r["root"] for r in components(df).collect()}
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200, 202: 200}
     assert got == want
+
+
+def test_long_words_do_not_collide(spark):
+    """Words that equal each other modulo 2 ** 64 for every base of a polynomial."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len({int(word_hashes(w)[0]) for w in (word, other, word[:1024], other[:1024], word[:65], other[:65])}) == 6
+    texts = [(1, f"one {word} two three"), (2, f"one {other} two three"), (3, f"one {word} two three")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_groups(docs, "doc_id", "text", 3, 90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
