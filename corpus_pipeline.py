@@ -18,6 +18,8 @@ from pairloom.llm.toxicity import toxicity_scores
 from pairloom.session import write_once
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 1
+# Row number inside the stage of near duplicates.
+ROW = "row_of_near_duplicates"
 
 # A network, a similarity join and arithmetic over the whole corpus: no SQL text.
 ORACLE_SQL = None
@@ -30,21 +32,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 80 % of their five-word shingles, the one with the smallest id.
+    """Of rows whose texts share 80 % of their five-word shingles, the one with the smallest id, null last.
 
-    Ids tell documents apart: of rows with one id one stays. Rows without an id stay all.
+    Rows are told apart by a number of their own, not by their id: rows that share an id and have different
+    texts all stay, and of copies without an id one stays. Of rows with one id in one group the first in the
+    order of the written rows stays. Texts without words stay all.
     """
-    groups = jaccard_groups(docs, "doc_id", "text", width=5, percent=80)
-    others = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("other")).distinct()
-    others = write_once(others, "others")
-    kept = docs.join(others, F.col("doc_id") == F.col("other"), "left_anti")
-    repeated = write_once(docs.groupBy("doc_id").count().filter(F.col("doc_id").isNotNull() & (F.col("count") > 1)), "repeated")
-    if repeated.isEmpty():
-        return kept
-    twice = repeated.select(F.col("doc_id").alias("again"))
-    once = kept.join(twice, F.col("doc_id") == F.col("again"), "left_anti")
-    first = kept.join(twice, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(first)
+    rows = write_once(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_groups(rows, ROW, "text", width=5, percent=80)
+    placed = groups.join(rows.select(ROW, "doc_id"), ROW)
+    best = F.min_by(ROW, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW)))
+    kept = placed.groupBy("component_id").agg(best.alias("kept")).select(F.col("kept").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
