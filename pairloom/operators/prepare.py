@@ -25,9 +25,11 @@ def pair_turns(turns: DataFrame) -> DataFrame:
     with the number of the user's turn. The order is taken over range-sorted blocks, since
     a conversation may be huge.
     """
-    spoken = turns.select("conv_id", "turn", "role", "text", F.struct("role", "turn", "text").alias("said"))
-    nobody = F.lit(None).cast(spoken.schema["said"].dataType)
-    placed = previous_value(spoken, ["conv_id"], ["turn", "role", "text"], "said", "before", nobody)
+    spoken = turns.select("conv_id", "turn", "role", "text")
+    # Only a user's row is looked back at; the texts of others do not travel.
+    said = F.struct("role", "turn", F.when(F.col("role") == "user", F.col("text")).alias("text"))
+    nobody = F.lit(None).cast("struct<role:string,turn:bigint,text:string>")
+    placed = previous_value(spoken, ["conv_id"], ["turn", "role", "text"], said, "before", nobody)
     replied = (F.col("role") == "assistant") & (F.col("before.role") == "user")
     return placed.filter(replied & F.col("before.text").isNotNull() & F.col("text").isNotNull()).select(
         "conv_id", F.col("before.turn").alias("turn"), F.col("before.text").alias("instruction"), F.col("text").alias("output")

@@ -29,14 +29,19 @@ def outside_domain(df: DataFrame, column: str, allowed: list) -> DataFrame:
     )
 
 
-def outside_range(df: DataFrame, name: str, column: str, low: float, high: float) -> DataFrame:
-    return df.agg(
-        F.lit(name).alias("check_name"),
-        F.count(column).alias("checked_rows"),
-        F.count_if(~F.col(column).between(low, high)).alias("bad_rows"),
-        (F.min(column) + 0.0).alias("min_value"),
-        (F.max(column) + 0.0).alias("max_value"),
-    )
+def outside_ranges(df: DataFrame, checks: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """Offending rows of each check ``name: (column, low, high)``: one scan of the table for all of them."""
+    rows = [
+        F.struct(
+            F.lit(name).alias("check_name"),
+            F.count(column).alias("checked_rows"),
+            F.count_if(~F.col(column).between(low, high)).alias("bad_rows"),
+            (F.min(column) + 0.0).alias("min_value"),
+            (F.max(column) + 0.0).alias("max_value"),
+        )
+        for name, (column, low, high) in checks.items()
+    ]
+    return df.agg(F.array(*rows).alias("checks")).select(F.inline("checks"))
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, relation: str) -> DataFrame:

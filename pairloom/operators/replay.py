@@ -3,8 +3,8 @@
 An event changes the pair (active, last different) of its service: a deploy of another
 checkpoint makes it active and keeps the one before, a rollback swaps the two. Each event, and each stretch of
 events, is an ``effect``: a struct that says what becomes of an unknown pair. Effects
-compose associatively, so the scan goes up a tree - 64 events make one effect, 64 of those the next - and
-down again with the pair each stretch starts from. No step looks at more than 64 siblings, however
+compose associatively, so the scan goes up a tree - 256 events make one effect, 256 of those the next - and
+down again with the pair each stretch starts from. No step looks at more than 256 siblings, however
 many events one service has, and all of it runs on the JVM.
 
 An effect is one of three things:
@@ -24,7 +24,7 @@ from pairloom.operators.ranking import with_position
 from pairloom.session import write_once
 
 # Siblings that one aggregate folds, as a power of two.
-_FAN_BITS = 6
+_FAN_BITS = 8
 
 _PAIR = "struct<active:string,other:string>"
 EFFECT = (
@@ -150,6 +150,25 @@ def pairs_before(effects: Column, start: Column) -> Column:
     return F.aggregate(effects, state, move, lambda s: s["seen"])
 
 
+def pairs_around(events: Column, start: Column) -> Column:
+    """The pair before each event of an array, and one more: the pair after the last."""
+    first = start.cast(_PAIR)
+    state = F.struct(first.alias("now"), F.array(first).alias("seen"))
+
+    def move(s: Column, event: Column) -> Column:
+        action, checkpoint = event["row"]["action"], event["row"]["checkpoint_id"]
+        active, other = s["now"]["active"], s["now"]["other"]
+        now = (
+            F.when(action == "rollback", F.struct(other.alias("active"), active.alias("other")))
+            .when((action == "deploy") & (checkpoint != active), F.struct(checkpoint.alias("active"), active.alias("other")))
+            .otherwise(s["now"])
+            .cast(_PAIR)
+        )
+        return F.struct(now.alias("now"), F.concat(s["seen"], F.array(now)).alias("seen"))
+
+    return F.aggregate(events, state, move, lambda s: s["seen"])
+
+
 def _in_order(numbered: Column, number: str) -> Column:
     """The structs of an array by a number that no two share."""
 
@@ -170,37 +189,39 @@ def scan(events: DataFrame, key: str, order: list[str], start: tuple[str, str])
     rows = F.collect_list(F.struct("_position", F.struct(*events.columns).alias("row")))
     grouped = placed.groupBy(F.col(key).alias("_key"), stretch).agg(_in_order(rows, "_position").alias("_rows"))
     effects = F.transform("_rows", lambda r: event_effect(r["row"]["action"], r["row"]["checkpoint_id"]))
-    leaves = write_once(grouped.withColumn("_effects", effects).withColumn("_effect", folded(F.col("_effects"))), "stretches")
+    leaves = write_once(grouped.withColumn("_effect", folded(effects)), "stretches")
 
-    # Up: each level has a sixty-fourth of the stretches, until every key has one.
+    # Up: each level has fewer stretches, until every key has one.
     levels = [leaves]
     top = leaves.agg(F.max("_stretch")).first()[0] or 0
     while top:
         children = F.collect_list(F.struct("_stretch", "_effect"))
         parent = F.shiftright("_stretch", _FAN_BITS).alias("_parent")
         parents = levels[-1].groupBy("_key", parent).agg(_in_order(children, "_stretch").alias("_rows"))
-        parents = parents.withColumn("_effects", F.col("_rows._effect")).withColumn("_effect", folded(F.col("_effects")))
+        parents = parents.withColumn("_effect", folded(F.col("_rows._effect")))
         levels.append(write_once(parents.withColumnRenamed("_parent", "_stretch"), "stretches"))
         top >>= _FAN_BITS
     # Down: what each stretch starts from.
     first = F.struct(F.lit(start[0]).alias("active"), F.lit(start[1]).alias("other"))
     starts = levels[-1].select("_key", "_stretch", first.alias("_start"))
     for level in reversed(levels[1:]):
-        met = _met(level, starts).select("_key", "_e.pair", "_e._rows._stretch")
-        starts = met.withColumnRenamed("pair", "_start")
-    states = _met(leaves, starts).select("_e._rows.row", "_e.pair", "_e._effects")
-    left = after(F.col("_effects"), F.col("pair.active"), F.col("pair.other"))
-    return states.select("row.*", "pair", left.alias("left")).select(
-        *events.columns,
-        F.col("pair.active").alias("active_before"), F.col("pair.other").alias("other_before"),
-        F.col("left.active").alias("active_after"), F.col("left.other").alias("other_after"),
+        met = _matched(level, starts).withColumn("_pairs", pairs_before(F.col("_rows._effect"), F.col("_start")))
+        each = met.select("_key", F.explode(F.arrays_zip(F.col("_rows._stretch").alias("s"), F.col("_pairs").alias("p"))).alias("_e"))
+        starts = each.select("_key", F.col("_e.s").alias("_stretch"), F.col("_e.p").alias("_start"))
+    met = _matched(leaves, starts).withColumn("_pairs", pairs_around(F.col("_rows"), F.col("_start")))
+    following = F.slice("_pairs", F.lit(2), F.size("_rows"))
+    each = met.select(F.explode(F.arrays_zip(F.col("_rows.row").alias("row"), F.col("_pairs").alias("p"), following.alias("q"))).alias("_e"))
+    # One pair more than rows: the last has no row.
+    return each.filter(F.col("_e.q").isNotNull()).select(
+        *[F.col(f"_e.row.{c}").alias(c) for c in events.columns],
+        F.col("_e.p.active").alias("active_before"), F.col("_e.p.other").alias("other_before"),
+        F.col("_e.q.active").alias("active_after"), F.col("_e.q.other").alias("other_after"),
     )
 
 
-def _met(level: DataFrame, starts: DataFrame) -> DataFrame:
-    """A row per child (``_e``) with the pair it meets."""
+def _matched(level: DataFrame, starts: DataFrame) -> DataFrame:
+    """Stretches with the pair they start from."""
     named = starts.withColumnsRenamed({"_key": "_k", "_stretch": "_s"})
     # A null key is a key like others.
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_stretch") == F.col("_s"))
-    met = level.join(named, same).withColumn("pair", pairs_before(F.col("_effects"), F.col("_start")))
-    return met.select("_key", F.explode(F.arrays_zip("_rows", "_effects", "pair")).alias("_e"))
+    return level.join(named, same)

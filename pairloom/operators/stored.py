@@ -21,7 +21,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pairloom.operators.runs import latest
 from pairloom.session import write_once
 
-BUCKETS = 64
+BUCKETS = 16
 
 _LOG = "bucket int, commit string, run string, version int"
 
@@ -96,7 +96,8 @@ def append(rows: DataFrame, path: str, run: str, keys: Sequence[str] = (), bucke
 def _written(placed: DataFrame, path: str, run: str) -> list[int]:
     """Write the rows of a commit - again, if a job died before its manifest - and name their buckets."""
     spark, folder = placed.sparkSession, f"{path}/data/commit={run}"
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    # One file a bucket.
+    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
     fields = [StructField(f.name, f.dataType) for f in placed.schema if f.name != "bucket"]
     stored = spark.read.schema(StructType([*fields, StructField("bucket", IntegerType())])).parquet(folder)
     return sorted(r["bucket"] for r in stored.select("bucket").distinct().collect())

@@ -80,14 +80,15 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, default: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Column, name: str, default: Column
 ) -> DataFrame:
-    """``value`` of the row before in the key's order; ``default`` for the first row.
+    """``value`` (a column, or an expression over the row) of the row before in the key's order; ``default`` for the first row.
 
     ``value`` must not be null.
     """
     blocks = range_blocks(df, [*keys, *order])
-    end = F.max_by(F.col(value), F.col("_slot"))
+    value = F.col(value) if isinstance(value, str) else value
+    end = F.max_by(value, F.col("_slot"))
     joined = _with_carry(
         blocks, keys, end, lambda c: F.last(c, ignorenulls=True), F.lag(value).over(_local_window(keys))
     )

@@ -428,11 +428,8 @@ def domain_checks(t: Tables) -> DataFrame:
 def range_checks(t: Tables) -> DataFrame:
     """CHECK (column BETWEEN ...): offending rows."""
     labels = t.labels.withColumn("quality", F.col("quality").cast("double"))
-    return (
-        quality.outside_range(t.lineitem, "lineitem.l_quantity", "l_quantity", 5.0, 45.0)
-        .union(quality.outside_range(t.lineitem, "lineitem.l_discount", "l_discount", 0.0, 0.05))
-        .union(quality.outside_range(labels, "labels.quality", "quality", 1.0, 5.0))
-    )
+    items = {"lineitem.l_quantity": ("l_quantity", 5.0, 45.0), "lineitem.l_discount": ("l_discount", 0.0, 0.05)}
+    return quality.outside_ranges(t.lineitem, items).union(quality.outside_ranges(labels, {"labels.quality": ("quality", 1.0, 5.0)}))
 
 
 _ORPHANS = """SELECT '{relation}' AS relation, count(*) AS orphan_rows, count(DISTINCT {key}) AS orphan_keys
