@@ -62,11 +62,8 @@ _NEVER = _NAMED | _COMPOUNDS
 _ARTICLE = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[\"'>]")
 # Attributes with their values, in turn: what stands inside a value is no attribute. Quotes without a name are passed over.
 _ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _TELLING = re.compile(r"class|id|role|style", re.I)  # "hidden" has "id" in it
@@ -102,6 +99,99 @@ def _attributes(rest: str) -> dict[str, str]:
     return values
 
 
+class _Markup:
+    """The marks of a page in turn, in time linear in its length however broken it is.
+
+    A tag ends at the first ``>`` outside quotes; a ``<`` that no tag, comment or declaration starts at
+    is text. What a scan found out about a quote or ``>`` holds for every later scan that comes to it.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last_end = html.rfind(">")
+        # Where a scan that comes to this stop ends, -1 for nowhere.
+        self.ends: dict[int, int] = {}
+        self.gap = (0, -1)
+        self.unpaired: dict[str, int] = {}
+
+    def _next_stop(self, at: int) -> int:
+        low, stop = self.gap
+        if not low <= at <= stop:
+            found = _STOP.search(self.html, at)
+            stop = found.start() if found else len(self.html)
+            self.gap = (at, stop)
+        return stop
+
+    def _tag_end(self, at: int) -> int:
+        """The ``>`` of a tag whose name ends at ``at``, or -1."""
+        html, path, end = self.html, [], -1
+        while at <= self.last_end:
+            stop = self._next_stop(at)
+            if stop >= len(html):
+                break
+            if stop in self.ends:
+                end = self.ends[stop]
+                break
+            path.append(stop)
+            mark = html[stop]
+            if mark == ">":
+                end = stop
+                break
+            if stop >= self.unpaired.get(mark, len(html)):
+                break
+            other = html.find(mark, stop + 1)
+            if other < 0:
+                self.unpaired[mark] = stop
+                break
+            at = other + 1
+        for stop in path:
+            self.ends[stop] = end
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """Start and end of the next mark, and of a tag its name, whether it closes, and its attributes."""
+        html, n = self.html, len(self.html)
+        start = html.find("<", at)
+        while start >= 0:
+            second = html[start + 1 : start + 2]
+            if second == "!" or second == "?":
+                if html.startswith("<!--", start):
+                    end = html.find("-->", start + 4)
+                    return start, n if end < 0 else end + 3, None, False, ""
+                if html.startswith("<![CDATA[", start):
+                    end = html.find("]]>", start + 9)
+                    return start, n if end < 0 else end + 3, None, False, ""
+                end = html.find(">", start) if start < self.last_end else -1
+                return start, n if end < 0 else end + 1, None, False, ""
+            if start > self.last_end:
+                # No tag can end any more.
+                found = min((p for p in (html.find("<!", start), html.find("<?", start)) if p >= 0), default=-1)
+                start = found
+                continue
+            name = _NAME.match(html, start)
+            if name:
+                tag, after = name[2], name.end()
+                end = self._tag_end(after)
+                if end < 0 and start < self.last_end:
+                    # A quote inside the name may hold what the name was cut at.
+                    for cut in reversed([q.start() for q in _STOP.finditer(tag)]):
+                        end = self._tag_end(name.start(2) + cut)
+                        if end >= 0:
+                            after = name.start(2) + cut
+                            tag = tag[:cut]
+                            break
+                if end >= 0:
+                    return start, end + 1, tag, name[1] == "/", html[after:end]
+            start = html.find("<", start + 1)
+        return n, n, None, False, ""
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the closing tag of an element whose content is no markup, or the end of the page."""
+        found = re.compile(rf"</{re.escape(tag)}\b", re.I).search(self.html, at)
+        end = self.html.find(">", found.end()) if found else -1
+        return len(self.html) if end < 0 else end + 1
+
+
 def page_tokens(html: str) -> Iterator[tuple[int, str, bool]]:
     """(kind, value, whether inside the marked article): texts, tags (``/`` in front of closing ones), skipped elements.
 
@@ -109,29 +199,31 @@ def page_tokens(html: str) -> Iterator[tuple[int, str, bool]]:
     its element, and one without an opening does nothing. An article or a main heading ends a
     skipped element that was left open.
     """
+    markup = _Markup(html)
     stack: list[tuple[str, bool]] = []
+    opened: Counter = Counter()
     skipping = articles = at = 0
 
     def pop() -> None:
         nonlocal skipping, articles
         tag, skipped = stack.pop()
+        opened[tag] -= 1
         skipping -= skipped
         articles -= tag in _ARTICLE
 
     while True:
-        found = _TOKEN.search(html, at)
-        text = html[at : found.start() if found else len(html)]
+        start, end, tag, closes, rest = markup.next(at)
+        text = html[at:start]
         if text and not skipping:
             yield WORDS, text, articles > 0
-        if not found:
+        if start >= len(html):
             return
-        at = found.end()
-        tag = found["tag"]
+        at = end
         if not tag:
             continue
-        tag, rest = tag.lower(), found["rest"]
-        if found["close"]:
-            if any(tag == name for name, _ in stack):
+        tag = tag.lower()
+        if closes:
+            if opened[tag]:
                 hidden = skipping
                 while stack[-1][0] != tag:
                     pop()
@@ -151,10 +243,10 @@ def page_tokens(html: str) -> Iterator[tuple[int, str, bool]]:
         if tag in _VOID or rest.endswith("/"):
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            at = markup.raw_end(tag, at)
             continue
         stack.append((tag, skipped))
+        opened[tag] += 1
         skipping += skipped
         articles += tag in _ARTICLE
 

@@ -1,6 +1,11 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.llm import content
 from pairloom.llm.content import extract_main_text, main_text, token_counts, weights_from
 
 ARTICLE = "<article><h1>A title here</h1><p>First  <b>bold</b>\n words &amp; more&nbsp;text.<br>Next line</p><ul><li>Item one</li><li>Item two</li></ul><p>End.</p></article>"
@@ -104,3 +109,38 @@ def test_given_pages_by_their_marks(spark):
         parts = re.split(r"</?(?:p|h1|br)>", marked)
         lines = (" ".join(unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in parts)
         assert row["text"] == "\n".join(line for line in lines if line)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<a " * 350_000, "<a \"\" " * 150_000 + "\"x>", "<a " * 350_000 + "\"", "<div>" * 60_000 + "</b>" * 60_000,
+        "<script>" + "</script " * 120_000, "<!" * 500_000, "<a ' " * 200_000 + ">", "<a" + "\"'" * 400_000,
+    ],
+)
+def test_broken_pages_take_linear_time(html):
+    started = time.process_time()
+    assert sum(1 for _ in content.page_tokens(html)) >= 0
+    assert time.process_time() - started < 5
+
+
+def plain_marks(html):
+    """Tags, comments and declarations by one pattern that looks ahead to the end each time."""
+    token = re.compile(
+        r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+        r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
+        re.S,
+    )
+    return [(m.start(), m.end(), m["tag"], m["close"] == "/", m["rest"] or "") for m in token.finditer(html)]
+
+
+def test_marks_are_found_as_by_pattern():
+    rng = random.Random(3)
+    parts = ["<", ">", '"', "'", "a", "/", " ", "!", "div", "<a ", "</a>", "<!--", "-->", "<p>", 'x="', "=", "?", "<![CDATA[", "]]>", "\n"]
+    for _ in range(20_000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        markup, at, found = content._Markup(html), 0, []
+        while at < len(html) and (mark := markup.next(at))[0] < len(html):
+            found.append(mark)
+            at = mark[1]
+        assert found == plain_marks(html), html
