@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.numbers import round_half_up
 from pairloom.functions import prompts as P
 from pairloom.functions.text import clean_sql, collapse, strip
+from pairloom.operators.export import ROWS_A_FILE, export
 from pairloom.operators.ranking import assign_split, split_cuts, with_position
 from pairloom.operators.timeline import previous_value
 from pairloom.session import scratch_path, write_once
@@ -148,9 +149,9 @@ def expand_epochs(items: DataFrame, order: list[str], n_items: int, epochs: int)
     )
 
 
-def export_jsonl(split_pairs: DataFrame, name: str, path: str) -> None:
-    """Write prompt records as JSON lines, one folder per split."""
-    format_pairs(split_pairs, name, ["split"]).write.mode("overwrite").partitionBy("split").json(path)
+def export_jsonl(split_pairs: DataFrame, name: str, path: str, rows_per_file: int = ROWS_A_FILE) -> int:
+    """Write prompt records as JSON lines of bounded files, one folder per split, and their manifest."""
+    return export(format_pairs(split_pairs, name, ["split"]), path, rows_per_file)
 
 
 def prepare(pairs: DataFrame, order: list[str], name: str, key: str = "id") -> tuple[DataFrame, str]:

@@ -9,6 +9,7 @@ from pairloom.functions.numbers import round_half_up
 from pairloom.functions import prompts as P
 from pairloom.functions.text import clean_sql, estimated_tokens, word_tokens
 from pairloom.operators import prepare, profile
+from pairloom.operators.export import read_export
 from pairloom.operators.screen import with_well_formed
 from pairloom.plans import sqltext as Q
 from pairloom.plans.registry import query
@@ -294,7 +295,7 @@ def jsonl_export(t: Tables) -> DataFrame:
     """JSON lines per split, read back."""
     path = scratch_path(t.spark, "jsonl")
     prepare.export_jsonl(prepare.split(write_once(views.pairs(t), "pairs")), "llama3", path)
-    return t.spark.read.schema("prompt string, completion string, split string").json(path).select("split", "completion")
+    return read_export(t.spark, path, "prompt string, completion string").select("split", "completion")
 
 
 @query(
@@ -310,7 +311,7 @@ def end_to_end_prepare(t: Tables) -> DataFrame:
     raw = raw_answers(t).withColumns({"schema": F.lit(None).cast("string"), "db_id": F.lit(None).cast("string")})
     placed, path = prepare.prepare(raw, ["case_id"], "gemma", key="case_id")
     exported = (
-        t.spark.read.schema("prompt string, completion string, split string").json(path)
+        read_export(t.spark, path, "prompt string, completion string")
         .groupBy("split").agg(F.count("*").alias("exported"))
     )
     flagged = with_well_formed(placed.select("split", "output"), "output", "ok")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from check import rows_of
 from pairloom.functions import prompts, text
+from pairloom.operators import export
+from pairloom.operators.export import read_export
 from pairloom.operators import prepare, profile
 from pairloom.operators.percentiles import floor_index_percentiles
 from pairloom.operators.ranking import with_position
@@ -118,7 +120,7 @@ def test_json_array_file_and_jsonl(spark, tmp_path):
     path = scratch_path(spark, "test-export")
     rows = spark.range(20).selectExpr("cast(id as string) id", "'q' instruction", "'SELECT 1' output", "'' schema", "'' db_id")
     prepare.export_jsonl(prepare.split(rows), "llama3", path)
-    back = spark.read.json(path).groupBy("split").count().collect()
+    back = read_export(spark, path, "prompt string, completion string").groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in back} == {"train": 16, "val": 2, "test": 2}
 
 
@@ -166,3 +168,28 @@ def test_floor_percentiles(spark):
 def test_profile_of_nothing(spark):
     report = profile.validity_report(spark.createDataFrame([], "output string"), "output").first()
     assert (report["total_records"], report["validity_percentage"]) == (0, 0.0)
+
+
+def test_a_reader_never_sees_half_an_export(spark, tmp_path, monkeypatch):
+    path, ddl = str(tmp_path / "export"), "prompt string"
+
+    def records(n, text):
+        return spark.range(n).repartition(4).selectExpr(f"'{text}' AS prompt", "if(id % 10 = 0, 'test', 'train') AS split")
+
+    def seen():
+        rows = read_export(spark, path, ddl).groupBy("prompt", "split").count().collect()
+        return {(r["prompt"], r["split"]): r["count"] for r in rows}
+
+    assert seen() == {}
+    assert export.export(records(1000, "a"), path, rows_per_file=40) == 0
+    assert seen() == {("a", "train"): 900, ("a", "test"): 100}
+    listed = export.manifest(spark, path).collect()
+    # A split with most rows is many files, each of bounded length; the manifest counts them.
+    assert max(r["n_rows"] for r in listed) <= 40 and sum(r["n_rows"] for r in listed) == 1000
+    assert sum(r["split"] == "train" for r in listed) >= 23 and all(r["n_bytes"] > 0 for r in listed)
+    # An export that dies before its manifest is not seen, and the next one replaces its files.
+    export.write_files(records(50, "half"), f"{path}/files/version=1", 40)
+    assert seen() == {("a", "train"): 900, ("a", "test"): 100}
+    assert export.export(records(20, "b"), path) == 1
+    assert seen() == {("b", "train"): 18, ("b", "test"): 2}
+    assert export.export(records(0, "c"), path) == 2 and seen() == {}
