@@ -25,14 +25,15 @@ from pairloom.operators.screen import judge, validate
 from pairloom.operators.suite import FAILURES, failure_type
 from pairloom.session import scratch_path, write_once
 
-# Strings, but for typed ones, and numbers that a value is compared with. Ordinals and limits stay in the template.
-_TEXT = r"(?<!\b(?i:date|timestamp|interval|as)\s{0,3})'(?:[^']|'')*'"
+# Strings, and numbers that a value is compared with. Ordinals and limits stay in the template.
+_TEXT = r"'(?:[^']|'')*'"
 _NUMBER = r"(?<=[=<>]\s{0,3})\d+(?:\.\d+)?(?![\w.])"
 _LITERAL = f"{_TEXT}|{_NUMBER}"
 # What marks a lifted text, whole and decimal number.
 _MARKS = {"\x01": "string", "\x02": "bigint", "\x03": "double"}
-# Texts with comments, quoted names or marks of their own run as they are; so do those with words that are screened inside literals too.
-_AS_IT_IS = r"""(?i)--|/\*|["`\\\x01-\x03]|pragma|attach|detach"""
+# Texts with comments, quoted names, typed literals or marks of their own run as they are; so do those with words
+# that are screened inside literals too.
+_AS_IT_IS = r"""(?i)--|/\*|["`\\\x01-\x03]|\b(?:date|timestamp|interval|as)\s*'|pragma|attach|detach"""
 
 _RESULT = "text_id long, pos int, values array<string>"
 _ERROR = "error string"
