@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -35,8 +35,10 @@ _MARKS = {"\x01": "string", "\x02": "bigint", "\x03": "double"}
 # that are screened inside literals too.
 _AS_IT_IS = r"""(?i)--|/\*|["`\\\x01-\x03]|\b(?:date|timestamp|interval|as)\s*'|pragma|attach|detach"""
 
+# Templates that run at the same time.
+AT_A_TIME = 6
+
 _RESULT = "text_id long, pos int, values array<string>"
-_ERROR = "error string"
 
 
 def lifted(texts: DataFrame, text: str) -> DataFrame:
@@ -116,7 +118,7 @@ class Executed:
     jobs: int
 
 
-def run_texts(texts: DataFrame, tables: list[str], columns: list[str], screened: Callable | None = None) -> Executed:
+def run_texts(texts: DataFrame, tables: list[str], columns: list[str]) -> Executed:
     """Run every text of (``text_id``, ``text``) whose template may run.
 
     Positions count in the order of the text's own result where it asks for one, else in the order of the values.
@@ -132,17 +134,18 @@ def run_texts(texts: DataFrame, tables: list[str], columns: list[str], screened:
 
     paths: list[str] = []
     failed: list[tuple[int, int | None, str]] = []
-    jobs = 0
-    for template in templates:
-        if not template.allowed:
-            continue
+
+    def run(template: _Template) -> int:
         try:
             width = len(spark.sql(template.instance).columns)
         except FAILURES as error:
             failed.append((template.nr, None, _message(error)))
-            continue
-        of_template = stored.filter(F.col("nr") == template.nr)
-        jobs += _run(of_template, template, width, paths, failed)
+            return 0
+        return _run(stored.filter(F.col("nr") == template.nr), template, width, paths, failed)
+
+    # Most templates are small jobs: several at a time keep the cluster busy.
+    with ThreadPoolExecutor(AT_A_TIME) as pool:
+        jobs = sum(pool.map(run, [t for t in templates if t.allowed]))
     whole = {nr: message for nr, text_id, message in failed if text_id is None}
     single = [(text_id, message) for _, text_id, message in failed if text_id is not None]
     by_template = spark.createDataFrame(list(whole.items()), "failed_nr int, failure string")
