@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import templates
+from pairloom.operators.results import compare_results, digests
 
 TABLES, COLUMNS = ["people", "visits"], ["id", "name", "age", "city", "person_id", "day", "amount"]
 
@@ -101,3 +102,29 @@ def test_cases(spark, views):
 def test_no_cases(spark, views):
     frame = spark.createDataFrame([], "k string, gold string, answer string")
     assert templates.execute_cases(frame, "gold", "answer", TABLES, COLUMNS).count() == 0
+
+
+def test_digests_agree_with_the_comparison_of_rows(spark):
+    results = {
+        0: [["1", "a"], ["2", None]], 1: [["2.0", None], [" 1.00001 ", "a"]], 2: [["1", "a"], ["2", ""]], 3: [["1", "a"], ["2", None], ["2", None]],
+        4: [["1a"], ["2"]], 5: [["1", "a"], ["2.00", None]], 6: [["12", "a"], ["1", "2a"]], 7: [["1", "2a"], ["12", "a"]], 8: [["1"], ["a"]], 9: [],
+    }
+    rows = [(i, at, values) for i, some in results.items() for at, values in enumerate(some)]
+    found = {r["text_id"]: (r["bag"], r["list"]) for r in digests(spark.createDataFrame(rows, templates._RESULT)).collect()}
+    cases = [(f"{a} {b} {o}", o, a, b) for a in results for b in results for o in (False, True)]
+    sides = [(case, name, o, at, v) for case, o, a, b in cases for name, i in (("gold", a), ("generated", b)) for at, v in enumerate(results[i])]
+    frame = spark.createDataFrame(sides, "case_id string, side string, ordered boolean, pos int, values array<string>")
+    listed = spark.createDataFrame([c[:2] for c in cases], "case_id string, ordered boolean")
+    want = {r["case_id"]: r["rows_match"] for r in compare_results(frame, listed).collect()}
+    none = (None, None)
+    assert want == {case: found.get(a, none)[o] == found.get(b, none)[o] for case, o, a, b in cases}
+    assert want["0 1 False"] and not want["0 1 True"] and want["0 5 True"] and not want["0 3 False"]
+
+
+def test_a_shared_result_is_not_read_once_a_case(spark, views, capsys):
+    cases = [(i, f"SELECT id FROM people WHERE id = {i}", "SELECT person_id FROM visits") for i in range(3)]
+    frame = spark.createDataFrame(cases, "k int, gold string, answer string")
+    done = templates.execute_cases(frame, "gold", "answer", TABLES, COLUMNS)
+    done.explain(True)
+    assert "values" not in capsys.readouterr().out
+    assert {r["rows_match"] for r in done.collect()} == {False}
