@@ -29,9 +29,12 @@ def schema_dimension(schemas: DataFrame, db_id: str, ddl: str) -> DataFrame:
 
 
 def with_schema(texts: DataFrame, db_id: str, dimension: DataFrame) -> DataFrame:
-    """Add ``known_tables`` and ``known_columns`` of each text's database, null where it has no schema."""
+    """Add ``known_tables`` and ``known_columns`` of each text's database, null where it has no schema.
+
+    The schemas are broadcast: joined by database, all texts of one database would be screened in one task.
+    """
     named = dimension.withColumnRenamed("db_id", "_db")
-    return texts.join(named, F.col(db_id) == F.col("_db"), "left").drop("_db")
+    return texts.join(F.broadcast(named), F.col(db_id) == F.col("_db"), "left").drop("_db")
 
 
 def judge_by_database(texts: DataFrame, sql: str, db_id: str, dimension: DataFrame) -> DataFrame:
