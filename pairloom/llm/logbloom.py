@@ -11,9 +11,9 @@ spread like single words: ``(c(h w) + prior p(w)) / (c(h) + prior)``, with
 ``p(w) = (c(w) + 1) / (N + V + 1)``.
 
 The hash space is cut into buckets, more of them for more text, each a small filter of its own sized by
-what it holds. Filters of pairs that are larger together than ``slice_bytes`` are sent in slices, one pass
-over the texts each; what one task or broadcast holds does not grow with the corpus, but for the filter
-of single words, which stops at ``words_bytes`` and then errs more often.
+what it holds. Filters of pairs that are larger together than ``slice_bytes``, and of words beyond ``words_bytes``, are
+sent in slices, one pass over the texts each; what one task or broadcast holds does not grow with the corpus, and
+scores do not depend on the slices.
 """
 
 from __future__ import annotations
@@ -49,7 +49,6 @@ _LEVEL, _SECOND = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 # A space is never inside a word.
 _END, _START = hashes([" end", " start"])
 _WORDS, _PAIRS = 0, 1
-_MOST_FOLDS = 6
 
 _REDUCED = "kind int, bucket bigint, least double, bits binary, entries bigint, total bigint, hashes binary, counts binary"
 
@@ -78,7 +77,7 @@ def _bit_places(grams: np.ndarray, level: np.ndarray | int, n_bits: np.ndarray |
 
 def filled_bits(grams: np.ndarray, level: np.ndarray) -> bytes:
     """The filter of one bucket, sized by its entries."""
-    unit = 8 << _MOST_FOLDS
+    unit = 8 << 6
     n_bits = -(-max(1, BITS_EACH * int(level.sum())) // unit) * unit
     bits = np.zeros(n_bits, bool)
     for at in range(1, int(level.max(initial=0)) + 1):
@@ -106,7 +105,11 @@ class LogBloom:
         return np.zeros(len(grams), np.int64) if self.whole else (grams >> self.shift).astype(np.int64)
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Count of each by probing level after level; 0 where the first is missing."""
+        """Count of each, from its level."""
+        return self.count[self.levels(grams)]
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """Level of each by probing level after level; 0 where the first is missing."""
         level = np.zeros(len(grams), np.int64)
         open_ = np.flatnonzero(self.sizes[self.bucket(grams)])
         at = 0
@@ -119,7 +122,7 @@ class LogBloom:
                 found &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             open_ = open_[found]
             level[open_] = at
-        return self.count[np.minimum(level, len(self.count) - 1)]
+        return np.minimum(level, len(self.count) - 1)
 
 
 class _Tokens:
@@ -260,6 +263,29 @@ def _empty(kind: pa.DataType, n: int) -> pa.Array:
     return pa.nulls(n, kind)
 
 
+def _levelled(words):
+    """Add to ``levels``, a byte a token of each text, those of the words this slice holds."""
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single = words.value
+        for batch in by_bytes(batches, "text", SCORE_BYTES):
+            t = _Tokens(batch.column("text"))
+            found = single.levels(t.hash[: t.start]).astype(np.uint8)[t.tokens]
+            # A word is in one slice only; before the first there are no levels.
+            if batch.column("levels").null_count == 0:
+                found = np.maximum(found, _bytes_of(batch.column("levels")))
+            ends = t.ends + 1
+            levels = pa.array([found[end - n : end].tobytes() for end, n in zip(ends, t.per_text)], pa.binary())
+            at = batch.schema.get_field_index("levels")
+            yield batch.set_column(at, "levels", levels)
+
+    return level
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+
+
 def _scored(words, heads, pairs, texts_learned: int, total: int, vocabulary: int, prior: float, first: bool):
     """Sums of each text over the pairs this slice holds; in the first round also base and known words.
 
@@ -268,12 +294,16 @@ def _scored(words, heads, pairs, texts_learned: int, total: int, vocabulary: int
     per = float(total + vocabulary + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, double = words.value, pairs.value
+        single, double = None if words is None else words.value, pairs.value
         head_words, head_counts, complete = heads.value
         for batch in by_bytes(batches, "text", SCORE_BYTES):
             rows = batch.column("row").to_numpy(zero_copy_only=False)
             t = _Tokens(batch.column("text"))
-            guessed = single.counts(t.hash)
+            if single is not None:
+                guessed = single.counts(t.hash)
+            else:
+                guessed = np.zeros(len(t.hash))
+                guessed[t.tokens] = count_of_level(LEAST_WORD)[_bytes_of(batch.column("levels"))]
             guessed[t.start] = texts_learned
             a, b, _, inverse = t.pairs()
             grams = _pair_hash(t.hash[a], t.hash[b])
@@ -375,7 +405,7 @@ def language_scores(
     learned = learning.select("text").mapInArrow(_learned(buckets), "kind int, bucket bigint, hashes binary, counts binary")
     model = written(learned.groupBy("kind", "bucket").applyInArrow(_reduced, _REDUCED), "model")
     words, pairs = model.filter(F.col("kind") == _WORDS), model.filter(F.col("kind") == _PAIRS)
-    stats = words.agg(F.sum("total").alias("total"), F.sum("entries").alias("entries"), F.sum(F.length("bits")).alias("bytes")).first()
+    stats = words.agg(F.sum("total").alias("total"), F.sum("entries").alias("entries")).first()
     total, vocabulary = stats["total"] or 0, stats["entries"] or 0
 
     limit = _head_limit(words, heads)
@@ -386,18 +416,24 @@ def language_scores(
     complete = limit == 1
     context = spark.sparkContext
     sent_heads = context.broadcast((head_words[order], head_counts[order], complete))
-    single = LogBloom(buckets, _filters(words, _folds(stats["bytes"] or 0, words_bytes)), LEAST_WORD)
-    sent_words = context.broadcast(single)
-
-    sizes = [(r["bucket"], r["size"]) for r in pairs.select("bucket", F.length("bits").alias("size")).orderBy("bucket").collect()]
-    slices = _slices(sizes, slice_bytes)
+    word_slices, slices = _slices(_sizes(words), words_bytes), _slices(_sizes(pairs), slice_bytes)
     texts = docs.withColumn("row", F.monotonically_increasing_id())
-    if len(slices) > 1:
+    if len(slices) > 1 or len(word_slices) > 1:
         # The row numbers must hold over several passes.
         texts = written(texts, "texts")
+    numbers, sent_words = [], None
+    if len(word_slices) == 1:
+        sent_words = context.broadcast(LogBloom(buckets, _filters(words), LEAST_WORD))
+    else:
+        # The levels of words, slice after slice: the same as from one filter of all words.
+        texts, numbers = texts.withColumn("levels", F.lit(None).cast("binary")), ["levels"]
+        for group in word_slices:
+            held = context.broadcast(LogBloom(buckets, _filters(words.filter(F.col("bucket").between(*group))), LEAST_WORD))
+            texts = written(texts.mapInArrow(_levelled(held), texts.schema), "levels")
+            held.unpersist()
     rounds: list[DataFrame] = []
     for nr, group in enumerate(slices):
-        double = LogBloom(buckets, _filters(pairs.filter(F.col("bucket").between(*group)), 0), LEAST_PAIR)
+        double = LogBloom(buckets, _filters(pairs.filter(F.col("bucket").between(*group))), LEAST_PAIR)
         # Pairs of buckets that hold nothing are the first slice's.
         double.own = np.ones(buckets, bool)
         for other in slices[:nr] + slices[nr + 1 :]:
@@ -410,7 +446,7 @@ def language_scores(
             ids = f"id {df.schema[doc_id].dataType.simpleString()}, out boolean"
             rounds.append(written(texts.mapInArrow(_with_ids(scoring), f"{_SCORED}, {ids}"), "scores"))
         else:
-            part = texts.select("row", "text").mapInArrow(scoring, _SCORED)
+            part = texts.select("row", "text", *numbers).mapInArrow(scoring, _SCORED)
             rounds.append(written(part.select("row", "score"), "scores"))
         sent.unpersist()
     scored = rounds[0]
@@ -457,20 +493,10 @@ def _with_ids(scoring):
     return score
 
 
-def _folds(size: int, limit: int) -> int:
-    """How often filters must be halved to be ``limit`` bytes in all."""
-    folds = 0
-    while size > limit and folds < _MOST_FOLDS:
-        size, folds = size // 2, folds + 1
-    return folds
+def _sizes(model: DataFrame) -> list[tuple[int, int]]:
+    return [(r["bucket"], r["size"]) for r in model.select("bucket", F.length("bits").alias("size")).orderBy("bucket").collect()]
 
 
-def _filters(model: DataFrame, folds: int) -> dict[int, bytes]:
-    """Filters by bucket, each folded: a place modulo half the size is found in either half."""
-    filters = {}
-    for row in model.select("bucket", "bits").toLocalIterator():
-        bits = np.frombuffer(row["bits"], np.uint8)
-        for _ in range(folds):
-            bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-        filters[row["bucket"]] = bits.tobytes()
-    return filters
+def _filters(model: DataFrame) -> dict[int, bytes]:
+    """Filters by bucket."""
+    return {row["bucket"]: row["bits"] for row in model.select("bucket", "bits").toLocalIterator()}

@@ -218,3 +218,17 @@ def test_ranked_search_of_nothing(spark, empty):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert lexical.ranked_search(empty, "doc_id", "text", items, "item_id", "text").count() == 0
     assert lexical.ranked_search(make_docs(spark), "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+def test_scores_do_not_depend_on_the_size_of_the_word_filter(spark, monkeypatch):
+    monkeypatch.setattr(logbloom, "BUCKET_TEXT", 512)
+    texts = [(i, " ".join(f"w{(i * j) % 97} v{i}" for j in range(i % 40)) if i % 9 else None) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5, "doc_id")
+
+    def scores(**limits):
+        return sorted(map(tuple, logbloom.language_scores(docs, "doc_id", "text", F.col("doc_id") % 7 == 2, **limits).collect()))
+
+    whole = scores()
+    for got in (scores(words_bytes=200), scores(words_bytes=200, slice_bytes=3000)):
+        assert [row[:5] for row in got] == [row[:5] for row in whole]
+        assert [row[5:] for row in got] == [pytest.approx(row[5:], abs=1e-9) for row in whole]
