@@ -162,3 +162,23 @@ def test_names_are_those_of_the_own_database(spark):
     assert [i for i, r in sorted(judged.items()) if r["allowed"]] == [1, 3, 5, 6, 9, 11]
     assert judged[2]["violations"] == ["Referenced table(s) 'customers' do not exist in database schema 'lab'."]
     assert judged[8]["violations"][0].startswith("Referenced multiple unrecognized columns: ")
+
+
+def test_texts_are_not_shuffled_by_database(spark, capsys):
+    schemas = spark.createDataFrame([("a", "CREATE TABLE t (id INT);"), ("b", "CREATE TABLE u (id INT);")], "db_id string, ddl string")
+    texts = spark.createDataFrame([(i, "ab"[i % 2], "SELECT id FROM t") for i in range(6)], "k int, db string, sql string")
+    placed = catalog.with_schema(texts, "db", catalog.schema_dimension(schemas, "db_id", "ddl"))
+    placed.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(db#" not in plan
+    assert {(r["db"], *r["known_tables"]) for r in placed.collect()} == {("a", "t"), ("b", "u")}
+
+
+def test_rows_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    from pairloom.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 50)
+    spark.range(1000).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    dealt = tables.Tables(spark, str(tmp_path)).spread("orders")
+    assert max(len(part) for part in dealt.rdd.glom().collect()) <= 60
+    assert sorted(r[0] for r in dealt.collect()) == list(range(1000))
