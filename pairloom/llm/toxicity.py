@@ -22,6 +22,8 @@ EPOCHS, STEPS = 6, 300
 KEPT_WORDS = 200_000
 # Windows scored at once.
 BATCH = 2048
+# Rows handed back to Spark, and texts held in Python, at once.
+ROWS = 1_000
 
 
 @dataclass
@@ -116,7 +118,7 @@ def _largest_logits(network: gru.Network):
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network)
         for batch in batches:
-            logits = _document_logits(scorer, strings(batch.column("text")))
+            logits = _document_logits(scorer, _texts(batch.column("text")), batch.num_rows)
             found = batch.drop_columns(["text"]).append_column("largest", pa.array(logits, pa.float64()))
             yield found.filter(pa.array(~np.isinf(logits)))
 
@@ -179,24 +181,33 @@ class Scorer:
         return gru.window_logits(self.network, self.rows, places, BATCH)
 
 
-def _scored(detector: Detector):
+def _texts(column: pa.Array) -> Iterator[str]:
+    """Texts of a column, ``ROWS`` of them in Python at a time: a batch may hold all texts of a task."""
+    for at in range(0, len(column), ROWS):
+        yield from strings(column.slice(at, ROWS))
+
+
+def _scored(detector: Detector, place: int):
+    """Append a score to rows whose text is field ``place`` of the first column."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(detector.network) if detector.network else None
         for batch in batches:
-            texts = strings(batch.column("text"))
+            texts = batch.column(0).field(place)
             if scorer is None:
-                scores = [detector.base] * len(texts)
+                scores = np.full(len(texts), detector.base)
             else:
-                largest = _document_logits(scorer, texts)
-                scores = np.where(np.isinf(largest), 0.0, detector.probability(largest)).tolist()
-            yield batch.drop_columns(["text"]).append_column("score", pa.array(scores, pa.float64()))
+                largest = _document_logits(scorer, _texts(texts), len(texts))
+                scores = np.where(np.isinf(largest), 0.0, detector.probability(largest))
+            for at in range(0, batch.num_rows, ROWS):
+                yield batch.slice(at, ROWS).append_column("score", pa.array(scores[at : at + ROWS], pa.float64()))
 
     return score
 
 
-def _document_logits(scorer: Scorer, texts: list[str]) -> np.ndarray:
-    """Logit of each text: that of its likeliest window, minus infinity without any word."""
-    largest = np.full(len(texts), -np.inf)
+def _document_logits(scorer: Scorer, texts: Iterator[str], count: int) -> np.ndarray:
+    """Logit of each of ``count`` texts: that of its likeliest window, minus infinity without any word."""
+    largest = np.full(count, -np.inf)
     owners: list[int] = []
     windows: list[np.ndarray] = []
 
@@ -242,10 +253,12 @@ def toxicity_scores(
     table gives an empty result. Input columns with an added name are replaced.
     """
     detector = train_detector(df, labels, doc_id, text, label, seed)
-    rows = df.select(F.struct("*").alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
+    # A text is long: it goes to the task once, as a field of its row.
+    rows = df.select(F.struct("*").alias("_row"), F.col(doc_id).cast("long").alias("_id"))
+    place = df.columns.index(text) if text in df.columns else [c.lower() for c in df.columns].index(text.lower())
     keep = [c for c in df.columns if c.lower() not in {"held_out", "score", "predicted"}]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", score double"
-    scored = rows.mapInArrow(_scored(detector), ddl)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
+    scored = rows.mapInArrow(_scored(detector, place), ddl)
     return scored.select(
         *[F.col("_row").getField(c).alias(c) for c in keep],
         held_out(F.col("_id")).alias("held_out"),

@@ -150,3 +150,43 @@ def test_absent_steps_change_nothing():
     short = network.forward(rows, np.array([[1, 2, 3]]))
     padded = network.forward(rows, np.array([[1, 2, 3, 0, 0, 0, 0]]))
     assert short == pytest.approx(padded, abs=1e-5)
+
+
+def test_a_text_goes_to_the_task_once_and_in_parts(spark, monkeypatch):
+    """Batches with all texts of a task, twice, took more memory than an executor has."""
+    import pyarrow as pa
+
+    seen = []
+
+    class Scores:
+        network = gru.Network.fresh(1)
+
+        def probability(self, largest):
+            return largest
+
+    def logits(scorer, texts, count):
+        found = np.array([float(len(t)) for t in texts])
+        assert len(found) == count
+        return found
+
+    def strings(column):
+        seen.append(len(column))
+        return [text or "" for text in column.to_pylist()]
+
+    monkeypatch.setattr(toxicity, "ROWS", 4)
+    monkeypatch.setattr(toxicity, "_document_logits", logits)
+    monkeypatch.setattr(toxicity, "strings", strings)
+    texts = [None if i == 5 else "x" * i for i in range(10)]
+    rows = pa.StructArray.from_arrays([pa.array(range(10)), pa.array(texts)], names=["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([rows, pa.array(range(10))], names=["_row", "_id"])
+    got = list(toxicity._scored(Scores(), 1)(iter([batch])))
+    assert [part.num_rows for part in got] == [4, 4, 2] == seen
+    assert pa.Table.from_batches(got).drop_columns(["score"]).to_pylist() == batch.to_pylist()
+    assert [s for part in got for s in part.column("score").to_pylist()] == [0 if t is None else len(t) for t in texts]
+
+    # Column names as Spark resolves them; the text is no column beside the row.
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "DOC_ID bigint, Text string")
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    scored = toxicity_scores(df, none)
+    assert scored.columns == ["DOC_ID", "Text", "held_out", "score", "predicted"]
+    assert [tuple(r)[:2] for r in scored.orderBy("DOC_ID").collect()] == [(1, "a b"), (2, None)]
