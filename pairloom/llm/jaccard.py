@@ -5,7 +5,8 @@ table. Two sets that overlap enough share a shingle among the first ``n - need +
 each, and ``m`` shingles among the first ``n - need + m``. Where the common shingles of a
 document's prefix promise many candidates, the prefix is lengthened and as many more
 shared shingles are asked for; a pair has to share as many as the less demanding of the two
-asks. Pairs left are verified on the whole sets.
+asks. Of the pairs left those that parities of hashed shingles do not show to be far apart are
+verified on the whole sets.
 
 Equal sets are one node from the start. Shingles with a long posting list are worked on in
 blocks of nodes, where a pair is looked at only under the first shingle that both prefixes
@@ -40,7 +41,11 @@ LONGEST_MATCH = 8
 # Cost of verifying a candidate, in units of reading a posting.
 VERIFY_COST = 8
 # Shingles counted at once in one task, and held by one side of a block.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
+# Pairs put together at once in one task.
+PAIRS_AT_ONCE = 200_000
+# Least bits of a set's parities.
+PARITY_BITS = 1024
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 2_000_000
 # A list of nodes up to this length is small enough to be sent to every task.
 SENT_NODES = 200_000
@@ -165,18 +170,18 @@ def _matches(counts: np.ndarray, prefix: int) -> int:
 
 
 def _signatures(width: int, percent: int, common: Broadcast, bits: int):
-    """Node, size and adaptive prefix of each row; the prefix only where the node is new to the task."""
+    """Node, size, adaptive prefix and parities of each row; the last two only where the node is new to the task."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = common.value
         seen: set[bytes] = set()
         for batch in batches:
-            out: dict[str, list] = {"k": [], "node": [], "n": [], "asked": [], "short": [], "long": []}
+            out: dict[str, list] = {"k": [], "node": [], "n": [], "asked": [], "short": [], "long": [], "parity": []}
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, width)
                 n = len(shingles)
                 node = set_digest(shingles) if n else None
-                asked, short, long = None, None, None
+                asked, short, long, parity = None, None, None, None
                 if n and node not in seen:
                     seen.add(node)
                     others = np.zeros(n, np.int64)
@@ -194,12 +199,14 @@ def _signatures(width: int, percent: int, common: Broadcast, bits: int):
                     ordered = shingles[order[:length]].view(np.int64)
                     listed = others[:length] >= LONG_LIST
                     short, long = ordered[~listed], ordered[listed]
+                    parity = _parity(shingles)
                 out["k"].append(_key(node) if n else None)
                 out["node"].append(node)
                 out["n"].append(n)
                 out["asked"].append(asked)
                 out["short"].append(short)
                 out["long"].append(long)
+                out["parity"].append(parity)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -209,8 +216,9 @@ def _signatures(width: int, percent: int, common: Broadcast, bits: int):
                     pa.array(out["asked"], pa.int32()),
                     pa.array(out["short"], pa.list_(pa.int64())),
                     pa.array(out["long"], pa.list_(pa.int64())),
+                    pa.array(out["parity"], pa.binary()),
                 ],
-                names=["id", "k", "node", "n", "asked", "short", "long"],
+                names=["id", "k", "node", "n", "asked", "short", "long", "parity"],
             )
 
     return sign
@@ -226,26 +234,68 @@ def _pairs(percent: int):
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for members in batch.column("members").to_pylist():
-                # (n, key, place of the shingle, matches asked for, shingles of long lists)
-                own = sorted((m["p"] >> 32, m["k"], m["p"] & _LOW, m["q"] >> 32, m["q"] & _LOW) for m in members)
-                for i, a in enumerate(own):
-                    for b in own[i + 1 :]:
-                        if a[0] * 100 < percent * b[0]:
-                            break
-                        # Shingles of long lists are not met here, but may be shared too.
-                        asked = min(a[3], b[3]) - min(a[4], b[4])
-                        x, y = (a, b) if a[1] < b[1] else (b, a)
-                        out.append((x[1], y[1], asked, x[0] - x[2], y[0] - y[2], x[0] + y[0]))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            names = ["a", "b", "asked", "a_left", "b_left", "sizes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            members = batch.column("members")
+            k, p, q = (f.to_numpy() for f in members.flatten().flatten())
+            lists = np.repeat(np.arange(len(members)), np.diff(members.offsets.to_numpy()))
+            order = np.lexsort((q, p, k, p >> 32, lists))
+            k, p, q, lists = k[order], p[order], q[order], lists[order]
+            n, at, asked, long = p >> 32, p & _LOW, q >> 32, q & _LOW
+            # In a list the partners of a node follow it, up to the largest size that can be near.
+            place = lists << 32 | n
+            ends = np.searchsorted(place, lists << 32 | np.minimum(n * 100 // percent, _LOW), side="right")
+            partners = ends - np.arange(len(k)) - 1
+            done = np.r_[0, np.cumsum(partners)]
+            start = 0
+            while start < len(k):
+                stop = max(int(np.searchsorted(done, done[start] + PAIRS_AT_ONCE, side="right")) - 1, start + 1)
+                i = np.repeat(np.arange(start, stop), partners[start:stop])
+                j = np.arange(len(i)) - (done[i] - done[start]) + i + 1
+                swap = k[i] >= k[j]
+                x, y = np.where(swap, j, i), np.where(swap, i, j)
+                # Shingles of long lists are not met here, but may be shared too.
+                least = np.minimum(asked[i], asked[j]) - np.minimum(long[i], long[j])
+                columns = [k[x], k[y], least, n[x] - at[x], n[y] - at[y], n[x] + n[y]]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+                names = ["a", "b", "asked", "a_left", "b_left", "sizes"]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds)], names=names)
+                start = stop
 
     return pair
 
 
+def _parity(shingles: np.ndarray) -> bytes:
+    """One bit a shingle, or more, flipped by each shingle whose hash ends in the bit's number.
+
+    Bits in which two sets differ are no more than the shingles that one of them has alone.
+    """
+    bits = max(PARITY_BITS, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart(left: bytes, right: bytes) -> int:
+    """A bound from below of the shingles that one of two sets has alone; the longer bits are folded."""
+    if len(left) < len(right):
+        left, right = right, left
+    while len(left) > len(right):
+        half = len(left) // 2
+        left = (int.from_bytes(left[:half]) ^ int.from_bytes(left[half:])).to_bytes(half)
+    return (int.from_bytes(left) ^ int.from_bytes(right)).bit_count()
+
+
+def _near(percent: int):
+    """Pairs whose sets may be near enough, by their parities."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.add(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy())
+            apart = [_apart(x, y) for x, y in zip(batch.column("a_parity").to_pylist(), batch.column("b_parity").to_pylist())]
+            kept = (100 + percent) * np.array(apart, np.int64) <= (100 - percent) * sizes
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return near
+
+
 def _linked(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Whether 100 * overlap >= percent * union; ``sizes`` is the sum of both sets' sizes."""
     return (100 + percent) * overlap >= percent * sizes
@@ -390,7 +440,7 @@ def jaccard_links(df: DataFrame, doc_id: str, text: str, width: int, percent: in
     keys, counts, bits = common_shingles(texts.select("text"), width)
     # At most COMMON_KEPT keys and counts: 16 MB.
     common = spark.sparkContext.broadcast((keys, counts))
-    ddl = "id bigint, k bigint, node binary, n bigint, asked int, short array<bigint>, long array<bigint>"
+    ddl = "id bigint, k bigint, node binary, n bigint, asked int, short array<bigint>, long array<bigint>, parity binary"
     signed = written(texts.mapInArrow(_signatures(width, percent, common, bits), ddl), "signed")
     members = signed.select("id", "k", "node", "n")
     # A node that several tasks met comes several times, and equal.
@@ -422,7 +472,12 @@ def jaccard_links(df: DataFrame, doc_id: str, text: str, width: int, percent: in
     # Shingles in front of the last one shared, but for those shared, are in one set only: both have one order.
     most = F.col("shared") + F.least("a_left", "b_left") - 1
     possible = most * (100 + percent) >= F.col("sizes") * percent
-    pairs = written(met.filter((F.col("shared") >= F.col("asked")) & possible).select("a", "b"), "pairs")
+    met = written(met.filter((F.col("shared") >= F.col("asked")) & possible).select("a", "b"), "met")
+    # Most pairs met are far apart, which their parities show: the texts of the others alone are read and sent.
+    sizes = nodes.select("k", "n", "parity").distinct()
+    for side in ("a", "b"):
+        met = met.join(sizes.select(F.col("k").alias(side), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_parity")), side)
+    pairs = written(met.mapInArrow(_near(percent), "a bigint, b bigint"), "pairs")
 
     listed = nodes.filter(F.size("long") > 0).dropDuplicates(["node"]).withColumn("prefix", F.concat("short", "long"))
     listed = listed.select("k", "node", "n", "asked", "prefix", F.posexplode("long").alias("rank", "token"))

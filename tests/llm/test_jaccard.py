@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,54 @@ def test_long_words_do_not_collide(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard_groups(docs, "doc_id", "text", 3, 90).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_pairs_are_put_together_in_parts(monkeypatch):
+    rng = random.Random(4)
+    lists = []
+    for size in (0, 1, 2, 40, 3, 25):
+        nodes = [(rng.choice([-7, 5]) * rng.randrange(1, 1 << 60), rng.randrange(20, 40)) for _ in range(size)]
+        lists.append([{"k": k, "p": n << 32 | rng.randrange(5), "q": rng.randrange(1, 5) << 32 | rng.randrange(3)} for k, n in nodes])
+    want = []
+    for own in lists:
+        rows = [(m["k"], m["p"] >> 32, m["p"] & 0xFFFFFFFF, m["q"] >> 32, m["q"] & 0xFFFFFFFF) for m in own]
+        for i, a in enumerate(rows):
+            for b in rows[:i]:
+                x, y = (a, b) if a[0] < b[0] else (b, a)
+                if min(x[1], y[1]) * 100 >= 80 * max(x[1], y[1]):
+                    want.append((x[0], y[0], min(x[3], y[3]) - min(x[4], y[4]), x[1] - x[2], y[1] - y[2], x[1] + y[1]))
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in "kpq"]))
+    batch = pa.RecordBatch.from_arrays([pa.array([[], *lists], kind)], names=["members"]).slice(1)
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 50)
+    parts = list(jaccard._pairs(80)([batch]))
+    assert max(p.num_rows for p in parts) <= 50 and len(parts) > 5
+    assert sorted(tuple(r.values()) for p in parts for r in p.to_pylist()) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1, 40, 1000, 1030, 5000])
+def test_parities_never_differ_in_more_bits_than_sets_in_shingles(size):
+    words = [f"w{i}" for i in range(size + 2)]
+    left = shingle_set(" ".join(words), 3)
+    for cut in (0, 1, 25, 60, size):
+        right = shingle_set(" ".join(words[cut:] + [f"x{i}" for i in range(cut // 2)]), 3)
+        apart = len(np.setxor1d(left, right))
+        bound = jaccard._apart(jaccard._parity(left), jaccard._parity(right))
+        assert bound == jaccard._apart(jaccard._parity(right), jaccard._parity(left)) <= apart
+        assert bound >= min(apart, 100) // 2
+
+
+def test_texts_of_pairs_far_apart_are_not_sent(spark, monkeypatch):
+    """Documents that share half of their words, which the prefixes alone do not tell from near ones."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(20):
+        base = [f"g{g}w{i}" for i in range(200)]
+        rows += [(10 * g + c, " ".join(base[:130] + [f"g{g}c{c}x{rng.randrange(10**6)}" for _ in range(70)])) for c in range(3)]
+    rows += [(1001, "one two three four five"), (1000, "one two three four five six seven eight nine ten eleven twelve"),
+             (1002, "one two three four five six seven eight nine ten eleven twelve thirteen")]
+    asked, texts_of = [], jaccard._texts_of
+    monkeypatch.setattr(jaccard, "_texts_of", lambda keys, *rest: asked.append(keys.count()) or texts_of(keys, *rest))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard_groups(df, "doc_id", "text", 3, 90).collect()
+    assert asked == [2]
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 3, 90)
