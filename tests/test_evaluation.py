@@ -134,6 +134,19 @@ def test_percentiles(spark, values, want):
     assert (got["a"], got["b"], got["c"]) == want
 
 
+def test_words_of_plain_and_other_texts(spark):
+    """Words are Python's, and texts of single-byte characters are not translated character by character."""
+    from pairloom.functions.text import WHITESPACE, words
+
+    texts = [None, "", " ", "a", " a  b ", "SELECT x\tFROM\n\r y\x0b;", "\x1c\x1d\x1e\x1f a\x1cb\x1f", "a\x00b \x7f c", "é b\xa0c", "\u3000", "日本 語\u2003x"]
+    texts += [f"{c}a{c}{c}b{c}" for c in WHITESPACE] + [f"é{c}{c}b{c}" for c in WHITESPACE]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    split = frame.select("id", words(F.col("text")).alias("words"))
+    got = {r["id"]: r["words"] for r in split.collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else t.split() for t in texts]
+    assert "octet_length" in split._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bleu(spark):
     pairs = [
         ("SELECT a FROM t", "select a from t", 1.0),
