@@ -429,10 +429,10 @@ def _texts_of(keys: DataFrame, members: DataFrame, texts: DataFrame, width: int)
     return written(read.select("text").mapInArrow(_with_nodes(width), "k bigint, node binary, text string"), "texts")
 
 
-def jaccard_links(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members (``id``, ``k``, ``node``, ``n``) of all rows, and links (``a``, ``b``) between different nodes.
+def jaccard_roots(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (``id``, ``k``, ``node``, ``n``) of all rows, and (``node``, ``root``) of all nodes that have links.
 
-    Links connect all nodes that are connected by pairs at the similarity; in blocks of long
+    Nodes that are connected by pairs at the similarity have one root; in blocks of long
     lists, pairs that other links connect already may be left out.
     """
     spark: SparkSession = df.sparkSession
@@ -492,20 +492,26 @@ def jaccard_links(df: DataFrame, doc_id: str, text: str, width: int, percent: in
 
     # First every node under the first of its long lists, which joins most of what belongs together; then the
     # lists whose nodes are not all in one component yet.
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     for postings in (listed.filter(F.col("rank") == 0), listed):
-        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         rooted = postings.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        links = links.unionByName(written(_in_blocks(rooted, read, width, percent), "links"))
-    return members, links
+        more = _in_blocks(rooted, read, width, percent)
+        # What was found hangs on roots already: where blocks add nothing, that is all.
+        if more is not None:
+            hung = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            found = components(hung.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    return members, found
 
 
-def _in_blocks(postings: DataFrame, read: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between nodes of different roots under each shingle, found block by block."""
+def _in_blocks(postings: DataFrame, read: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links between nodes of different roots under each shingle, found block by block; None if there are none."""
     sizes = postings.groupBy("token").agg(
         F.count("*").alias("nodes"), F.sum("n").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high")
     )
     chunks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     busy = written(sizes.filter(F.col("low") != F.col("high")).select("token", chunks.alias("chunks")), "lists")
+    if busy.isEmpty():
+        return None
     # Every chunk meets every chunk of its list once: side 0 of blocks to the right, side 1 of those to the left.
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     right = F.transform(F.sequence(F.col("c"), F.col("chunks") - 1), lambda j: F.struct(F.lit(0).alias("side"), F.col("c").alias("i"), j.alias("j")))
@@ -516,7 +522,8 @@ def _in_blocks(postings: DataFrame, read: DataFrame, width: int, percent: int) -
     blocks = placed.join(read.select("node", "text"), "node").select(
         "token", "b.side", "b.i", "b.j", "node", "root", "asked", "prefix", "text"
     )
-    return blocks.groupBy("token", "i", "j").applyInArrow(_block(width, percent), "a binary, b binary")
+    links = written(blocks.groupBy("token", "i", "j").applyInArrow(_block(width, percent), "a binary, b binary"), "links")
+    return None if links.isEmpty() else links
 
 
 _POSTING_DDL = "k bigint, node binary, n bigint, asked int, prefix binary, rank int, token bigint"
@@ -539,9 +546,8 @@ def jaccard_groups(df: DataFrame, doc_id: str, text: str, width: int = 5, percen
     a null ``component_id``. Rows that repeat an id stay rows of their own. An empty table gives
     an empty result. Other columns are not used.
     """
-    members, links = jaccard_links(df, doc_id, text, width, percent)
+    members, roots = jaccard_roots(df, doc_id, text, width, percent)
     own = written(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least")), "least")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     joined = own.join(roots, "node").select("node", "root", "least")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
     grouped = joined.select("node", "root").join(smallest, "root").select("node", "component")

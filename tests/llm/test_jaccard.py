@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.llm import components as components_module
 from pairloom.llm import jaccard
 from pairloom.llm.components import components
 from pairloom.llm.jaccard import jaccard_groups
@@ -127,6 +128,35 @@ def test_components_of_chains_stars_and_rings(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("at_once", [3, 1000])
+def test_components_of_stretches_of_links(spark, monkeypatch, at_once):
+    """However many links a task joins at once, names as well as numbers, and repeated links."""
+    monkeypatch.setattr(components_module, "LINKS_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    links = [(f"n{a:02}", f"n{a + rng.choice([1, 2, 30]):02}") for a in range(0, 60, 2)] * 2 + [("x", "x"), ("y", None)]
+    rng.shuffle(links)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u string, v string").repartition(5)).collect()}
+    want = {n: n for pair in links[:] if None not in pair and pair[0] != pair[1] for n in pair}
+    for _ in want:
+        for a, b in links:
+            if a in want and b in want:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+
+
+def test_links_that_are_few_take_few_jobs(spark):
+    """Links of one stretch, a long chain here, take no rounds; before, each round was four jobs or more."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(64)], "u bigint, v bigint")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        found = components(links)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["root"] for r in found.collect()} == {0} and found.count() == 65
+    assert len(jobs) <= 6
+
+
 def test_long_words_do_not_collide(spark):
     """Words that equal each other modulo 2 ** 64 for every base of a polynomial."""
     word = "a"
