@@ -182,3 +182,19 @@ def test_rows_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
     dealt = tables.Tables(spark, str(tmp_path)).spread("orders")
     assert max(len(part) for part in dealt.rdd.glom().collect()) <= 60
     assert sorted(r[0] for r in dealt.collect()) == list(range(1000))
+
+
+def test_tasks_of_spread_rows_fill_whole_rounds_of_the_cores(spark, tmp_path, monkeypatch):
+    from pairloom.sources import tables
+
+    spark.range(0, 450, 1, 1).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 449 // cores)
+    assert tables.Tables(spark, str(tmp_path)).spread("orders").rdd.getNumPartitions() == 2 * cores
+
+
+def test_validation_empties_literals_of_a_text_once(spark, capsys):
+    """The names are looked for in the text whose literals were emptied to judge it."""
+    screen.validate(spark.createDataFrame([("SELECT 1",)], "raw string"), "raw").explain(True)
+    plan = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    assert plan.count(r"distinct\s+from") == 1
