@@ -128,3 +128,22 @@ def test_a_shared_result_is_not_read_once_a_case(spark, views, capsys):
     done.explain(True)
     assert "values" not in capsys.readouterr().out
     assert {r["rows_match"] for r in done.collect()} == {False}
+
+
+def test_failed_cases_run_the_answers_only(spark, views, monkeypatch):
+    asked = []
+    run_texts = templates.run_texts
+
+    def noted(texts, *known):
+        asked.extend(r["text"] for r in texts.collect())
+        return run_texts(texts, *known)
+
+    gold = "SELECT name FROM people WHERE id = 1"
+    outputs = [gold, "  ", None, "DROP TABLE people", "SELECT surname FROM people", "SELECT id FROM people WHERE", "Look: SELECT 1 / (id - id) AS n FROM people;"]
+    cases = [(k, "SELECT city FROM people", o) for k, o in enumerate(outputs + outputs[4:])]
+    frame = spark.createDataFrame(cases, "k int, gold string, answer string")
+    both = templates.execute_cases(frame, "gold", "answer", TABLES, COLUMNS).filter(F.col("actual_error").isNotNull())
+    monkeypatch.setattr(templates, "run_texts", noted)
+    failed = templates.failed_cases(frame.drop("gold"), "answer", TABLES, COLUMNS)
+    assert sorted(failed.select("k", "actual_error").collect()) == sorted(both.select("k", "actual_error").collect())
+    assert failed.count() == 7 and "SELECT city FROM people" not in asked
