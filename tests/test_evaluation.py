@@ -193,3 +193,21 @@ def test_suite(spark):
     }
     summary = suite.suite_status(status).first()
     assert (summary["queries"], summary["failed_queries"], summary["all_passed"]) == (6, 4, False)
+
+
+def test_lift_and_accuracy_ask_for_no_failure_category(spark, monkeypatch, capsys):
+    from pairloom.plans import evaluation
+
+    rows = [(1, "base", "SELECT 1", "SELECT 2", True, None, None, False, 10.0), (1, "tuned", "SELECT 1", "select 1", True, None, None, True, 5.0)]
+    ddl = (
+        "case_id int, model string, gold_sql string, generated_sql string, generated boolean, gold_error string, "
+        "actual_error string, rows_match boolean, latency_ms double"
+    )
+    monkeypatch.setattr(evaluation, "executed", lambda t: spark.createDataFrame(rows, ddl).repartition(2))
+    lift, rates = evaluation.lift(None), evaluation.accuracy(None)
+    assert lift.collect() == [(100.0, 100.0, 50.0)]
+    assert sorted(rates.collect()) == [("base", 1, 0.0, 0.0, 1.0, 0.0), ("tuned", 1, 1.0, 1.0, 1.0, 0.0)]
+    for df in (lift, rates):
+        df.explain(True)
+        plan = capsys.readouterr().out.split("Optimized Logical Plan")[1]
+        assert "rows_match" in plan and "missing JOIN" not in plan and "Parquet" not in plan
