@@ -30,6 +30,7 @@ OWN = [
     "Here: ```sql\nSELECT a FROM t WHERE k = 5\n``` or ```SELECT 1```", "```sql\nSELECT a FROM t WHERE c = '```' AND k = 5\n```",
     "I can't tell k = 5; SELECT a FROM t WHERE k = 5 AND c = 'x'; it's done", "can't SELECT a FROM t WHERE c = 'x' OR k = 'y'",
     "With k = 9 in mind: SELECT a FROM t WHERE k = 5 OR k = 7; Let me know = 3", "x = 4 'p' SELECT a FROM t WHERE k = 4 AND c = 'p'",
+    "SELECT a FROM t WHERE k = 5 OR k = 7; ATTACH DATABASE x AS y", "PRAGMA x = 5", "SELECT a FROM t WHERE c = 'attach x' AND k = 5",
     "DROP TABLE t WHERE k = 5", "DROP TABLE t WHERE c = 'x'", "SELECT a FROM t WHERE c = '\x01' AND k = 5", "SELECT a FROM t WHERE \x02 = 5", "SELECT FROM WHERE ;;;",
     "WITH r AS (SELECT a FROM t WHERE k = 5) SELECT a FROM r WHERE a <> 'pragma'", "SELECT a FROM t WHERE k=5OR k=7", "SELECT 5 = k, 5 FROM t LIMIT 5",
     "", "  ", "\n", None,
@@ -78,7 +79,10 @@ def test_pairs_compare_like_their_texts(cases):
 
 
 def test_texts_that_differ_in_literals_are_looked_at_once(spark, monkeypatch):
-    rows = [(i, f"SELECT a FROM t WHERE k = {i} AND c = 'v{i % 9}' LIMIT 5", f"SELECT b FROM t WHERE k = {i + i % 2} AND c = 'v{i % 9}'") for i in range(200)]
+    rows = [
+        (i, f"SELECT a FROM t WHERE k = {i} AND c = 'v{i % 9}' LIMIT 5", f"SELECT b FROM t WHERE k = {i + i % 2} AND c = 'v{i % 9}'; PRAGMA x")
+        for i in range(200)
+    ]
     cases = spark.createDataFrame(rows, "k int, gold_sql string, generated_sql string")
     seen = []
 
